@@ -67,7 +67,8 @@ SELECT concat('EV-', event_id) AS event_id,
   WHEN 'click' THEN 'shipment_delay' WHEN 'purchase' THEN 'shipment_anomaly' ELSE 'payment_policy_change' END AS event_type,
  concat('ENT-', user_id) AS entity_id,
  CASE WHEN user_id % 2 = 0 THEN 'shipment' ELSE 'driver' END AS entity_type,
- concat(event_type, ' event ', event_id) AS description, ts, value
+ concat(event_type, ' event ', event_id) AS description, ts, value,
+ CAST(event_id % 101 AS DOUBLE) / 100 AS risk_score
 FROM {events}
 """
 
@@ -95,6 +96,12 @@ SELECT concat('DRV-', user_id) AS driver_id, concat('Driver ', user_id) AS name,
 FROM {events} GROUP BY user_id
 """
 
+# a shipment entity is served by the driver entity numbered after it
+EDGES = """
+SELECT DISTINCT concat('ENT-', user_id) AS source, concat('ENT-', user_id + 1) AS target, 'shipment_to_driver' AS relationship_type
+FROM {events} WHERE user_id % 2 = 0
+"""
+
 # document rows typed for retrieval; a source name stands for the file a text came from
 DOCS = """
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'invoice' WHEN 1 THEN 'shipment' WHEN 2 THEN 'policy' ELSE 'anomaly' END AS doc_type,
@@ -116,6 +123,7 @@ VIEWS = {
     "supplier_terms": SUPPLIER_TERMS,
     "carrier_tier": CARRIER_TIER,
     "drivers": DRIVERS,
+    "entity_edges": EDGES,
     "docs": DOCS,
 }
 

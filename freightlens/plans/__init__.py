@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries():
-    from . import catalog, records, store, texts  # noqa: F401
+    from . import catalog, causality, extraction, records, store, texts  # noqa: F401
 
     return catalog.QUERIES, catalog.ORACLE
 

@@ -225,10 +225,9 @@ def _(s: Source):
 # --- sorts, top-k and ranks -----------------------------------------------------------------
 
 
-@q("sort_recent", f"SELECT {COLS}, row_number() OVER (ORDER BY ts DESC, id) AS pos FROM store ORDER BY ts DESC, id LIMIT 1000")
+@q("sort_recent", f"SELECT {COLS} FROM store ORDER BY ts DESC, id")
 def _(s: Source):
-    top = slim(summaries.newest(store(s), 1000))
-    return top.withColumn("pos", F.row_number().over(ranking.Window.orderBy(F.desc("ts"), "id")).cast("bigint"))
+    return slim(summaries.newest(store(s)))
 
 
 @q("sort_risk_recent", f"SELECT {COLS} FROM store ORDER BY risk_score DESC, ts DESC, id")
