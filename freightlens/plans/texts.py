@@ -185,7 +185,7 @@ def _(s: Source):
 # question texts: what users wrote, and one question about every shipment and supplier
 QUESTIONS = """SELECT concat('C-', conv_id, '-', turn) AS query_id, text AS question FROM {conversations} WHERE role = 'user'
  UNION ALL SELECT concat('S-', src_row), CASE status WHEN 'Delayed' THEN concat('Why was shipment ', shipment_id, ' late, what caused the delay?')
-  WHEN 'Delivered' THEN concat('Show the carrier of ', shipment_id, ' and invoice #', driver_id)
+  WHEN 'Delivered' THEN concat('Show invoice #', right(shipment_id, 3), ' of ', carrier)
   ELSE concat('how many parcels went to ', destination, ' under the policy') END FROM {shipments}
  UNION ALL SELECT concat('P-', s_suppkey), CASE s_suppkey % 3 WHEN 0 THEN concat('What is the late fee of INV-2025-00', s_suppkey, ' and shp-2024-', 100 + s_suppkey)
   WHEN 1 THEN concat('is supplier ', s_name, ' suspicious') ELSE concat('calculate total cost of ', s_name) END FROM {supplier}"""
