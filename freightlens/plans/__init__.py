@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries():
-    from . import catalog, causality, extraction, records, search, store, texts  # noqa: F401
+    from . import catalog, causality, extraction, io, records, scalars, search, store, streams, texts  # noqa: F401
 
     return catalog.QUERIES, catalog.ORACLE
 
