@@ -64,15 +64,17 @@ SHIPMENT_ITEM_HEADERS = {
 }
 
 
+_WHITE = " \t\n\r\x0b\f"
+
+
 def strip(x: Column) -> Column:
     """str.strip(): white space of any kind off both ends."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(_WHITE))
 
 
 def first_group(text: str | Column, pattern: str) -> Column:
-    """First group of the first match, trimmed; NULL without a match."""
-    t = c(text)
-    return F.when(t.rlike(pattern), strip(F.regexp_extract(t, pattern, 1)))
+    """First group of the first match, trimmed; NULL without a match. The group must take a character."""
+    return strip(F.nullif(F.regexp_extract(c(text), pattern, 1), F.lit("")))
 
 
 def first_of(text: str | Column, patterns: list[str]) -> Column:
@@ -86,14 +88,26 @@ def normal_date(raw: str | Column) -> Column:
     return F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), r)
 
 
-def amount(text: str | Column) -> Column:
-    found = [F.regexp_replace(first_group(text, p), ",", "").try_cast("double") for p in AMOUNT]
-    return F.coalesce(*found, F.lit(0.0))
+def plain_number(raw: str | Column) -> Column:
+    """'1,234.50' -> 1234.5"""
+    return F.replace(c(raw), F.lit(","), F.lit("")).try_cast("double")
+
+
+def with_groups(rows: DataFrame, text: str, **patterns: str | list[str]) -> DataFrame:
+    """One column per pattern, in a step of its own so that each expression runs once per row."""
+    cols = {n: first_of(text, p) if isinstance(p, list) else first_group(text, p) for n, p in patterns.items()}
+    return rows.withColumns(cols)
+
+
+def amount(rows: DataFrame, text: str, out: str = "amount") -> DataFrame:
+    found = with_groups(rows, text, _a=AMOUNT[0], _b=AMOUNT[1])
+    return found.withColumn(out, F.coalesce(plain_number("_a"), plain_number("_b"), F.lit(0.0))).drop("_a", "_b")
 
 
-def payment_terms(text: str | Column) -> Column:
-    found = first_of(text, TERMS)
-    return F.coalesce(F.when(found.rlike(r"^\d+"), F.concat(F.lit("NET"), found)).otherwise(found), F.lit("NET30"))
+def payment_terms(rows: DataFrame, text: str, out: str = "payment_terms") -> DataFrame:
+    found = with_groups(rows, text, _t=TERMS)
+    named = F.when(F.col("_t").rlike(r"^\d+"), F.concat(F.lit("NET"), "_t")).otherwise(F.col("_t"))
+    return found.withColumn(out, F.coalesce(named, F.lit("NET30"))).drop("_t")
 
 
 def early_discount(text: str | Column) -> Column:
@@ -108,54 +122,59 @@ def status(text: str | Column) -> Column:
     return out.otherwise("unknown")
 
 
-def invoice_fields(text: str | Column, fallback_id: Column) -> Column:
-    return F.struct(
-        F.coalesce(first_of(text, INVOICE_ID), F.concat(F.lit("INV-"), fallback_id.cast("string"))).alias("invoice_id"),
-        first_group(text, SUPPLIER).alias("supplier"),
-        amount(text).alias("amount"),
-        F.coalesce(first_group(text, CURRENCY), F.lit("USD")).alias("currency"),
-        normal_date(first_group(text, ISSUE_DATE)).alias("issue_date"),
-        normal_date(first_group(text, DUE_DATE)).alias("due_date"),
-        payment_terms(text).alias("payment_terms"),
-        early_discount(text).alias("early_discount"),
-        first_group(text, INVOICE_SHIPMENT).alias("shipment_id"),
+def invoice_fields(rows: DataFrame, text: str, fallback_id: Column) -> DataFrame:
+    """Adds the fields of an invoice text; ``fallback_id`` names a text without an id."""
+    out = with_groups(
+        rows, text, invoice_id=INVOICE_ID, supplier=SUPPLIER, currency=CURRENCY, _issue=ISSUE_DATE, _due=DUE_DATE, shipment_id=INVOICE_SHIPMENT
     )
-
-
-def shipment_fields(text: str | Column) -> Column:
-    return F.struct(
-        first_group(text, SHIPMENT_ID).alias("shipment_id"),
-        first_group(text, ORIGIN).alias("origin"),
-        first_group(text, DESTINATION).alias("destination"),
-        first_group(text, CARRIER).alias("carrier"),
-        normal_date(first_group(text, DEPARTURE)).alias("departure_date"),
-        normal_date(first_group(text, ARRIVAL)).alias("estimated_arrival"),
-        status(text).alias("status"),
-        first_group(text, DRIVER).alias("driver_id"),
+    out = payment_terms(amount(out, text), text).withColumn("early_discount", early_discount(text))
+    return out.withColumns(
+        {
+            "invoice_id": F.coalesce("invoice_id", F.concat(F.lit("INV-"), fallback_id.cast("string"))),
+            "currency": F.coalesce("currency", F.lit("USD")),
+            "issue_date": normal_date("_issue"),
+            "due_date": normal_date("_due"),
+        }
+    ).drop("_issue", "_due")
+
+
+def shipment_fields(rows: DataFrame, text: str) -> DataFrame:
+    out = with_groups(
+        rows, text, shipment_id=SHIPMENT_ID, origin=ORIGIN, destination=DESTINATION, carrier=CARRIER, _dep=DEPARTURE, _arr=ARRIVAL, driver_id=DRIVER
     )
-
-
-def loose_invoice_fields(text: str | Column, name: Column) -> Column:
-    """Fields of an uploaded text that carries no labels; ``name`` is the file name without suffix."""
-    return F.struct(
-        F.coalesce(first_group(text, LOOSE_INVOICE_ID), F.concat(F.lit("INV-"), name)).alias("invoice_id"),
-        F.coalesce(F.regexp_replace(first_group(text, LOOSE_AMOUNT), ",", "").try_cast("double"), F.lit(0.0)).alias("amount"),
-        F.coalesce(F.substring(first_group(text, LOOSE_SUPPLIER), 1, 50), F.lit("Unknown Supplier")).alias("supplier"),
-        first_group(text, LOOSE_DATE).alias("issue_date"),
-        F.lit("pending").alias("status"),
-        F.lit("NET30").alias("payment_terms"),
-        F.lit("USD").alias("currency"),
+    return out.withColumns(
+        {"departure_date": normal_date("_dep"), "estimated_arrival": normal_date("_arr"), "status": status(text)}
+    ).drop("_dep", "_arr")
+
+
+def loose_invoice_fields(rows: DataFrame, text: str, name: Column) -> DataFrame:
+    """Adds the fields of an uploaded text without labels; ``name`` is the file name without suffix."""
+    out = with_groups(rows, text, invoice_id=LOOSE_INVOICE_ID, _amount=LOOSE_AMOUNT, supplier=LOOSE_SUPPLIER, issue_date=LOOSE_DATE)
+    return out.withColumns(
+        {
+            "invoice_id": F.coalesce("invoice_id", F.concat(F.lit("INV-"), name)),
+            "amount": F.coalesce(plain_number("_amount"), F.lit(0.0)),
+            "supplier": F.coalesce(F.substring("supplier", 1, 50), F.lit("Unknown Supplier")),
+            "status": F.lit("pending"),
+            "payment_terms": F.lit("NET30"),
+            "currency": F.lit("USD"),
+        }
+    ).drop("_amount")
+
+
+def loose_shipment_fields(rows: DataFrame, text: str, name: Column, as_of: str) -> DataFrame:
+    out = with_groups(
+        rows, text, shipment_id=LOOSE_SHIPMENT_ID, origin=LOOSE_ORIGIN, destination=LOOSE_DESTINATION, carrier=LOOSE_CARRIER
     )
-
-
-def loose_shipment_fields(text: str | Column, name: Column, as_of: str) -> Column:
-    return F.struct(
-        F.coalesce(first_group(text, LOOSE_SHIPMENT_ID), F.concat(F.lit("SHP-"), name)).alias("shipment_id"),
-        F.substring(first_group(text, LOOSE_ORIGIN), 1, 50).alias("origin"),
-        F.substring(first_group(text, LOOSE_DESTINATION), 1, 50).alias("destination"),
-        F.coalesce(F.substring(first_group(text, LOOSE_CARRIER), 1, 50), F.lit("Unknown Carrier")).alias("carrier"),
-        F.lit("in_transit").alias("status"),
-        F.lit(as_of).cast("date").alias("departure_date"),
+    return out.withColumns(
+        {
+            "shipment_id": F.coalesce("shipment_id", F.concat(F.lit("SHP-"), name)),
+            "origin": F.substring("origin", 1, 50),
+            "destination": F.substring("destination", 1, 50),
+            "carrier": F.coalesce(F.substring("carrier", 1, 50), F.lit("Unknown Carrier")),
+            "status": F.lit("in_transit"),
+            "departure_date": F.lit(as_of).cast("date"),
+        }
     )
 
 
@@ -284,5 +303,6 @@ def late_fee_context(text: str | Column) -> Column:
 
 
 def pattern(text: str | Column, regex: str) -> Column:
-    """First group of any regular expression, trimmed."""
-    return first_group(text, regex)
+    """First group of any regular expression, trimmed; the group may be empty."""
+    t = c(text)
+    return F.when(t.rlike(regex), strip(F.regexp_extract(t, regex, 1)))

@@ -15,22 +15,39 @@ from .. import refdata as ref
 from ..functions.columns import days, has_any, missing, money, terms_days
 from .anomaly import anomaly
 
-A = F.col("amount")
+
+def _amount() -> Column:
+    return F.col("amount")
 
 
 # --- joins that prepare a record ------------------------------------------------------------
 
 
 def with_supplier_profile(invoices: DataFrame, profile: DataFrame) -> DataFrame:
-    return invoices.join(profile, "supplier", "left")
+    """Adds the profile and ``z_score``; worked out once, as several parts of a rule read it."""
+    z = F.when(F.col("std_amount") > 0, F.abs(_amount() - F.col("avg_amount")) / F.col("std_amount"))
+    return invoices.join(profile, "supplier", "left").withColumn("z_score", z)
 
 
 def with_supplier_terms(invoices: DataFrame, terms: DataFrame) -> DataFrame:
-    return invoices.join(terms, "supplier", "left")
+    """Adds the agreement, ``agreed_days`` and the ``actual_days`` between issue and due date."""
+    return (
+        invoices.join(terms, "supplier", "left")
+        .withColumn("agreed_days", terms_days("agreed_terms"))
+        .withColumn("actual_days", days("due_date", "issue_date"))
+    )
 
 
 def with_invoice_history(invoices: DataFrame, history: DataFrame) -> DataFrame:
-    return invoices.join(history, ["supplier", "payment_terms"], "left")
+    """Adds the history, the ``hist_share`` an amount is off its mean and the ``hist_z`` of it."""
+    mean = F.col("hist_avg")
+    sd = F.when(F.col("hist_n") > 1, F.col("hist_std")).otherwise(mean * 0.1)
+    off = F.abs(_amount() - mean)
+    return (
+        invoices.join(history, ["supplier", "payment_terms"], "left")
+        .withColumn("hist_share", F.when(mean != 0, off / mean))
+        .withColumn("hist_z", F.when(sd > 0, off / sd).otherwise(0.0))
+    )
 
 
 # --- amount ---------------------------------------------------------------------------------
@@ -38,10 +55,9 @@ def with_invoice_history(invoices: DataFrame, history: DataFrame) -> DataFrame:
 
 def amount_deviation(min_z: float = 2.5) -> Column:
     """Amount far from the supplier's own mean, in sample standard deviations."""
-    mean, sd = F.col("avg_amount"), F.col("std_amount")
-    z = F.abs(A - mean) / sd
+    mean, z = F.col("avg_amount"), F.col("z_score")
     return anomaly(
-        F.when((A > 0) & (mean > 0) & (sd > 0), z > min_z).otherwise(False),
+        (_amount() > 0) & (mean > 0) & (z > min_z),
         "invoice_amount_deviation",
         F.least(F.lit(0.95), z / 5.0),
         F.when(z > 4.0, "high").when(z > 3.0, "medium").otherwise("low"),
@@ -56,22 +72,18 @@ def amount_deviation(min_z: float = 2.5) -> Column:
             F.concat(F.lit("Z-score: "), F.format_string("%.2f", z)),
         ],
         supplier=F.col("supplier"),
-        amount=A,
+        amount=_amount(),
         avg_amount=mean,
         z_score=z,
-        deviation_percentage=F.abs(A - mean) / mean * 100,
+        deviation_percentage=F.abs(_amount() - mean) / mean * 100,
     )
 
 
 def amount_discrepancy(max_share: float = 0.20) -> Column:
     """Amount off the mean of the same supplier and terms by more than a share of it."""
-    mean = F.col("hist_avg")
-    share = F.abs(A - mean) / mean
-    sd = F.when(F.col("hist_n") > 1, F.col("hist_std")).otherwise(mean * 0.1)
-    z = F.when(sd > 0, F.abs(A - mean) / sd).otherwise(0.0)
-    usable = ~missing("supplier") & ~missing("payment_terms") & (A != 0) & (mean != 0)
+    mean, share, z = F.col("hist_avg"), F.col("hist_share"), F.col("hist_z")
     return anomaly(
-        F.when(usable, share > max_share).otherwise(False),
+        ~missing("supplier") & ~missing("payment_terms") & (_amount() != 0) & (share > max_share),
         "invoice_amount_discrepancy",
         F.least(F.lit(0.9), 0.5 + F.least(z / 10, F.lit(0.4))),
         None,
@@ -79,7 +91,7 @@ def amount_discrepancy(max_share: float = 0.20) -> Column:
             F.lit("Invoice amount differs by "), F.format_string("%.1f%%", share * 100),
             F.lit(" from historical average ("), money("hist_avg"), F.lit(")"),
         ),
-        amount=A,
+        amount=_amount(),
         historical_avg=mean,
         percentage_difference=share,
         z_score=z,
@@ -87,20 +99,18 @@ def amount_discrepancy(max_share: float = 0.20) -> Column:
     )
 
 
-def round_amount() -> Column:
+def round_amount(max_share: float = 0.20) -> Column:
     """A round amount, looked at only where the amount did not differ from history."""
     usable = ~missing("supplier") & ~missing("payment_terms")
-    return F.when(
-        amount_discrepancy().isNull(),
-        anomaly(
-            usable & (A % 100 == 0) & (A >= 1000),
-            "suspicious_round_amount",
-            0.65,
-            None,
-            F.concat(F.lit("Suspiciously round invoice amount: "), money("amount")),
-            amount=A,
-            pattern_type="round_number",
-        ),
+    near_history = ~F.coalesce(F.col("hist_share") > max_share, F.lit(False))
+    return anomaly(
+        usable & near_history & (_amount() % 100 == 0) & (_amount() >= 1000),
+        "suspicious_round_amount",
+        0.65,
+        None,
+        F.concat(F.lit("Suspiciously round invoice amount: "), money("amount")),
+        amount=_amount(),
+        pattern_type="round_number",
     )
 
 
@@ -109,8 +119,8 @@ def round_amount() -> Column:
 
 def terms_violation(tolerance: int = 7) -> Column:
     """Days between issue and due date against the terms agreed with the supplier."""
-    actual = days("due_date", "issue_date")
-    expected = F.coalesce(terms_days("agreed_terms"), F.lit(30))
+    actual = F.col("actual_days")
+    expected = F.coalesce("agreed_days", F.lit(30))
     off = F.abs(actual - expected)
     return anomaly(
         (off > tolerance) & (expected != 0),
@@ -175,7 +185,7 @@ def wrong_terms() -> Column:
 
 def wrong_due_date(tolerance: int = 2) -> Column:
     """Right terms, but a due date that does not follow from them."""
-    actual, expected = days("due_date", "issue_date"), terms_days("agreed_terms")
+    actual, expected = F.col("actual_days"), F.col("agreed_days")
     return anomaly(
         F.col("payment_terms").eqNullSafe(F.col("agreed_terms")) & (F.abs(actual - expected) > tolerance),
         "incorrect_due_date_calculation",
@@ -241,7 +251,7 @@ def fraud_pattern(round_amounts: list[float] = ref.ROUND_AMOUNTS) -> Column:
             F.create_map(
                 F.lit("fraud_score"), (tenths / 10).cast("string"),
                 F.lit("supplier"), F.col("supplier"),
-                F.lit("amount"), A.cast("string"),
+                F.lit("amount"), _amount().cast("string"),
             ).alias("metadata"),
         ),
     )
@@ -250,11 +260,11 @@ def fraud_pattern(round_amounts: list[float] = ref.ROUND_AMOUNTS) -> Column:
 def insufficient_approval(director_from: float = 10000.0, cfo_from: float = 50000.0) -> Column:
     """The approver's title ranks below what the amount asks for; 'director' wins over 'cfo'."""
     low = F.lower("approver")
-    need = F.when(A >= cfo_from, "cfo").when(A >= director_from, "director").otherwise("manager")
+    need = F.when(_amount() >= cfo_from, "cfo").when(_amount() >= director_from, "director").otherwise("manager")
     have = F.when(low.contains("director"), "director").when(low.contains("cfo"), "cfo").otherwise("manager")
     rank = lambda x: F.when(x == "cfo", 3).when(x == "director", 2).otherwise(1)
     return anomaly(
-        ~missing("approver") & (A > 0) & (rank(have) < rank(need)),
+        ~missing("approver") & (_amount() > 0) & (rank(have) < rank(need)),
         "insufficient_approval",
         0.8,
         "high",
@@ -267,7 +277,7 @@ def insufficient_approval(director_from: float = 10000.0, cfo_from: float = 5000
             F.concat(F.lit("Required level: "), need),
             F.concat(F.lit("Actual level: "), have),
         ],
-        amount=A,
+        amount=_amount(),
         approver=F.col("approver"),
         required_level=need,
         approver_level=have,
@@ -285,18 +295,18 @@ def approver_level(approver: str | Column = "approver", manager_names: list[str]
 
 def approval_authority(levels: dict[str, float] = ref.APPROVAL_LEVELS) -> Column:
     """Approver level below the level of the amount; an unknown approver is below all."""
-    need = F.when(A >= levels["cfo"], "cfo").when(A >= levels["director"], "director").otherwise("manager")
+    need = F.when(_amount() >= levels["cfo"], "cfo").when(_amount() >= levels["director"], "director").otherwise("manager")
     have = approver_level()
     rank = lambda x: F.when(x == "cfo", 2).when(x == "director", 1).when(x == "manager", 0).otherwise(-1)
     return anomaly(
-        ~missing("approver") & (A != 0) & (rank(have) < rank(need)),
+        ~missing("approver") & (_amount() != 0) & (rank(have) < rank(need)),
         "insufficient_approval_authority",
-        F.when(A > 25000, 0.8).otherwise(0.6),
+        F.when(_amount() > 25000, 0.8).otherwise(0.6),
         None,
         F.concat(
             money("amount"), F.lit(" invoice requires "), need, F.lit(" approval, but approved by "), have,
         ),
-        amount=A,
+        amount=_amount(),
         required_level=need,
         approver_level=have,
         approver=F.col("approver"),
@@ -305,15 +315,15 @@ def approval_authority(levels: dict[str, float] = ref.APPROVAL_LEVELS) -> Column
 
 def approval_workflow(two_from: float = 5000.0, three_above: float = 25000.0) -> Column:
     """More than one approver needed, and neither several names nor a senior title given."""
-    needed = F.when(A < two_from, 1).when(A <= three_above, 2).otherwise(3)
+    needed = F.when(_amount() < two_from, 1).when(_amount() <= three_above, 2).otherwise(3)
     senior = F.col("approver").contains(",") | has_any("approver", ["director", "cfo"])
     return anomaly(
-        ~missing("approver") & (A != 0) & (needed > 1) & ~senior,
+        ~missing("approver") & (_amount() != 0) & (needed > 1) & ~senior,
         "approval_workflow_noncompliance",
-        F.when(A > three_above, 0.8).otherwise(0.6),
+        F.when(_amount() > three_above, 0.8).otherwise(0.6),
         None,
         F.concat(F.lit("Invoice requires "), needed, F.lit(" level(s) of approval but only has one approver.")),
-        amount=A,
+        amount=_amount(),
         current_approver=F.col("approver"),
         required_approvers=needed,
     )
@@ -356,7 +366,7 @@ def duplicate_pattern() -> Column:
             F.concat(F.lit("Supplier: "), F.col("supplier")),
         ],
         supplier=F.col("supplier"),
-        amount=A,
+        amount=_amount(),
         issue_date=iso,
         related_invoice=F.col("related"),
     )
@@ -389,7 +399,7 @@ def foreign_currency(home: str = "USD") -> Column:
         F.concat(F.lit("International invoice in "), cur, F.lit(" requires special handling")),
         currency=cur,
         supplier=F.col("supplier"),
-        amount=A,
+        amount=_amount(),
     )
 
 
@@ -399,7 +409,7 @@ def late_fee(
     """Linear monthly fee on the days past the free period, to the cent."""
     rate = rate if isinstance(rate, Column) else F.lit(rate)
     overdue = F.datediff(F.lit(as_of).cast("date"), "due_date")
-    fee = A * rate * (overdue - free_days) / 30.0
+    fee = _amount() * rate * (overdue - free_days) / 30.0
     cents = F.round(fee.cast("decimal(38,10)"), 2).cast("double")
     return F.when(overdue <= free_days, 0.0).otherwise(cents)
 

@@ -11,7 +11,10 @@ from .. import refdata as ref
 from ..functions.columns import days, hours_between, missing, money, severity_band_shipment, words
 from .anomaly import anomaly
 
-STATUS = F.lower(F.regexp_replace("status", "_", " "))
+
+def _status() -> Column:
+    """'in_transit' and 'In Transit' are the same."""
+    return F.lower(F.regexp_replace("status", "_", " "))
 
 
 def with_route_profile(shipments: DataFrame, profile: DataFrame) -> DataFrame:
@@ -40,6 +43,11 @@ def freight_mode(ocean_pairs=tuple(ref.OCEAN_PAIRS)) -> Column:
     return F.when(missing("origin") | missing("destination"), "ground").when(abroad & by_sea, "ocean").when(abroad, "air").otherwise("ground")
 
 
+def with_transport(shipments: DataFrame, as_of: str) -> DataFrame:
+    """Adds ``mode`` and ``late_hours``, which several rules read, so that each is worked out once."""
+    return shipments.withColumn("mode", freight_mode()).withColumn("late_hours", late_hours(as_of))
+
+
 def approved_for(mode: Column, by_mode: dict[str, list[str]] = ref.APPROVED_BY_MODE) -> Column:
     """The approved names of a mode, as an array literal of the small policy list."""
     table = F.create_map(*[x for m, names in by_mode.items() for x in (F.lit(m), F.array(*[F.lit(n) for n in names]))])
@@ -48,7 +56,7 @@ def approved_for(mode: Column, by_mode: dict[str, list[str]] = ref.APPROVED_BY_M
 
 def unapproved_carrier(by_mode: dict[str, list[str]] = ref.APPROVED_BY_MODE) -> Column:
     """No approved name of the mode is part of the carrier's name, nor the other way round."""
-    mode, low = freight_mode(), F.lower("carrier")
+    mode, low = F.col("mode"), F.lower("carrier")
     near = F.exists(approved_for(mode, by_mode), lambda n: low.contains(F.lower(n)) | F.lower(n).contains(low))
     return anomaly(
         ~missing("carrier") & ~F.coalesce(near, F.lit(False)),
@@ -98,15 +106,15 @@ def route_expected() -> Column:
     )
 
 
-def _delay_hours(as_of: str) -> Column:
+def late_hours(as_of: str) -> Column:
     """Hours past the estimate where the status says it matters, else NULL."""
     end = F.coalesce(F.col("actual_arrival").cast("timestamp"), F.lit(as_of).cast("timestamp"))
     delivered = (F.col("status") == "Delivered") & F.col("actual_arrival").isNotNull()
     return F.when((F.col("status") == "Delayed") | delivered, hours_between(end, F.col("estimated_arrival")))
 
 
-def delay_by_mode(as_of: str, limits: dict[str, int] = ref.DELAY_HOURS) -> Column:
-    mode, late = freight_mode(), _delay_hours(as_of)
+def delay_by_mode(limits: dict[str, int] = ref.DELAY_HOURS) -> Column:
+    mode, late = F.col("mode"), F.col("late_hours")
     limit = F.when(mode == "air", limits["air"]).when(mode == "ocean", limits["ocean"]).otherwise(limits["ground"])
     return anomaly(
         late > limit,
@@ -122,9 +130,9 @@ def delay_by_mode(as_of: str, limits: dict[str, int] = ref.DELAY_HOURS) -> Colum
     )
 
 
-def delay_simple(as_of: str, limits: dict[str, int] = ref.DELAY_HOURS) -> Column:
+def delay_simple(limits: dict[str, int] = ref.DELAY_HOURS) -> Column:
     """The older form: the mode is read off the delay, so only long ones can fire."""
-    late = _delay_hours(as_of)
+    late = F.col("late_hours")
     by_air = late < 48
     fires = F.when(by_air, late > limits["air"]).otherwise(late > limits["ocean"])
     return anomaly(
@@ -268,7 +276,7 @@ def suspicious_route(patterns: list[str] = ref.SUSPICIOUS_ROUTES) -> Column:
 def status_inconsistent(as_of: str) -> Column:
     now, day = F.lit(as_of).cast("timestamp"), F.col("departure_date").cast("string")
     return anomaly(
-        (F.col("departure_date").cast("timestamp") > now) & (STATUS == "in transit"),
+        (F.col("departure_date").cast("timestamp") > now) & (_status() == "in transit"),
         "status_inconsistency",
         0.7,
         "medium",
@@ -292,7 +300,7 @@ def overdue(as_of: str, grace_days: int = 1) -> Column:
     return F.when(
         status_inconsistent(as_of).isNull(),
         anomaly(
-            STATUS.isin("in transit", "pending") & (late > grace_days),
+            _status().isin("in transit", "pending") & (late > grace_days),
             "shipment_overdue",
             F.least(F.lit(0.9), late / 10.0),
             F.when(late > 5, "high").otherwise("medium"),
@@ -359,6 +367,6 @@ def main_rules(as_of: str) -> list[Column]:
     ]
 
 
-def extended_rules(as_of: str) -> list[Column]:
-    """The checks of the second detector; needs no joined columns."""
-    return [unapproved_carrier(), route_indicators(), delay_by_mode(as_of), value_pattern()]
+def extended_rules() -> list[Column]:
+    """The checks of the second detector; needs the columns of ``with_transport``."""
+    return [unapproved_carrier(), route_indicators(), delay_by_mode(), value_pattern()]

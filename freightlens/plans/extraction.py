@@ -90,7 +90,7 @@ _STATUS = "CASE " + " ".join(f"WHEN regexp_matches(text, '{_rx(p)[0]}', 'i') THE
     "invoices", t=I_TEXT,
 )
 def _(s: Source):
-    return invoice_texts(s).select("src_row", extract.invoice_fields("text", F.col("src_row")).alias("f")).select("src_row", "f.*")
+    return extract.invoice_fields(invoice_texts(s), "text", F.col("src_row")).drop("text")
 
 
 @query(
@@ -101,8 +101,8 @@ def _(s: Source):
     "invoices", t=I_TEXT,
 )
 def _(s: Source):
-    rows = invoice_texts(s).select("src_row", extract.loose_invoice_fields("text", F.col("src_row")).alias("f"))
-    return rows.select("src_row", "f.invoice_id", "f.amount", "f.supplier", "f.issue_date")
+    rows = extract.loose_invoice_fields(invoice_texts(s), "text", F.col("src_row"))
+    return rows.select("src_row", "invoice_id", "amount", "supplier", "issue_date")
 
 
 @query(
@@ -112,7 +112,7 @@ def _(s: Source):
     "shipments", t=S_TEXT,
 )
 def _(s: Source):
-    return shipment_texts(s).select("src_row", extract.shipment_fields("text").alias("f")).select("src_row", "f.*")
+    return extract.shipment_fields(shipment_texts(s), "text").drop("text")
 
 
 @query(
@@ -122,8 +122,8 @@ def _(s: Source):
     "shipments", t=S_TEXT,
 )
 def _(s: Source):
-    rows = shipment_texts(s).select("src_row", extract.loose_shipment_fields("text", F.col("src_row"), RECORDS_AS_OF).alias("f"))
-    return rows.select("src_row", "f.shipment_id", "f.origin", "f.destination", "f.carrier")
+    rows = extract.loose_shipment_fields(shipment_texts(s), "text", F.col("src_row"), RECORDS_AS_OF)
+    return rows.select("src_row", "shipment_id", "origin", "destination", "carrier")
 
 
 RAW_DATES = """SELECT src_row, CASE approver WHEN 'CFO' THEN concat(day(issue_date), '/', month(issue_date), '/', year(issue_date))
@@ -138,7 +138,7 @@ def _(s: Source):
 
 @query("ext_payment_terms", f"SELECT src_row, {_TERMS} AS payment_terms FROM t", "invoices", t=I_TEXT)
 def _(s: Source):
-    return invoice_texts(s).select("src_row", extract.payment_terms("text").alias("payment_terms"))
+    return extract.payment_terms(invoice_texts(s), "text").select("src_row", "payment_terms")
 
 
 @query("ext_early_discount", f"SELECT src_row, {_DISC} AS early_discount FROM t", "invoices", t=I_TEXT)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import sized
 from ..operators import duplicates, invoice_rules as inv, profiles, shipment_rules as shp
 from ..refdata import APPROVED_BY_MODE
 from ..operators.anomaly import finish, flag, flag_with_combined
@@ -119,7 +120,7 @@ def _(s: Source):
     "invoices", profile=PROFILE,
 )
 def _(s: Source):
-    return inv.with_supplier_profile(s.invoices, profiles.supplier_profile(s.invoices)).select(
+    return profiled(s).select(
         "src_row", "invoice_id", "supplier", "amount", F.round("avg_amount", 4).alias("avg_amount"), "invoice_count"
     )
 
@@ -131,7 +132,7 @@ def _(s: Source):
     "shipments", route=ROUTE,
 )
 def _(s: Source):
-    return shp.with_route_profile(s.shipments, profiles.route_profile(s.shipments)).select(
+    return routed(s).select(
         "src_row", "shipment_id", "origin", "destination", F.round("avg_transit_days", 6).alias("avg_transit_days"),
         F.size("common_carriers").cast("bigint").alias("carriers"),
     )
@@ -144,7 +145,7 @@ def _(s: Source):
     "shipments", rc=ROUTE_CARRIER,
 )
 def _(s: Source):
-    return shp.with_route_carrier_history(s.shipments, profiles.route_carrier_history(s.shipments)).select(
+    return valued(s).select(
         "src_row", "shipment_id", "carrier", F.round("avg_value", 6).alias("avg_value"), "known_route"
     )
 
@@ -239,7 +240,7 @@ def _rule(name: str, views: str = "invoices supplier_terms"):
 
 
 def profiled(s: Source) -> DataFrame:
-    return inv.with_supplier_profile(s.invoices, profiles.supplier_profile(s.invoices))
+    return inv.with_supplier_profile(s.invoices, sized(profiles.supplier_profile(s.invoices)))
 
 
 def termed(s: Source) -> DataFrame:
@@ -247,7 +248,7 @@ def termed(s: Source) -> DataFrame:
 
 
 def historied(s: Source) -> DataFrame:
-    return inv.with_invoice_history(s.invoices, profiles.invoice_history(s.invoices))
+    return inv.with_invoice_history(s.invoices, sized(profiles.invoice_history(s.invoices)))
 
 
 def twins(s: Source, invoices: DataFrame | None = None) -> DataFrame:
@@ -389,24 +390,28 @@ SHIP_VIEWS = "shipments named_shipments carrier_tier"
 
 
 def routed(s: Source) -> DataFrame:
-    joined = shp.with_route_profile(s.shipments, profiles.route_profile(s.shipments))
+    joined = shp.with_route_profile(s.shipments, sized(profiles.route_profile(s.shipments)))
     return shp.with_carrier_tier(joined, s.carrier_tier)
 
 
 def valued(s: Source) -> DataFrame:
-    return shp.with_route_carrier_history(s.shipments, profiles.route_carrier_history(s.shipments))
+    return shp.with_route_carrier_history(s.shipments, sized(profiles.route_carrier_history(s.shipments)))
 
 
 def ship_twins(s: Source) -> DataFrame:
     return duplicates.earlier_twin(s.shipments, "shipment_id", ["origin", "destination", "departure_date"])
 
 
+def moved(s: Source) -> DataFrame:
+    return shp.with_transport(s.named_shipments, AS_OF)
+
+
 SHIPMENT_FLAGS = {
-    "shp_unapproved_carrier": lambda s: flag(s.named_shipments, "shipment_id", shp.unapproved_carrier()),
+    "shp_unapproved_carrier": lambda s: flag(moved(s), "shipment_id", shp.unapproved_carrier()),
     "shp_route_indicators": lambda s: flag(s.named_shipments, "shipment_id", shp.route_indicators()),
     "shp_route_expected": lambda s: flag(valued(s), "shipment_id", shp.route_expected()),
-    "shp_delay_mode": lambda s: flag(s.named_shipments, "shipment_id", shp.delay_by_mode(AS_OF)),
-    "shp_delay_simple": lambda s: flag(s.named_shipments, "shipment_id", shp.delay_simple(AS_OF)),
+    "shp_delay_mode": lambda s: flag(moved(s), "shipment_id", shp.delay_by_mode()),
+    "shp_delay_simple": lambda s: flag(moved(s), "shipment_id", shp.delay_simple()),
     "shp_value_discrepancy": lambda s: flag(valued(s), "shipment_id", shp.value_discrepancy()),
     "shp_value_pattern": lambda s: flag(s.named_shipments, "shipment_id", shp.value_pattern()),
     "shp_duplicate_id": lambda s: flag(duplicates.first_seen(s.shipments, "shipment_id"), "shipment_id", shp.duplicate_id()),
@@ -436,7 +441,7 @@ UNUSUAL = dict(
     SHIP_VIEWS, **UNUSUAL,
 )
 def _(s: Source):
-    past = profiles.route_profile(s.shipments.where("status = 'Delivered'"))
+    past = sized(profiles.route_profile(s.shipments.where("status = 'Delivered'")))
     rows = shp.with_carrier_tier(shp.with_route_profile(s.shipments, past), s.carrier_tier)
     return short(flag(rows, "shipment_id", shp.carrier_check())).where("anomaly_type = 'unusual_carrier'")
 
@@ -498,7 +503,7 @@ _EXT = ["shp_unapproved_carrier", "shp_route_indicators", "shp_delay_mode", "shp
     SHIP_VIEWS, **SHIPPED, found=" UNION ALL ".join(R[k] for k in _EXT),
 )
 def _(s: Source):
-    rows = flag_with_combined(s.named_shipments, "shipment_id", *shp.extended_rules(AS_OF))
+    rows = flag_with_combined(moved(s), "shipment_id", *shp.extended_rules())
     return rows.where("anomaly_type = 'combined_risk_factors'").select(
         "src_row", "document_id", "anomaly_type", F.round("risk_score", 6).alias("risk_score"), F.size("evidence").cast("bigint").alias("found")
     )

@@ -136,9 +136,11 @@ def _(s: Source):
     return knn.nearest(qs, docs, 8).select("query_id", F.col("doc_id").alias("vec_id"), "distance", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("udf_embed")
+@q("udf_embed", "SELECT doc_id, chunk_id, b AS slot, round(n / dn, 6) AS weight FROM dtok JOIN dnorm USING (doc_id, chunk_id)")
 def _(s: Source):
-    return indexed(s).select("doc_id", "chunk_id", embed("content").alias("vector"))
+    rows = indexed(s).select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), embed("content").alias("vector"))
+    flat = rows.select("doc_id", "chunk_id", F.posexplode("vector").alias("slot", "weight")).where("weight > 0")
+    return flat.select("doc_id", "chunk_id", F.col("slot").cast("bigint").alias("slot"), F.round("weight", 6).alias("weight"))
 
 
 # --- retrieval ------------------------------------------------------------------------------

@@ -16,7 +16,7 @@ def typed(rows: DataFrame, ddl: str) -> DataFrame:
     def one(name: str, kind: str) -> Column:
         if name not in have:
             return F.lit(None).cast(kind).alias(name)
-        text = F.nullif(F.nullif(F.col(name), F.lit("")), F.lit("null"))
+        text = F.when(~F.col(name).isin("", "null"), F.col(name))
         return (F.try_to_date(text) if kind == "date" else text.try_cast(kind)).alias(name)
 
     wanted = columns(ddl)
@@ -39,15 +39,13 @@ def read_csv_by_name(spark: SparkSession, path: str, ddl: str, id_col: str, widt
     cells = ", ".join(f"c{i} string" for i in range(width))
     raw = spark.read.schema(cells).option("header", False).option("recursiveFileLookup", True).csv(path)
     lines = raw.select(F.array(*[f"c{i}" for i in range(width)]).alias("cells"), F.col("_metadata.file_path").alias("file"))
-    is_header = F.array_contains(F.coalesce("cells", F.array().cast("array<string>")), id_col)
-    headers = lines.where(is_header).groupBy("file").agg(F.min("cells").alias("header"))
+    is_header = F.array_contains("cells", id_col)
+    # where each wanted column stands, worked out once per file
+    places = [(F.array_position("header", n).cast("int") - 1).alias(f"at_{n}") for n, _ in columns(ddl)]
+    headers = lines.where(is_header).groupBy("file").agg(F.min("cells").alias("header")).select("file", *places)
     rows = lines.where(~F.coalesce(is_header, F.lit(False))).join(headers, "file")
-
-    def cell(name: str) -> Column:
-        at = F.array_position("header", name).cast("int")
-        return F.when(at > 0, F.get("cells", at - 1)).alias(name)
-
-    return typed(rows.select(*[cell(n) for n, _ in columns(ddl)], "file"), ddl)
+    named = [F.when(F.col(f"at_{n}") >= 0, F.get("cells", F.col(f"at_{n}"))).alias(n) for n, _ in columns(ddl)]
+    return typed(rows.select(*named, "file"), ddl)
 
 
 def with_file(rows: DataFrame) -> DataFrame:
