@@ -33,8 +33,9 @@ def read_csv(spark: SparkSession, path: str, ddl: str, **options: str) -> DataFr
 def read_csv_by_name(spark: SparkSession, path: str, ddl: str, id_col: str, width: int = 40) -> DataFrame:
     """CSV files whose headers differ from file to file: columns are found by name in each file.
 
-    Cells are read by position; the line that names ``id_col`` tells each file's order, and a join on
-    the file brings it to the rows. Files without such a line have no records.
+    Cells are read by position; the line that names ``id_col`` and most other columns tells each file's
+    order, and a join on the file brings it to the rows. Repeated header lines are no records, and files
+    without a header have none.
     """
     cells = ", ".join(f"c{i} string" for i in range(width))
     raw = spark.read.schema(cells).option("header", False).option("recursiveFileLookup", True).csv(path)
@@ -42,7 +43,8 @@ def read_csv_by_name(spark: SparkSession, path: str, ddl: str, id_col: str, widt
     is_header = F.array_contains("cells", id_col)
     # where each wanted column stands, worked out once per file
     places = [(F.array_position("header", n).cast("int") - 1).alias(f"at_{n}") for n, _ in columns(ddl)]
-    headers = lines.where(is_header).groupBy("file").agg(F.min("cells").alias("header")).select("file", *places)
+    known = F.size(F.array_intersect("cells", F.array(*[F.lit(n) for n, _ in columns(ddl)])))
+    headers = lines.where(is_header).groupBy("file").agg(F.max_by("cells", F.struct(known, "cells")).alias("header")).select("file", *places)
     rows = lines.where(~F.coalesce(is_header, F.lit(False))).join(headers, "file")
     named = [F.when(F.col(f"at_{n}") >= 0, F.get("cells", F.col(f"at_{n}"))).alias(n) for n, _ in columns(ddl)]
     return typed(rows.select(*named, "file"), ddl)
