@@ -33,12 +33,14 @@ def entity_index(events: DataFrame) -> DataFrame:
 
 
 def with_reverse(edges: DataFrame) -> DataFrame:
-    """Edges and their reverses, each once."""
-    back = edges.select(
+    """Edges and their reverses, each once; the names differ, so distinct edges have distinct reverses."""
+    there = F.struct("source", "target", "relationship_type")
+    back = F.struct(
         F.col("target").alias("source"), F.col("source").alias("target"),
         F.concat("relationship_type", F.lit("_reverse")).alias("relationship_type"),
     )
-    return edges.select("source", "target", "relationship_type").unionByName(back).distinct()
+    base = edges.select("source", "target", "relationship_type").distinct()
+    return base.select(F.explode(F.array(there, back)).alias("e")).select("e.*")
 
 
 def record_edges(invoices: DataFrame, shipments: DataFrame, policies: DataFrame | None = None) -> DataFrame:

@@ -22,6 +22,7 @@ class Source:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables carry times without a zone
 
     def __getattr__(self, name: str) -> DataFrame:
         return fixtures.view(self.spark, self.sf_dir, name)
