@@ -230,10 +230,12 @@ def _(s: Source):
 
 @q(
     "agg_chain_confidence",
-    "SELECT root_id, count(*) AS links, round(avg(confidence), 6) AS overall_confidence FROM chain GROUP BY root_id",
+    "SELECT root_id, count(*) AS links, round(avg(confidence) * count(*), 4) AS confidence_total FROM chain GROUP BY root_id",
 )
 def _(s: Source):
-    return causal.chain_confidence(chains(s)[0]).withColumn("overall_confidence", F.round("overall_confidence", 6))
+    # compared as mean times count, which is a short decimal
+    rows = causal.chain_confidence(chains(s)[0])
+    return rows.select("root_id", "links", F.round(F.col("overall_confidence") * F.col("links"), 4).alias("confidence_total"))
 
 
 # --- holds ----------------------------------------------------------------------------------

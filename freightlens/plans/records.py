@@ -53,45 +53,52 @@ ROUTE_CARRIER = """SELECT origin, destination, carrier,
  arg_min(expected_route, src_row) AS known_route FROM shipments GROUP BY origin, destination, carrier"""
 
 
+# Means of cents are compared as mean times count: a sum of cents has four places, so no engine's
+# order of addition can tip its last digit.
+
+
+def total(mean: str, n: str, name: str):
+    return F.round(F.col(mean) * F.col(n), 4).alias(name)
+
+
 @query(
     "agg_supplier_profile",
-    """SELECT supplier, round(avg_amount, 4) AS avg_amount, round(std_amount, 4) AS std_amount, typical_terms,
- round(avg_discount, 6) AS avg_discount, invoice_count, round(flagged_rate, 6) AS flagged_rate
+    """SELECT supplier, round(avg_amount * invoice_count, 4) AS amount_total, round(std_amount, 4) AS std_amount, typical_terms,
+ round(avg_discount * invoice_count, 4) AS discount_total, invoice_count, round(flagged_rate, 6) AS flagged_rate
  FROM profile JOIN modes USING (supplier)""",
     "invoices", profile=PROFILE, modes=MODES,
 )
 def _(s: Source):
     return profiles.supplier_profile(s.invoices).select(
-        "supplier", F.round("avg_amount", 4).alias("avg_amount"), F.round("std_amount", 4).alias("std_amount"),
-        "typical_terms", F.round("avg_discount", 6).alias("avg_discount"), "invoice_count",
-        F.round("flagged_rate", 6).alias("flagged_rate"),
+        "supplier", total("avg_amount", "invoice_count", "amount_total"), F.round("std_amount", 4).alias("std_amount"), "typical_terms",
+        total("avg_discount", "invoice_count", "discount_total"), "invoice_count", F.round("flagged_rate", 6).alias("flagged_rate"),
     )
 
 
 @query(
     "agg_invoice_history",
-    """SELECT supplier, payment_terms, hist_n, round(hist_avg, 4) AS hist_avg, round(hist_std, 4) AS hist_std,
- round(hist_discount, 6) AS hist_discount, coalesce(array_to_string(approvers, ','), '') AS approvers FROM history""",
+    """SELECT supplier, payment_terms, hist_n, round(hist_avg * hist_n, 4) AS amount_total, round(hist_std, 4) AS hist_std,
+ round(hist_discount * hist_n, 4) AS discount_total, coalesce(array_to_string(approvers, ','), '') AS approvers FROM history""",
     "invoices", history=HISTORY,
 )
 def _(s: Source):
     return profiles.invoice_history(s.invoices).select(
-        "supplier", "payment_terms", "hist_n", F.round("hist_avg", 4).alias("hist_avg"), F.round("hist_std", 4).alias("hist_std"),
-        F.round("hist_discount", 6).alias("hist_discount"), F.array_join("approvers", ",").alias("approvers"),
+        "supplier", "payment_terms", "hist_n", total("hist_avg", "hist_n", "amount_total"), F.round("hist_std", 4).alias("hist_std"),
+        total("hist_discount", "hist_n", "discount_total"), F.array_join("approvers", ",").alias("approvers"),
     )
 
 
 @query(
     "agg_route_profile",
     """SELECT origin, destination, array_to_string(common_carriers, ',') AS common_carriers,
- round(avg_risk_score, 6) AS avg_risk_score, round(avg_transit_days, 6) AS avg_transit_days,
+ round(avg_risk_score * route_rows, 4) AS risk_total, round(avg_transit_days, 6) AS avg_transit_days,
  round(anomaly_rate, 6) AS anomaly_rate, route_rows FROM route""",
     "shipments", route=ROUTE,
 )
 def _(s: Source):
     return profiles.route_profile(s.shipments).select(
         "origin", "destination", F.array_join("common_carriers", ",").alias("common_carriers"),
-        F.round("avg_risk_score", 6).alias("avg_risk_score"), F.round("avg_transit_days", 6).alias("avg_transit_days"),
+        total("avg_risk_score", "route_rows", "risk_total"), F.round("avg_transit_days", 6).alias("avg_transit_days"),
         F.round("anomaly_rate", 6).alias("anomaly_rate"), "route_rows",
     )
 
@@ -99,13 +106,13 @@ def _(s: Source):
 @query(
     "agg_route_carrier_history",
     """SELECT origin, destination, carrier, transit_n, round(avg_transit_hours, 6) AS avg_transit_hours, risk_n,
- round(avg_risk_score, 6) AS avg_risk_score, round(avg_value, 6) AS avg_value, round(std_value, 4) AS std_value, known_route FROM rc""",
+ round(avg_risk_score * risk_n, 4) AS risk_total, round(avg_value * risk_n, 4) AS value_total, round(std_value, 4) AS std_value, known_route FROM rc""",
     "shipments", rc=ROUTE_CARRIER,
 )
 def _(s: Source):
     return profiles.route_carrier_history(s.shipments).select(
         "origin", "destination", "carrier", "transit_n", F.round("avg_transit_hours", 6).alias("avg_transit_hours"), "risk_n",
-        F.round("avg_risk_score", 6).alias("avg_risk_score"), F.round("avg_value", 6).alias("avg_value"),
+        total("avg_risk_score", "risk_n", "risk_total"), total("avg_value", "risk_n", "value_total"),
         F.round("std_value", 4).alias("std_value"), "known_route",
     )
 
@@ -115,14 +122,12 @@ def _(s: Source):
 
 @query(
     "join_supplier_profile",
-    """SELECT src_row, invoice_id, supplier, amount, round(avg_amount, 4) AS avg_amount, invoice_count
+    """SELECT src_row, invoice_id, supplier, amount, round(avg_amount * invoice_count, 4) AS amount_total, invoice_count
  FROM invoices LEFT JOIN profile USING (supplier)""",
     "invoices", profile=PROFILE,
 )
 def _(s: Source):
-    return profiled(s).select(
-        "src_row", "invoice_id", "supplier", "amount", F.round("avg_amount", 4).alias("avg_amount"), "invoice_count"
-    )
+    return profiled(s).select("src_row", "invoice_id", "supplier", "amount", total("avg_amount", "invoice_count", "amount_total"), "invoice_count")
 
 
 @query(
@@ -140,14 +145,14 @@ def _(s: Source):
 
 @query(
     "join_route_carrier_history",
-    """SELECT src_row, shipment_id, carrier, round(avg_value, 6) AS avg_value, known_route
- FROM shipments LEFT JOIN rc USING (origin, destination, carrier)""",
+    """SELECT src_row, shipment_id, carrier, round(avg_value * n, 4) AS value_total, known_route FROM shipments
+ LEFT JOIN (SELECT *, risk_n AS n FROM rc) h USING (origin, destination, carrier)""",
     "shipments", rc=ROUTE_CARRIER,
 )
 def _(s: Source):
-    return valued(s).select(
-        "src_row", "shipment_id", "carrier", F.round("avg_value", 6).alias("avg_value"), "known_route"
-    )
+    history = sized(profiles.route_carrier_history(s.shipments))
+    rows = s.shipments.join(history.select("origin", "destination", "carrier", "avg_value", "risk_n", "known_route"), ["origin", "destination", "carrier"], "left")
+    return rows.select("src_row", "shipment_id", "carrier", total("avg_value", "risk_n", "value_total"), "known_route")
 
 
 @query(
