@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sizing import sized
 from ..schemas import all_text, columns
 
 
@@ -37,15 +38,23 @@ def read_csv_by_name(spark: SparkSession, path: str, ddl: str, id_col: str, widt
     order, and a join on the file brings it to the rows. Repeated header lines are no records, and files
     without a header have none.
     """
-    cells = ", ".join(f"c{i} string" for i in range(width))
-    raw = spark.read.schema(cells).option("header", False).option("recursiveFileLookup", True).csv(path)
-    lines = raw.select(F.array(*[f"c{i}" for i in range(width)]).alias("cells"), F.col("_metadata.file_path").alias("file"))
-    is_header = F.array_contains("cells", id_col)
+    names = [f"c{i}" for i in range(width)]
+    cells = ", ".join(f"{n} string" for n in names)
+    file = F.col("_metadata.file_path").alias("file")
+
+    # header lines: a cheap text scan for the id column's name, only what matches is parsed
+    parsed = F.from_csv("value", F.lit(cells))
+    heads = spark.read.text(path, recursiveFileLookup=True).where(F.col("value").contains(id_col)).select(parsed.alias("p"), file)
+    heads = heads.select(F.array(*[f"p.{n}" for n in names]).alias("cells"), "file").where(F.array_contains("cells", id_col))
+    known = F.size(F.array_intersect("cells", F.array(*[F.lit(n) for n, _ in columns(ddl)])))
     # where each wanted column stands, worked out once per file
     places = [(F.array_position("header", n).cast("int") - 1).alias(f"at_{n}") for n, _ in columns(ddl)]
-    known = F.size(F.array_intersect("cells", F.array(*[F.lit(n) for n, _ in columns(ddl)])))
-    headers = lines.where(is_header).groupBy("file").agg(F.max_by("cells", F.struct(known, "cells")).alias("header")).select("file", *places)
-    rows = lines.where(~F.coalesce(is_header, F.lit(False))).join(headers, "file")
+    headers = heads.groupBy("file").agg(F.max_by("cells", F.struct(known, "cells")).alias("header")).select("file", *places)
+    headers = sized(headers)  # one row per file: the data stays where it lies
+
+    raw = spark.read.schema(cells).option("header", False).option("recursiveFileLookup", True).csv(path)
+    lines = raw.select(F.array(*names).alias("cells"), file)
+    rows = lines.where(~F.coalesce(F.array_contains("cells", id_col), F.lit(False))).join(headers, "file")
     named = [F.when(F.col(f"at_{n}") >= 0, F.get("cells", F.col(f"at_{n}"))).alias(n) for n, _ in columns(ddl)]
     return typed(rows.select(*named, "file"), ddl)
 
