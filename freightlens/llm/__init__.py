@@ -5,21 +5,25 @@ from __future__ import annotations
 
 def catalogue():
     """The queries of this subpackage and the SQL of those that SQL can express."""
-    from . import chat, decontam, lines, packing, sharding, token_counts, topk, toxicity
+    from . import chat, decontam, jaccard, lines, packing, sharding, substring, token_counts, topk, toxicity
 
     queries = {
         "op1_topk": topk.op1_topk,
         "op2_sharding": sharding.op2_sharding,
+        "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op7_substring_dedup": substring.op7_substring_dedup,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_decontamination": decontam.op9_decontamination,
         "op10_line_dedup": lines.op10_line_dedup,
     }
     sql = {
         "op1_topk": topk.OP1_SQL,
+        "op3_ngram_jaccard": jaccard.OP3_SQL,
         "op5_token_counts": token_counts.OP5_SQL,
+        "op7_substring_dedup": substring.OP7_SQL,
         "op8_chat_formatting": chat.OP8_SQL,
         "op9_decontamination": decontam.OP9_SQL,
         "op10_line_dedup": lines.OP10_SQL,
