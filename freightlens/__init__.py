@@ -1 +1 @@
-"""Logistics data quality, causality and retrieval on Spark DataFrames."""
+"""Data quality of freight and invoices, causality and retrieval on Spark DataFrames."""

@@ -1,4 +1,4 @@
-"""Logistics views over the driver tables, written once in SQL both Spark and DuckDB accept.
+"""Freight and finance views over the driver tables, written once in SQL both Spark and DuckDB accept.
 
 ``src_row`` is the explicit arrival order: business ids repeat, this key does not.
 """
@@ -44,6 +44,14 @@ FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} O
  JOIN {{nation}} cn ON c_nationkey = cn.n_nationkey
 """
 
+# carriers approved per freight mode, and those of the shipment guidelines
+APPROVED_BY_MODE = {
+    "air": ["Northwind Shipping", "Skyline Express"],
+    "ocean": ["Blue Ocean Lines", "Northwind Shipping", "Maritime Union"],
+    "ground": ["Countrywide Express", "Valley Carriers"],
+}
+GUIDELINE_CARRIERS = ["Northwind Shipping", "Harbour Worldwide"]
+
 _PLACE = """CASE {col} WHEN 'NATION_0' THEN 'New York USA' WHEN 'NATION_1' THEN 'London UK'
  WHEN 'NATION_2' THEN 'Shanghai China' WHEN 'NATION_3' THEN 'Unknown' WHEN 'NATION_4' THEN 'fake'
  WHEN 'NATION_5' THEN 'Hamburg Germany' WHEN 'NATION_6' THEN 'Tokyo Japan' WHEN 'NATION_7' THEN 'Busan Korea'
@@ -53,8 +61,8 @@ _PLACE = """CASE {col} WHEN 'NATION_0' THEN 'New York USA' WHEN 'NATION_1' THEN
 NAMED_SHIPMENTS = f"""
 SELECT src_row, shipment_id, {_PLACE.format(col='origin')} AS origin, {_PLACE.format(col='destination')} AS destination,
  CASE carrier WHEN 'Carrier 11' THEN 'Suspicious Cargo' WHEN 'Carrier 10' THEN 'Alternative Freight'
-  WHEN 'Carrier 9' THEN 'global shipping inc (air)' WHEN 'Carrier 8' THEN 'Express Worldwide'
-  WHEN 'Carrier 7' THEN 'Maritime' WHEN 'Carrier 6' THEN 'Nationwide Express' ELSE carrier END AS carrier,
+  WHEN 'Carrier 9' THEN 'northwind shipping (air)' WHEN 'Carrier 8' THEN 'Harbour Worldwide'
+  WHEN 'Carrier 7' THEN 'Maritime' WHEN 'Carrier 6' THEN 'Countrywide Express' ELSE carrier END AS carrier,
  departure_date, estimated_arrival, actual_arrival, status,
  CASE WHEN driver_id = 'DRV-7' THEN CAST(12000 AS DOUBLE) ELSE value END AS value,
  risk_score, anomaly_type, driver_id, actual_route, expected_route
@@ -128,26 +136,12 @@ VIEWS = {
 }
 
 
-_FACTS = {"lineitem", "documents", "events"}
-
-
-def _spread(rows: DataFrame, most: int = 16) -> DataFrame:
-    """Deal out a fact table that comes as fewer splits than there are cores.
-
-    A small file with one row group is one task however many cores wait. A table of many files has
-    splits enough and is left as it is, so at scale there is no such shuffle.
-    """
-    wanted = min(rows.sparkSession.sparkContext.defaultParallelism, most)
-    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return _spread(rows) if name in _FACTS else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table or one of the logistics views over them."""
+    """A driver table or one of the views over them."""
     if name in _TABLES:
         return table(spark, sf_dir, name)
     sql = VIEWS[name]

@@ -1,21 +1,20 @@
-"""Broadcast only what has been counted."""
+"""Baselines whose size is known before they are joined."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import uuid
 
-from ..session import cut_lineage
+from pyspark.sql import DataFrame
 
-MAX_ROWS = 200_000
+from ..session import shared_folder
 
 
-def sized(small: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """A baseline ready to be joined: computed once, counted, and broadcast only if it is small.
+def sized(small: DataFrame) -> DataFrame:
+    """A baseline ready to be joined: computed once, written to the shared folder and read back.
 
-    The result is written to the checkpoint folder, so the fact table is not read again for it. Up to
-    ``max_rows`` rows it is broadcast and the records are joined where they lie, however skewed their
-    keys; beyond that the join shuffles, with AQE splitting hot keys.
+    The fact table is not read again for it, and its size in bytes is known, so Spark broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyond it, with AQE splitting hot keys.
     """
-    ready = cut_lineage(small)
-    return F.broadcast(ready) if ready.count() <= max_rows else ready
+    path = f"{shared_folder(small.sparkSession)}/freightlens/baseline-{uuid.uuid4().hex}"
+    small.write.parquet(path)
+    return small.sparkSession.read.schema(small.schema).parquet(path)

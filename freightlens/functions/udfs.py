@@ -1,4 +1,4 @@
-"""Escape hatches for logic that has to stay in Python: batches of Arrow rows, never single rows."""
+"""Escape hatches for logic that has to stay in Python: functions of whole Arrow batches."""
 
 from __future__ import annotations
 
@@ -11,20 +11,30 @@ from pyspark.sql import functions as F
 from ..operators.chunks import OVERLAP, SIZE, split_text
 
 
-def row_apply(columns: Sequence[str], fn: Callable[[dict], object], returns: str) -> Column:
-    """A function of a row dict as a column; the named columns make the dict."""
+def batch_apply(columns: Sequence[str], fn: Callable[[pd.DataFrame], pd.Series], returns: str) -> Column:
+    """A vectorised function of a batch as a column; the batch has the named columns."""
 
     @F.pandas_udf(returns)
     def run(batch: pd.DataFrame) -> pd.Series:
+        return fn(batch)
+
+    return run(F.struct(*columns))
+
+
+def row_apply(columns: Sequence[str], fn: Callable[[dict], object], returns: str) -> Column:
+    """A function of a row dict as a column: one Python call per row, the slow way, for logic that no
+    batch function expresses."""
+
+    def each(batch: pd.DataFrame) -> pd.Series:
         clean = batch.astype(object).where(batch.notna(), None)
         return pd.Series([fn(r) for r in clean.to_dict("records")])
 
-    return run(F.struct(*columns))
+    return batch_apply(columns, each, returns)
 
 
-def filter_apply(rows: DataFrame, columns: Sequence[str], fn: Callable[[dict], bool]) -> DataFrame:
-    """Rows a Python predicate accepts."""
-    return rows.where(row_apply(columns, lambda r: bool(fn(r)), "boolean"))
+def filter_apply(rows: DataFrame, columns: Sequence[str], fn: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """Rows that a vectorised predicate accepts."""
+    return rows.where(batch_apply(columns, fn, "boolean"))
 
 
 @F.udtf(returnType="chunk_id int, chunk string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import refdata as ref
 from ..functions.columns import text_id
 from ..session import cut_lineage
-from .intervals import micros, within
+from .intervals import micros, up_to, within
 from .ranking import latest_per_entity, top_per_group
 
 US = 1_000_000
@@ -81,6 +81,8 @@ def link_rules(spark: SparkSession, rules=ref.CAUSAL_RULES, boosts=ref.PAIR_BOOS
 
     Strength is a step function of the gap, so the thresholds turn into gap limits before any join.
     """
+    if any(c == e for c, e, *_ in rules):
+        raise ValueError("a rule's cause and effect must be of different types")
     boost = {(c, e): b for c, e, b in boosts}
     pairs: dict[tuple[str, str], list[int]] = {}
     for cause, effect, window, threshold in rules:
@@ -153,6 +155,75 @@ def causal_links(events: DataFrame, rules: DataFrame, scope: str = "any") -> Dat
     )
 
 
+def _pair_points(points: DataFrame, moments: list[tuple[Column, bool, int]]) -> DataFrame:
+    """Every row of ``points`` at several moments, each with its weight in the count."""
+    asked = [F.struct(us.alias("us"), F.lit(before).alias("before"), F.lit(weight).alias("weight")) for us, before, weight in moments]
+    return points.withColumn("_m", F.explode(F.array(*asked))).select("*", "_m.*").drop("_m")
+
+
+def linked(events: DataFrame, rules: DataFrame, side: str = "effect") -> DataFrame:
+    """Per event on one ``side`` of a rule: how many links of the rule it has, and the strongest one.
+
+    Events of all entities count; one entity only raises the strength. The strength falls with the gap in
+    steps, so links are counted by running totals up to the event and up to the far end of its reach, and
+    the strongest is the nearest event of the other type or the nearest one of the same entity. No pairs
+    are made. Columns: event_id and the event's other columns, cause_type, effect_type, links, confidence,
+    gap_us and other_* of the other end. Of equally strong ones the nearest counts, then the largest id.
+    """
+    other = "cause" if side == "effect" else "effect"
+    sign = 1 if side == "effect" else -1  # for causes time runs backwards
+    base = events.select(*_SIDE, normal_type().alias("kind"), (micros("ts") * sign).alias("t"))
+    live = F.broadcast(rules.where("same_us >= 0"))
+    pair = ["cause_type", "effect_type"]
+    points = base.join(live.withColumnRenamed(f"{side}_type", "kind"), "kind").withColumnRenamed("kind", f"{side}_type")
+    marks = base.join(live.withColumnRenamed(f"{other}_type", "kind"), "kind").withColumnRenamed("kind", f"{other}_type")
+    marks = marks.select(*pair, F.col("t").alias("us"), "entity_id", F.struct(*_SIDE).alias("tag"))
+    ask = points.select(*pair, "event_id", "entity_id", "t", "same_us", "any_us")
+
+    def totals(found: DataFrame, name: str) -> DataFrame:
+        return found.groupBy(*pair, "event_id").agg(
+            F.sum(F.col("n") * F.col("weight")).alias(f"n_{name}"), F.max(F.when(F.col("us") == F.col("t"), F.col("last"))).alias(f"last_{name}")
+        )
+
+    t = F.col("t")
+    anyone = _pair_points(ask.where("any_us >= 0"), [(t, False, 1), (t - F.col("any_us"), True, -1)])
+    anyone = totals(up_to(anyone.drop("entity_id", "same_us", "any_us"), marks.drop("entity_id"), pair), "any")
+    # of the same entity those that the first count has not reached
+    own = ask.where("entity_id IS NOT NULL")
+    reached = _pair_points(own.where("any_us >= 0"), [(t, False, 0), (t - F.col("any_us"), True, 1), (t - F.col("same_us"), True, -1)])
+    alone = _pair_points(own.where("any_us < 0"), [(t, False, 1), (t - F.col("same_us"), True, -1)])
+    same = reached.unionByName(alone).drop("same_us", "any_us")
+    same = totals(up_to(same, marks.where("entity_id IS NOT NULL"), [*pair, "entity_id"]), "same")
+
+    def candidate(name: str, reach: str) -> Column:
+        last = F.col(f"last_{name}")
+        gap = t - last["us"]
+        power = strength(gap, F.coalesce(last["tag"]["entity_id"] == F.col("entity_id"), F.lit(False)), F.col("boost"))
+        return F.when(gap <= F.col(reach), F.struct(power.alias("confidence"), (-gap).alias("near"), last["tag"].alias("other")))
+
+    rows = points.join(anyone, [*pair, "event_id"], "left").join(same, [*pair, "event_id"], "left")
+    n = F.coalesce("n_any", F.lit(0)) + F.coalesce("n_same", F.lit(0))
+    best = F.greatest(candidate("any", "any_us"), candidate("same", "same_us"))
+    rows = rows.withColumn("links", n.cast("bigint")).withColumn("best", best).where("links > 0")
+    return rows.select(
+        *_SIDE, *pair, "links", F.col("best.confidence").alias("confidence"), (-F.col("best.near")).alias("gap_us"),
+        *[F.col(f"best.other.{c}").alias(f"other_{c}") for c in _SIDE],
+    )
+
+
+def strongest_links(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """The strongest cause of each type for every effect, in the columns of ``causal_links``, with the
+    number of causes of that type that reach the threshold (``causes``)."""
+    found = linked(events, rules, "effect")
+    return found.select(
+        F.col("other_event_id").alias("cause_id"), F.col("event_id").alias("effect_id"), "cause_type", "effect_type",
+        F.col("other_entity_id").alias("cause_entity_id"), F.col("entity_id").alias("effect_entity_id"),
+        F.col("other_entity_type").alias("cause_entity_type"), F.col("entity_type").alias("effect_entity_type"),
+        F.col("other_description").alias("cause_description"), F.col("description").alias("effect_description"),
+        "gap_us", "confidence", F.col("links").alias("causes"),
+    )
+
+
 def link_evidence() -> Column:
     """What speaks for a link, as texts."""
     known = (F.col("cause_type") == "driver_risk_increase") & (F.col("effect_type") == "shipment_delay")
@@ -456,17 +527,18 @@ def events_near(events: DataFrame, points: DataFrame, window_s: int = 7 * ref.DA
 # --- risk of events -------------------------------------------------------------------------
 
 
-def link_stats(links: DataFrame) -> DataFrame:
-    """Per event: number of links and whether one leads to a driver risk event."""
-    ends = links.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("cause_id").alias("event_id"), F.col("effect_type").alias("other")),
-                F.struct(F.col("effect_id").alias("event_id"), F.col("cause_type").alias("other")),
-            )
-        ).alias("x")
-    ).select("x.*")
-    return ends.groupBy("event_id").agg(F.count("*").alias("links"), F.bool_or(F.col("other").contains("driver_risk")).alias("near_driver_risk"))
+def link_stats(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """Per event: number of links at either end and whether one leads to a driver risk event."""
+    as_effect = linked(events, rules, "effect").select("event_id", "links", F.col("cause_type").alias("other"))
+    as_cause = linked(events, rules, "cause").select("event_id", "links", F.col("effect_type").alias("other"))
+    ends = as_effect.unionByName(as_cause)
+    return ends.groupBy("event_id").agg(F.sum("links").alias("links"), F.bool_or(F.col("other").contains("driver_risk")).alias("near_driver_risk"))
+
+
+def root_events(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """Events that are a cause of some link and an effect of none."""
+    causes = linked(events, rules, "cause").select("event_id").distinct()
+    return causes.join(linked(events, rules, "effect").select("event_id"), "event_id", "left_anti")
 
 
 def risk_level(metadata: Column | None = None) -> Column:

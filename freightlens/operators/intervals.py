@@ -62,3 +62,31 @@ def count_near(points: DataFrame, events: DataFrame, window_s: int, point_us: st
     lo = up_to(distinct, F.col("_pid") - reach, True, "_lo")
     totals = hi.join(lo, "_pid").select("_pid", (F.col("_hi") - F.col("_lo")).alias("near"))
     return keyed.join(totals, "_pid").drop("_pid")
+
+
+def up_to(points: DataFrame, marks: DataFrame, keys: list[str], step_s: int = 60) -> DataFrame:
+    """For every point the number of marks of its key up to its moment, and the last of them.
+
+    ``marks`` are (keys, us, tag), ``points`` are (keys, us, before, *anything); with ``before`` a mark at
+    the same moment does not count. Added are ``n`` and ``last``, the struct (us, tag) of the last mark or
+    null. No pairs are made: within a time step marks and points lie in one order, and what came in earlier
+    steps is a running total over steps. A key that holds most rows is spread over its steps.
+    """
+    step = F.floor(F.col("us") / (step_s * 1_000_000)).cast("bigint")
+    extra = [c for c in points.columns if c not in (*keys, "us", "before")]
+    mark = F.struct("us", "tag")
+    lined = marks.select(*keys, "us", F.lit(1).alias("_order"), mark.alias("_mark"), *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in extra])
+    asked = points.select(
+        *keys, "us", F.when(F.col("before"), 0).otherwise(2).alias("_order"), F.lit(None).cast(lined.schema["_mark"].dataType).alias("_mark"), *extra
+    )
+    rows = lined.unionByName(asked).withColumn("_step", step)
+    within_step = Window.partitionBy(*keys, "_step").orderBy("us", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    steps = rows.groupBy(*keys, "_step").agg(F.count("_mark").alias("_n"), F.max("_mark").alias("_last"))
+    # one row per occupied step of a key: the calendar, not the log
+    earlier = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    before = steps.select(*keys, "_step", F.sum("_n").over(earlier).alias("_n0"), F.max("_last").over(earlier).alias("_last0"))
+    own = rows.withColumn("_n1", F.count("_mark").over(within_step)).withColumn("_last1", F.max("_mark").over(within_step))
+    return own.where("_order <> 1").join(before, [*keys, "_step"]).select(
+        *keys, "us", *extra,
+        (F.col("_n1") + F.coalesce("_n0", F.lit(0))).alias("n"), F.coalesce("_last1", "_last0").alias("last"),
+    )

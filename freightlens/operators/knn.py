@@ -76,7 +76,8 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, block: int = BLOCK) ->
             part = _block(docs, rows, k)
             out = part if out is None else out.unionByName(part)
     if out is None:
-        raise ValueError("no queries")
+        kind = dict(queries.dtypes)["query_id"]
+        out = queries.sparkSession.createDataFrame([], f"query_id {kind}, doc_type string, doc_id bigint, chunk_id bigint, distance double")
     w = Window.partitionBy("query_id", "doc_type").orderBy("distance", "doc_id", "chunk_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

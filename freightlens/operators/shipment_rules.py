@@ -48,13 +48,13 @@ def with_transport(shipments: DataFrame, as_of: str) -> DataFrame:
     return shipments.withColumn("mode", freight_mode()).withColumn("late_hours", late_hours(as_of))
 
 
-def approved_for(mode: Column, by_mode: dict[str, list[str]] = ref.APPROVED_BY_MODE) -> Column:
+def approved_for(mode: Column, by_mode: dict[str, list[str]]) -> Column:
     """The approved names of a mode, as an array literal of the small policy list."""
     table = F.create_map(*[x for m, names in by_mode.items() for x in (F.lit(m), F.array(*[F.lit(n) for n in names]))])
     return F.try_element_at(table, mode)
 
 
-def unapproved_carrier(by_mode: dict[str, list[str]] = ref.APPROVED_BY_MODE) -> Column:
+def unapproved_carrier(by_mode: dict[str, list[str]]) -> Column:
     """No approved name of the mode is part of the carrier's name, nor the other way round."""
     mode, low = F.col("mode"), F.lower("carrier")
     near = F.exists(approved_for(mode, by_mode), lambda n: low.contains(F.lower(n)) | F.lower(n).contains(low))
@@ -348,7 +348,7 @@ def feed_description() -> Column:
     )
 
 
-def guideline_risk(approved: list[str] = ref.GUIDELINE_CARRIERS, max_variance: float = 0.25) -> Column:
+def guideline_risk(approved: list[str], max_variance: float = 0.25) -> Column:
     """Struct of score and severity from carrier approval and value variance."""
     v, mean = F.coalesce("value", F.lit(0.0)), F.coalesce(F.col("avg_value"), F.col("value"), F.lit(0.0))
     variance = F.when(mean > 0, F.abs(v - mean) / mean).otherwise(0.0)
@@ -367,6 +367,6 @@ def main_rules(as_of: str) -> list[Column]:
     ]
 
 
-def extended_rules() -> list[Column]:
+def extended_rules(by_mode: dict[str, list[str]]) -> list[Column]:
     """The checks of the second detector; needs the columns of ``with_transport``."""
-    return [unapproved_carrier(), route_indicators(), delay_by_mode(), value_pattern()]
+    return [unapproved_carrier(by_mode), route_indicators(), delay_by_mode(), value_pattern()]

@@ -27,25 +27,28 @@ def _values(rows, cols: str) -> str:
 _S = "(50 + CASE WHEN gap <= 3600000000 THEN 30 WHEN gap <= 86400000000 THEN 20 WHEN gap <= 259200000000 THEN 10 ELSE 0 END + CASE WHEN same THEN 20 ELSE 0 END + boost)"
 
 
-def _links(rules: str, same_only: bool) -> str:
-    extra = "AND e.entity_id = c.entity_id" if same_only else ""
+def _links(rules: str) -> str:
     return f"""SELECT DISTINCT cause_id, effect_id, cause_type, effect_type, cause_entity_id, effect_entity_id, cause_entity_type, effect_entity_type, gap,
  CAST(least({_S}, 100) AS DOUBLE) / 100 AS confidence FROM (SELECT c.event_id AS cause_id, e.event_id AS effect_id, c.event_type AS cause_type, e.event_type AS effect_type,
   c.entity_id AS cause_entity_id, e.entity_id AS effect_entity_id, c.entity_type AS cause_entity_type, e.entity_type AS effect_entity_type, e.us - c.us AS gap,
   c.entity_id = e.entity_id AS same, coalesce(b.points, 0) AS boost, r.threshold FROM ev c JOIN {rules} r ON r.cause_type = c.event_type
-  JOIN ev e ON e.event_type = r.effect_type AND e.us - c.us BETWEEN 0 AND CAST(r.window_s AS BIGINT) * 1000000 {extra}
+  JOIN ev e ON e.event_type = r.effect_type AND e.us - c.us BETWEEN 0 AND CAST(r.window_s AS BIGINT) * 1000000
   LEFT JOIN boosts b ON b.cause_type = c.event_type AND b.effect_type = e.event_type) p WHERE {_S} >= round(threshold * 100)"""
 
 
+# of every effect and cause type the strongest cause, then the nearest, then the largest id
+_BEST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY effect_id, cause_type ORDER BY confidence DESC, gap, cause_id DESC) AS place,
+ count(*) OVER (PARTITION BY effect_id, cause_type) AS causes FROM {}) x WHERE place = 1"""
+
 CTES = dict(
     ev="SELECT *, epoch_us(ts) AS us FROM causal_events",
     rules=_values(ref.CAUSAL_RULES, "cause_type, effect_type, window_s, threshold"),
     crules=_values(CHAIN_RULES, "cause_type, effect_type, window_s, threshold"),
     boosts=_values([(c, e, round(b * 100)) for c, e, b in ref.PAIR_BOOST], "cause_type, effect_type, points"),
-    links=_links("rules", True),
-    alinks=_links("rules", False),
-    clinks=_links("crules", True),
-    roots="SELECT DISTINCT cause_id AS event_id FROM links WHERE cause_id NOT IN (SELECT effect_id FROM links)",
+    alinks=_links("rules"),
+    links=_BEST.format("alinks"),
+    clinks=_BEST.format(f"({_links('crules')}) all_links"),
+    roots="SELECT DISTINCT cause_id AS event_id FROM alinks WHERE cause_id NOT IN (SELECT effect_id FROM alinks)",
     croots="SELECT DISTINCT cause_id AS event_id FROM clinks WHERE cause_id NOT IN (SELECT effect_id FROM clinks)",
     l1="SELECT cause_id AS root_id, effect_id AS event_id, min(cause_id) AS parent_id, arg_min(confidence, cause_id) AS confidence, 1 AS depth FROM clinks "
     "WHERE cause_id IN (SELECT event_id FROM croots) GROUP BY cause_id, effect_id",
@@ -65,8 +68,8 @@ CTES = dict(
  WHERE NOT (c.entity_id = a.entity_id AND c.event_type = 'shipment_anomaly')) x
  WHERE (rel OR cause_event_type IN ('weather_event', 'driver_risk_increase', 'route_change')) AND (1.0 - gap / 259200000000.0 + CASE WHEN rel THEN 1.0 ELSE 0.5 END) / 2 >= 0.7""",
     ranked="SELECT *, row_number() OVER (PARTITION BY anomaly_id ORDER BY causal_strength DESC, cause_id) AS rank FROM causes",
-    stats="SELECT event_id, count(*) AS links, bool_or(other LIKE '%driver_risk%') AS near_driver_risk FROM (SELECT cause_id AS event_id, effect_type AS other FROM links "
-    "UNION ALL SELECT effect_id, cause_type FROM links) x GROUP BY event_id",
+    stats="SELECT event_id, count(*) AS links, bool_or(other LIKE '%driver_risk%') AS near_driver_risk FROM (SELECT cause_id AS event_id, effect_type AS other FROM alinks "
+    "UNION ALL SELECT effect_id, cause_type FROM alinks) x GROUP BY event_id",
     levels="""SELECT ev.*, CASE WHEN event_type LIKE '%driver_risk_increase%' OR coalesce(links, 0) > 3 OR coalesce(near_driver_risk, false) THEN 'high' ELSE 'medium' END AS level
  FROM ev LEFT JOIN stats USING (event_id)""",
 )
@@ -76,12 +79,12 @@ def q(name: str, sql: str, **extra: str):
     return query(name, sql, "causal_events entity_edges", **CTES, **extra)
 
 
-def links(s: Source, scope: str = "same") -> DataFrame:
-    return causal.causal_links(s.causal_events, causal.link_rules(s.spark), scope)
+def links(s: Source) -> DataFrame:
+    return causal.strongest_links(s.causal_events, causal.link_rules(s.spark))
 
 
 def chain_links(s: Source) -> DataFrame:
-    return causal.causal_links(s.causal_events, causal.link_rules(s.spark, CHAIN_RULES), "same")
+    return causal.strongest_links(s.causal_events, causal.link_rules(s.spark, CHAIN_RULES))
 
 
 def edges(s: Source) -> DataFrame:
@@ -171,26 +174,24 @@ def _(s: Source):
 
 @q(
     "causal_links",
-    """SELECT cause_id, effect_id, cause_type, effect_type, confidence, concat('Temporal sequence: ', cause_type, ' occurred ', gap // 1000000, ' seconds before ', effect_type) AS sequence,
+    """SELECT cause_id, effect_id, cause_type, effect_type, confidence, causes, concat('Temporal sequence: ', cause_type, ' occurred ', gap // 1000000, ' seconds before ', effect_type) AS sequence,
  concat('Entity relationship: ', cause_entity_type, ' ', cause_entity_id, ' related to ', effect_entity_type, ' ', effect_entity_id) AS relation,
  CAST(CASE WHEN cause_type = 'driver_risk_increase' AND effect_type = 'shipment_delay' THEN 3 ELSE 2 END AS BIGINT) AS evidence FROM links""",
 )
 def _(s: Source):
     rows = links(s).withColumn("e", causal.link_evidence())
     return rows.select(
-        "cause_id", "effect_id", "cause_type", "effect_type", "confidence", F.get("e", F.lit(0)).alias("sequence"),
+        "cause_id", "effect_id", "cause_type", "effect_type", "confidence", "causes", F.get("e", F.lit(0)).alias("sequence"),
         F.get("e", F.lit(1)).alias("relation"), F.size("e").cast("bigint").alias("evidence"),
     )
 
 
 @q(
     "join_causal_interval",
-    "SELECT effect_id, cause_type, count(*) AS causes, max(confidence) AS best, min(gap) AS nearest_us FROM alinks GROUP BY effect_id, cause_type",
+    "SELECT effect_id, cause_type, count(*) AS causes, max(confidence) AS best, arg_min(gap, (-confidence, gap)) AS gap_us FROM alinks GROUP BY effect_id, cause_type",
 )
 def _(s: Source):
-    return links(s, "any").groupBy("effect_id", "cause_type").agg(
-        F.count("*").alias("causes"), F.max("confidence").alias("best"), F.min("gap_us").alias("nearest_us")
-    )
+    return links(s).select("effect_id", "cause_type", "causes", F.col("confidence").alias("best"), "gap_us")
 
 
 @q("causal_strength_additive", "SELECT cause_id, effect_id, gap AS gap_us, confidence FROM clinks")
@@ -200,7 +201,7 @@ def _(s: Source):
 
 @q("causal_roots", "SELECT event_id FROM roots")
 def _(s: Source):
-    return causal.roots(links(s))
+    return causal.root_events(s.causal_events, causal.link_rules(s.spark))
 
 
 def chains(s: Source) -> tuple[DataFrame, DataFrame]:
@@ -437,7 +438,7 @@ def _(s: Source):
 
 
 def stats(s: Source) -> DataFrame:
-    return causal.link_stats(links(s))
+    return causal.link_stats(s.causal_events, causal.link_rules(s.spark))
 
 
 @q("event_risk_level", "SELECT event_id, level FROM levels")

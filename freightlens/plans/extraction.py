@@ -30,7 +30,7 @@ POLICIES = """SELECT s_suppkey AS policy_id, concat(CASE s_suppkey % 3 WHEN 0 TH
   'manager approval to $', 10 + s_suppkey % 9, ',000, director to $', 20 + s_suppkey % 20, ',500', CASE WHEN s_suppkey % 2 = 0 THEN ', cfo from $75,000' ELSE '' END, chr(10),
   '## International Air Freight', chr(10), '- Carrier ', s_suppkey % 12, chr(10), '- Air Express International', chr(10), '## Domestic Ground', chr(10), '- Truck ', s_nationkey, ' -', chr(10),
   '## Suppliers', chr(10), '### 1.1 ', s_name, chr(10), 'Payment terms: NET', 15 * (1 + s_suppkey % 4), chr(10), 'Early payment discount: ', s_suppkey % 3, '.5%', chr(10),
-  '### 1.2 ABC Electronics', chr(10), 'Payment terms: NET', s_suppkey % 90, chr(10), CASE WHEN s_suppkey % 4 = 0 THEN 'Late payment penalty: 3%' ELSE '' END, chr(10),
+  '### 1.2 Orion Electronics', chr(10), 'Payment terms: NET', s_suppkey % 90, chr(10), CASE WHEN s_suppkey % 4 = 0 THEN 'Late payment penalty: 3%' ELSE '' END, chr(10),
   CASE WHEN s_suppkey % 6 = 0 THEN concat('## Fees', chr(10), 'second text') ELSE '' END) AS content FROM {supplier}"""
 
 I_TEXT = INVOICE_TEXTS.replace("{invoices}", "invoices").replace("{s}", "VARCHAR")
@@ -226,9 +226,6 @@ def _(s: Source):
     return extract.policy_carriers(policies(s), "policy_id")
 
 
-KNOWN = ref.SUPPLIER_AGREEMENTS
-
-
 @query(
     "ext_policy_terms",
     """SELECT supplier, coalesce(new_terms, terms) AS terms, coalesce(new_discount, discount) AS discount, coalesce(new_penalty, penalty) AS penalty
@@ -240,12 +237,12 @@ KNOWN = ref.SUPPLIER_AGREEMENTS
   FROM (SELECT policy_id, unnest(string_split(content, '### ')[2:]) AS piece FROM pol) a) b GROUP BY supplier) n USING (supplier)""",
     pol=P_TEXT,
     known="SELECT s_name AS supplier, 'NET30' AS terms, CAST(0.02 AS DOUBLE) AS discount, CAST(0.015 AS DOUBLE) AS penalty FROM supplier WHERE s_suppkey % 3 > 0 "
-    "UNION ALL SELECT 'ABC Electronics', 'NET30', CAST(0.02 AS DOUBLE), CAST(0.015 AS DOUBLE)",
+    "UNION ALL SELECT 'Orion Electronics', 'NET30', CAST(0.02 AS DOUBLE), CAST(0.015 AS DOUBLE)",
 )
 def _(s: Source):
     known = s.spark.sql(
         "SELECT s_name AS supplier, 'NET30' AS terms, CAST(0.02 AS DOUBLE) AS discount, CAST(0.015 AS DOUBLE) AS penalty FROM {supplier} "
-        "WHERE s_suppkey % 3 > 0 UNION ALL SELECT 'ABC Electronics', 'NET30', CAST(0.02 AS DOUBLE), CAST(0.015 AS DOUBLE)",
+        "WHERE s_suppkey % 3 > 0 UNION ALL SELECT 'Orion Electronics', 'NET30', CAST(0.02 AS DOUBLE), CAST(0.015 AS DOUBLE)",
         supplier=s.supplier,
     )
     return extract.override_terms(known, policies(s), "policy_id")

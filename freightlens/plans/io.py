@@ -30,16 +30,31 @@ def csv_of(s: Source, rows: DataFrame, label: str) -> str:
 @query(
     "src_invoice_csv",
     f"""SELECT {INV_COLS}, CAST(NULL AS VARCHAR) AS po_number FROM invoices WHERE status <> 'flagged'
- UNION ALL SELECT invoice_id, supplier, amount, NULL, NULL, due_date, payment_terms, NULL, status, NULL, NULL, notes, concat('PO-', src_row) FROM invoices WHERE status = 'flagged'""",
+ UNION ALL SELECT invoice_id, supplier, amount, NULL, NULL, due_date, payment_terms, NULL, status, NULL, NULL, notes, concat('PO-', src_row) FROM invoices WHERE status = 'flagged'
+ UNION ALL SELECT concat('W-', s_suppkey), s_name, s_acctbal, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM supplier""",
     "invoices",
 )
 def _(s: Source):
-    # two header variants side by side: other columns in another order
+    return readers.read_csv_by_name(s.spark, invoice_files(s), schemas.INVOICE, "invoice_id").drop("file")
+
+
+@query("src_invoice_csv_foreign", "SELECT concat(n_nationkey, ',', n_name) AS line FROM nation")
+def _(s: Source):
+    rows = readers.foreign_csv(s.spark, invoice_files(s), "invoice_id")
+    return rows.where("line <> 'n_nationkey,n_name'").select("line")
+
+
+def invoice_files(s: Source) -> str:
+    """Files with other columns in another order, with sixty columns, and without an id column."""
     root = scratch(s.spark, "invoices")
+    filler = [F.lit(i).alias(f"extra_{i}") for i in range(57)]
+    wide = s.supplier.select(*filler, F.col("s_acctbal").alias("amount"), F.concat(F.lit("W-"), "s_suppkey").alias("invoice_id"), F.col("s_name").alias("supplier"))
+    wide.write.option("header", True).csv(f"{root}/c")
+    s.nation.select("n_nationkey", "n_name").write.option("header", True).csv(f"{root}/d")
     s.invoices.where("status <> 'flagged'").select(*INV_COLS.split(", ")).write.option("header", True).csv(f"{root}/a")
     other = ["status", "notes", F.concat(F.lit("PO-"), "src_row").alias("po_number"), "supplier", "due_date", "payment_terms", "amount", "invoice_id"]
     s.invoices.where("status = 'flagged'").select(*other).write.option("header", True).csv(f"{root}/b")
-    return readers.read_csv_by_name(s.spark, root, schemas.INVOICE, "invoice_id").drop("file")
+    return root
 
 
 @query("src_shipment_csv", f"SELECT {SHP_COLS} FROM shipments", "shipments")
@@ -219,7 +234,7 @@ def _(s: Source):
 @query(
     "sink_event_store",
     "SELECT 'event' AS kind, event_id AS id, entity_id FROM ev UNION ALL SELECT 'hold', hold_id, entity_id FROM holds",
-    "causal_events", **{k: causality.CTES[k] for k in ("ev", "rules", "boosts", "links")}, holds=causality.HOLDS,
+    "causal_events", **{k: causality.CTES[k] for k in ("ev", "rules", "boosts", "alinks", "links")}, holds=causality.HOLDS,
 )
 def _(s: Source):
     folder = scratch(s.spark, "log")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sizing import sized
 from ..operators import duplicates, invoice_rules as inv, profiles, shipment_rules as shp
-from ..refdata import APPROVED_BY_MODE
+from ..fixtures import APPROVED_BY_MODE, GUIDELINE_CARRIERS
 from ..operators.anomaly import finish, flag, flag_with_combined
 from .catalog import RECORDS_AS_OF as AS_OF, Source, query
 
@@ -412,7 +412,7 @@ def moved(s: Source) -> DataFrame:
 
 
 SHIPMENT_FLAGS = {
-    "shp_unapproved_carrier": lambda s: flag(moved(s), "shipment_id", shp.unapproved_carrier()),
+    "shp_unapproved_carrier": lambda s: flag(moved(s), "shipment_id", shp.unapproved_carrier(APPROVED_BY_MODE)),
     "shp_route_indicators": lambda s: flag(s.named_shipments, "shipment_id", shp.route_indicators()),
     "shp_route_expected": lambda s: flag(valued(s), "shipment_id", shp.route_expected()),
     "shp_delay_mode": lambda s: flag(moved(s), "shipment_id", shp.delay_by_mode()),
@@ -457,7 +457,7 @@ def _(s: Source):
 
 
 @query(
-    "shp_feed_flag",
+    "shp_pipeline_flag",
     """SELECT src_row, shipment_id, status, risk_score, anomaly_type FROM shipments
  WHERE status = 'Delayed' OR risk_score > 0.7 OR anomaly_type <> 'none'""",
     "shipments",
@@ -467,7 +467,7 @@ def _(s: Source):
 
 
 @query(
-    "shp_feed_type_risk",
+    "shp_pipeline_type_risk",
     """SELECT src_row, CASE WHEN anomaly_type <> 'none' THEN anomaly_type WHEN status = 'Delayed' THEN 'timeline_delay' ELSE 'unknown_anomaly' END AS kind,
  CAST(coalesce(risk, CASE WHEN anomaly_type <> 'none' THEN 0.85 WHEN status = 'Delayed' THEN 0.6 ELSE 0.7 END) AS DOUBLE) AS risk,
  CASE WHEN anomaly_type <> 'none' THEN concat('Shipment ', shipment_id, ' shows deviation from expected route between ', origin, ' and ', destination, '.')
@@ -485,7 +485,7 @@ def _(s: Source):
     "shp_guideline_risk",
     """SELECT src_row, carrier, round(score, 6) AS risk_score,
  CASE WHEN score >= 0.9 THEN 'Critical' WHEN score >= 0.7 THEN 'High' WHEN score >= 0.4 THEN 'Medium' ELSE 'Low' END AS severity
- FROM (SELECT n.src_row, n.carrier, CAST(CASE WHEN n.carrier = 'Express Worldwide' THEN 0.0 ELSE 0.3 END AS DOUBLE)
+ FROM (SELECT n.src_row, n.carrier, CAST(CASE WHEN n.carrier = 'Harbour Worldwide' THEN 0.0 ELSE 0.3 END AS DOUBLE)
   + CASE WHEN abs(s.value - avg_value) / avg_value > 0.25 THEN least(0.4, abs(s.value - avg_value) / avg_value) ELSE 0 END AS score
   FROM named_shipments n JOIN sh s USING (src_row)) x""",
     SHIP_VIEWS, **SHIPPED,
@@ -493,7 +493,7 @@ def _(s: Source):
 def _(s: Source):
     names = s.named_shipments.select("src_row", F.col("carrier").alias("named"))
     rows = valued(s).join(names, "src_row").withColumn("carrier", F.col("named"))
-    return rows.select("src_row", "carrier", shp.guideline_risk().alias("g")).select(
+    return rows.select("src_row", "carrier", shp.guideline_risk(GUIDELINE_CARRIERS).alias("g")).select(
         "src_row", "carrier", F.round("g.risk_score", 6).alias("risk_score"), "g.severity"
     )
 
@@ -508,7 +508,7 @@ _EXT = ["shp_unapproved_carrier", "shp_route_indicators", "shp_delay_mode", "shp
     SHIP_VIEWS, **SHIPPED, found=" UNION ALL ".join(R[k] for k in _EXT),
 )
 def _(s: Source):
-    rows = flag_with_combined(moved(s), "shipment_id", *shp.extended_rules())
+    rows = flag_with_combined(moved(s), "shipment_id", *shp.extended_rules(APPROVED_BY_MODE))
     return rows.where("anomaly_type = 'combined_risk_factors'").select(
         "src_row", "document_id", "anomaly_type", F.round("risk_score", 6).alias("risk_score"), F.size("evidence").cast("bigint").alias("found")
     )
@@ -518,23 +518,42 @@ def _(s: Source):
 
 
 def all_invoice_anomalies(s: Source) -> DataFrame:
-    """One pass over the invoices for the main rules; only twins come from a second, narrow read."""
-    rows = inv.with_supplier_terms(profiled(s), s.supplier_terms).withColumn("related", F.lit(None).cast("string"))
-    return flag(rows, "invoice_id", *inv.main_rules()).unionByName(flag(twins(s), "invoice_id", inv.duplicate_pattern()))
+    """Every rule of both detectors in one pass over the invoices; duplicates come from narrow second reads."""
+    history = sized(profiles.invoice_history(s.invoices).drop("approvers"))
+    rows = inv.with_invoice_history(inv.with_supplier_terms(profiled(s), s.supplier_terms), history)
+    rules = [
+        inv.amount_deviation(), inv.terms_violation(), inv.weekend(), inv.insufficient_approval(), inv.fraud_pattern(),
+        inv.amount_discrepancy(), inv.round_amount(), inv.own_terms(), inv.wrong_terms(), inv.wrong_due_date(),
+        inv.approval_authority(), inv.approval_workflow(), inv.early_discount(), inv.foreign_currency(),
+    ]
+    found = flag(rows, "invoice_id", *rules)
+    twice = flag(duplicates.first_seen(s.invoices, "invoice_id"), "invoice_id", inv.duplicate_id())
+    return found.unionByName(flag(twins(s), "invoice_id", inv.duplicate_pattern())).unionByName(twice)
 
 
 def all_shipment_anomalies(s: Source) -> DataFrame:
-    return flag(routed(s), "shipment_id", *shp.main_rules(_MID))
+    """The same for shipments; rules that look for names read the view that has such names."""
+    history = sized(profiles.route_carrier_history(s.shipments))
+    rows = shp.with_route_carrier_history(routed(s), history)
+    found = flag(
+        rows, "shipment_id", shp.carrier_check(), shp.transit_deviation(), F.coalesce(shp.status_inconsistent(_MID), shp.overdue(_MID)),
+        shp.route_expected(), shp.value_discrepancy(),
+    )
+    named = flag(
+        moved(s), "shipment_id", shp.unapproved_carrier(APPROVED_BY_MODE), shp.route_indicators(), shp.delay_by_mode(), shp.delay_simple(),
+        shp.value_pattern(), shp.suspicious_route(),
+    )
+    twice = flag(duplicates.first_seen(s.shipments, "shipment_id"), "shipment_id", shp.duplicate_id())
+    alike = flag(ship_twins(s), "shipment_id", shp.duplicate_pattern())
+    return found.unionByName(named).unionByName(twice).unionByName(alike)
 
 
 def all_anomalies(s: Source) -> DataFrame:
     return all_invoice_anomalies(s).unionByName(all_shipment_anomalies(s))
 
 
-MAIN_INVOICE = ["inv_amount_deviation", "inv_terms_violation", "inv_weekend", "inv_insufficient_approval", "inv_fraud_pattern"]
-MAIN_SHIPMENT = ["shp_blacklisted_carrier", "shp_transit_deviation", "shp_status_inconsistent", "shp_overdue"]
 ALL_VIEWS = "invoices supplier_terms " + SHIP_VIEWS
-ALL_CTES = {**PREPARED, **SHIPPED, "found": " UNION ALL ".join([R[k] for k in MAIN_INVOICE + MAIN_SHIPMENT] + [_TWIN])}
+ALL_CTES = {**PREPARED, **SHIPPED, "found": " UNION ALL ".join([sql for name, sql in R.items() if name != "inv_duplicate_pattern"] + [_TWIN])}
 
 
 @query("detect_all", f"SELECT {COLS} FROM found", ALL_VIEWS, **ALL_CTES)

@@ -135,14 +135,14 @@ def _(s: Source):
     "invoices",
 )
 def _(s: Source):
-    fn = lambda r: f"Invoice {r.get('invoice_id', 'Unknown')} by {r.get('approver') or 'nobody'}"
-    return s.invoices.select("src_row", udfs.row_apply(["invoice_id", "approver"], fn, "string").alias("text"))
+    fn = lambda b: "Invoice " + b["invoice_id"] + " by " + b["approver"].fillna("nobody")
+    return s.invoices.select("src_row", udfs.batch_apply(["invoice_id", "approver"], fn, "string").alias("text"))
 
 
 @query("udf_filter_apply", "SELECT src_row, amount, status FROM invoices WHERE amount > 10000 AND status = 'flagged'", "invoices")
 def _(s: Source):
     rows = s.invoices.select("src_row", "amount", "status")
-    return udfs.filter_apply(rows, ["amount", "status"], lambda r: r["amount"] > 10000 and r["status"] == "flagged")
+    return udfs.filter_apply(rows, ["amount", "status"], lambda b: (b["amount"] > 10000) & (b["status"] == "flagged"))
 
 
 @query("udtf_chunker")

@@ -338,7 +338,7 @@ def _(s: Source):
     "named_shipments shipments", nm=SHIPPED["nm"], approved=SHIPPED["approved"],
 )
 def _(s: Source):
-    from ..refdata import APPROVED_BY_MODE
+    from ..fixtures import APPROVED_BY_MODE
 
     names = F.array(*[F.lit(n.lower()) for n in sorted({n for v in APPROVED_BY_MODE.values() for n in v})])
     low = F.lower("carrier")

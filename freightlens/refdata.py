@@ -2,58 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-# fixed values: agreed terms and risk level per supplier
-SUPPLIER_TERMS = [
-    ("ABC Electronics", "NET30", "low"),
-    ("Tech Solutions Inc", "NET30", "low"),
-    ("Global Logistics", "NET45", "low"),
-    ("New Supplier Co", "NET30", "medium"),
-    ("Overseas Parts Ltd", "NET60", "medium"),
-    ("Problem Supplier Inc", "NET15", "high"),
-    ("Acme Corp", "NET30", "low"),
-    ("Beta Industries", "NET45", "low"),
-    ("Delta Corp", "NET30", "low"),
-    ("Epsilon Ltd", "NET30", "low"),
-]
-
-# fixed values: agreed terms, early discount and late penalty of the second policy set
-SUPPLIER_AGREEMENTS = [
-    ("ABC Electronics", "NET30", 0.02, 0.015),
-    ("Global Logistics", "NET15", 0.00, 0.02),
-    ("Tech Solutions Inc", "NET45", 0.01, 0.015),
-    ("FastTrack Shipping", "NET15", 0.00, 0.03),
-    ("Quality Parts Co", "NET30", 0.015, 0.015),
-]
-
-# fixed values: carrier tiers
-CARRIER_TIERS = [
-    ("Global Shipping Inc", "tier_1"),
-    ("Express Worldwide", "tier_1"),
-    ("Premium Logistics", "tier_1"),
-    ("Regional Express", "tier_2"),
-    ("Standard Shipping", "tier_2"),
-    ("Economy Freight", "tier_2"),
-    ("Suspicious Cargo", "blacklisted"),
-    ("Fake Logistics", "blacklisted"),
-]
-
-# fixed values: carriers approved per freight mode
-APPROVED_BY_MODE = {
-    "air": ["Global Shipping Inc", "Air Express International", "WorldWide Cargo"],
-    "ocean": ["Ocean Express", "Global Shipping Inc", "Asia Logistics", "Maritime Transporters"],
-    "ground": ["Nationwide Express", "Regional Carriers Inc"],
-}
-
-# fixed values: carriers approved by the shipment guidelines
-GUIDELINE_CARRIERS = [
-    "Global Shipping Inc",
-    "Express Worldwide",
-    "Reliable Freight",
-    "International Logistics Co",
-]
-
 # fixed values: country pairs shipped by sea
 OCEAN_PAIRS = [("China", "Germany"), ("USA", "UK"), ("Japan", "Korea")]
 
@@ -249,22 +197,3 @@ SCENARIOS = {
     "policy_update": "policy_compliance",
     "user_upload": "user_upload",
 }
-
-
-def supplier_terms(spark: SparkSession, rows=SUPPLIER_TERMS) -> DataFrame:
-    return spark.createDataFrame(rows, "supplier string, agreed_terms string, supplier_risk string")
-
-
-def carrier_tiers(spark: SparkSession, rows=CARRIER_TIERS) -> DataFrame:
-    return spark.createDataFrame(rows, "carrier string, tier string")
-
-
-def approved_carriers(spark: SparkSession, by_mode=APPROVED_BY_MODE) -> DataFrame:
-    rows = [(mode, name) for mode, names in by_mode.items() for name in names]
-    return spark.createDataFrame(rows, "mode string, approved string")
-
-
-def causal_rules(spark: SparkSession, rows=CAUSAL_RULES) -> DataFrame:
-    return spark.createDataFrame(
-        rows, "cause_type string, effect_type string, window_s bigint, threshold double"
-    )

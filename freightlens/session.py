@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +19,7 @@ def local_session(app: str = "freightlens", cores: str | int = 8, **conf: str) -
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.sql.warehouse.dir", os.environ.get("FREIGHTLENS_WAREHOUSE", "/tmp/freightlens-warehouse"))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -28,14 +28,18 @@ def local_session(app: str = "freightlens", cores: str | int = 8, **conf: str) -
     return spark
 
 
-def cut_lineage(df):
-    """Checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and every executor reach.
 
-    Where a session has none (tests, a laptop) a fresh temporary folder is set once.
+    The one ``spark.checkpoint.dir`` names; where it is unset, one beside the warehouse tables.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
+
+
+def cut_lineage(df):
+    """Checkpoint into the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="freightlens-ckpt-", dir=os.environ.get("TMPDIR")))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

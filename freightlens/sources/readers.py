@@ -31,34 +31,43 @@ def read_csv(spark: SparkSession, path: str, ddl: str, **options: str) -> DataFr
     return typed(raw, ddl)
 
 
-def read_csv_by_name(spark: SparkSession, path: str, ddl: str, id_col: str, width: int = 40) -> DataFrame:
-    """CSV files whose headers differ from file to file: columns are found by name in each file.
+def csv_headers(spark: SparkSession, path: str, id_col: str) -> DataFrame:
+    """(file, header) of every CSV file below ``path`` that has a line naming ``id_col``, at any width.
 
-    Cells are read by position; the line that names ``id_col`` and most other columns tells each file's
-    order, and a join on the file brings it to the rows. Repeated header lines are no records, and files
-    without a header have none.
+    Of several such lines the one with most cells counts. A text scan that parses only lines with the name;
+    the result is one row per file.
     """
-    names = [f"c{i}" for i in range(width)]
-    cells = ", ".join(f"{n} string" for n in names)
     file = F.col("_metadata.file_path").alias("file")
+    lines = spark.read.text(path, recursiveFileLookup=True).where(F.col("value").contains(id_col)).select("value", file)
+    cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
+    heads = lines.select(cells.alias("header"), "file").where(F.array_contains("header", id_col))
+    return sized(heads.groupBy("file").agg(F.max_by("header", F.struct(F.size("header"), F.col("header"))).alias("header")))
 
-    # header lines: a cheap text scan for the id column's name, only what matches is parsed
-    parsed = F.from_csv("value", F.lit(cells))
-    heads = spark.read.text(path, recursiveFileLookup=True).where(F.col("value").contains(id_col)).select(parsed.alias("p"), file)
-    heads = heads.select(F.array(*[f"p.{n}" for n in names]).alias("cells"), "file").where(F.array_contains("cells", id_col))
-    known = F.size(F.array_intersect("cells", F.array(*[F.lit(n) for n, _ in columns(ddl)])))
-    # where each wanted column stands, worked out once per file
-    places = [(F.array_position("header", n).cast("int") - 1).alias(f"at_{n}") for n, _ in columns(ddl)]
-    headers = heads.groupBy("file").agg(F.max_by("cells", F.struct(known, "cells")).alias("header")).select("file", *places)
-    headers = sized(headers)  # one row per file: the data stays where it lies
 
-    raw = spark.read.schema(cells).option("header", False).option("recursiveFileLookup", True).csv(path)
-    lines = raw.select(F.array(*names).alias("cells"), file)
-    rows = lines.where(~F.coalesce(F.array_contains("cells", id_col), F.lit(False))).join(headers, "file")
+def read_csv_by_name(spark: SparkSession, path: str, ddl: str, id_col: str) -> DataFrame:
+    """CSV files whose headers differ from file to file: columns are found by name in each file.
+
+    Cells are read by position, as many as the widest header has; a join on the file brings each file's
+    order to its rows. Repeated header lines are no records. Files without such a header are not read here
+    but by ``foreign_csv``.
+    """
+    headers = csv_headers(spark, path, id_col)
+    width = headers.agg(F.max(F.size("header"))).first()[0] or 1
+    names = [f"c{i}" for i in range(width)]
+    places = [(F.array_position("header", n).cast("int") - 1).alias(f"at_{n}") for n, _ in columns(ddl)]
+    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", False).option("recursiveFileLookup", True).csv(path)
+    lines = raw.select(F.array(*names).alias("cells"), F.col("_metadata.file_path").alias("file"))
+    rows = lines.where(~F.coalesce(F.array_contains("cells", id_col), F.lit(False))).join(headers.select("file", *places), "file")
     named = [F.when(F.col(f"at_{n}") >= 0, F.get("cells", F.col(f"at_{n}"))).alias(n) for n, _ in columns(ddl)]
     return typed(rows.select(*named, "file"), ddl)
 
 
+def foreign_csv(spark: SparkSession, path: str, id_col: str) -> DataFrame:
+    """(file, line) of the files that ``read_csv_by_name`` leaves out, for the rejected side output."""
+    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    return lines.join(csv_headers(spark, path, id_col).select("file"), "file", "left_anti")
+
+
 def with_file(rows: DataFrame) -> DataFrame:
     """Rows of a file source with file name and time of last change."""
     return rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("last_modified"))

@@ -1,15 +1,13 @@
-"""A fresh folder every executor can reach: under ``spark.checkpoint.dir`` where the session names it."""
+"""A fresh folder every executor can reach."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from ..session import shared_folder
+
 
 def scratch(spark: SparkSession, label: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/freightlens/{label}-{uuid.uuid4().hex}"
-    return f"{tempfile.mkdtemp(prefix='freightlens-')}/{label}"
+    return f"{shared_folder(spark)}/freightlens/{label}-{uuid.uuid4().hex}"

@@ -158,5 +158,25 @@ def test_events_do_not_depend_on_partitions(spark):
     one = causal.causal_links(df.repartition(1), rules).select("cause_id", "effect_id", "confidence")
     many = causal.causal_links(df.repartition(13), rules).select("cause_id", "effect_id", "confidence")
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
-    trend = [causal.daily_trend(d, causal.link_stats(one.withColumn("cause_type", F.lit("a")).withColumn("effect_type", F.lit("b"))), "2024-01-08").collect() for d in (df.repartition(1), df.repartition(7))]
+    trend = [causal.daily_trend(d, causal.link_stats(df, rules), "2024-01-08").collect() for d in (df.repartition(1), df.repartition(7))]
     assert trend[0] == trend[1] and len(trend[0]) == 7
+
+
+def test_links_without_pairs_match_all_pairs(spark):
+    df = spark.createDataFrame(log(11), EVENT)
+    rules = causal.link_rules(spark)
+    best, totals = {}, {}
+    for r in causal.causal_links(df, rules, "any").collect():
+        key = (r["effect_id"], r["cause_type"])
+        totals[key] = totals.get(key, 0) + 1
+        best[key] = max(best.get(key, (-1, 0, "")), (r["confidence"], -r["gap_us"], r["cause_id"]))
+    got = {(r["effect_id"], r["cause_type"]): r for r in causal.strongest_links(df, rules).collect()}
+    assert {k: (r["confidence"], -r["gap_us"], r["cause_id"]) for k, r in got.items()} == best
+    assert {k: r["causes"] for k, r in got.items()} == totals
+    ends = {}
+    for r in causal.causal_links(df, rules, "any").collect():
+        for x in (r["cause_id"], r["effect_id"]):
+            ends[x] = ends.get(x, 0) + 1
+    assert {r["event_id"]: r["links"] for r in causal.link_stats(df, rules).collect()} == ends
+    links = causal.causal_links(df, rules, "any")
+    assert {r[0] for r in causal.root_events(df, rules).collect()} == {r[0] for r in causal.roots(links).collect()}
