@@ -82,14 +82,16 @@ def keyword(rows: DataFrame, k: int = 10) -> DataFrame:
 
 
 def combine(rows: DataFrame) -> DataFrame:
-    """Semantic hits, then keyword hits, one per first hundred characters."""
+    """Semantic hits, then keyword hits, each text once."""
     a = semantic(rows).select("*", F.lit("semantic").alias("method"), F.col("rank").alias("method_rank"))
     b = keyword(rows).select("*", F.lit("keyword").alias("method"), F.col("keyword_rank").alias("method_rank")).drop("keyword_rank")
-    return first_by_prefix(a.unionByName(b), ["query_id", "doc_type"])
+    return first_by_content(a.unionByName(b), ["query_id", "doc_type"])
 
 
-def first_by_prefix(rows: DataFrame, group: list[str], length: int = 100) -> DataFrame:
-    w = Window.partitionBy(*group, F.substring("content", 1, length)).orderBy(F.desc("method"), "method_rank")
+def first_by_content(rows: DataFrame, group: list[str], prefix: int | None = None) -> DataFrame:
+    """The first row of each text. With ``prefix`` texts count as one when so many first characters agree."""
+    text = F.sha2("content", 256) if prefix is None else F.substring("content", 1, prefix)
+    w = Window.partitionBy(*group, text).orderBy(F.desc("method"), "method_rank")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fc, udfs
 from .catalog import Source, query
+from .search import SPLIT_SQL, split_check
 
 
 @query(
@@ -145,7 +146,8 @@ def _(s: Source):
     return udfs.filter_apply(rows, ["amount", "status"], lambda b: (b["amount"] > 10000) & (b["status"] == "flagged"))
 
 
-@query("udtf_chunker")
+@query("udtf_chunker", SPLIT_SQL, "docs")
 def _(s: Source):
     name = udfs.register_chunker(s.spark)
-    return s.spark.sql(f"SELECT d.doc_id, d.doc_type, c.chunk_id, c.chunk FROM {{docs}} d, LATERAL {name}(d.content) c", docs=s.docs)
+    pieces = s.spark.sql(f"SELECT d.doc_id, d.doc_type, c.chunk_id, c.chunk FROM {{docs}} d, LATERAL {name}(d.content) c", docs=s.docs)
+    return split_check(pieces, "chunk")

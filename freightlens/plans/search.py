@@ -73,7 +73,7 @@ C = dict(
     cand="SELECT *, CAST(len(list_filter(terms, lambda t: contains(lower(content), lower(t)))) AS DOUBLE) / len(terms) AS keyword_score FROM termed",
     sem=f"SELECT * FROM cand WHERE rank <= 8 AND distance < CASE WHEN len({_wordlist('question')}) > 5 THEN 0.7 ELSE 0.8 END",
     kw="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_type ORDER BY keyword_score DESC, rank) AS keyword_rank FROM cand WHERE keyword_score > 0) k WHERE keyword_rank <= 10",
-    comb="""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_type, substr(content, 1, 100) ORDER BY method DESC, method_rank) AS pn FROM (
+    comb="""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_type, content ORDER BY method DESC, method_rank) AS pn FROM (
  SELECT query_id, question, doc_type, doc_id, chunk_id, source, content, distance, rank, keyword_score, 'semantic' AS method, rank AS method_rank FROM sem
  UNION ALL SELECT query_id, question, doc_type, doc_id, chunk_id, source, content, distance, rank, keyword_score, 'keyword', keyword_rank FROM kw) u) v WHERE pn = 1""",
     rel=f"""SELECT *, least(1.0, CASE WHEN contains(lower(content), lower(question)) THEN 0.4 ELSE 0.0 END
@@ -97,9 +97,23 @@ def _(s: Source):
     return indexed(s).select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "doc_type", "content")
 
 
-@query("idx_chunk_separators")
+# what any splitting must keep: every word of the text (a cut may take a full stop off), and a bounded length
+_VOCABULARY = "list_sort(list_distinct(list_filter(string_split_regex(lower(content), '[\\s.]+'), lambda w: w <> '')))"
+SPLIT_SQL = f"""SELECT doc_id, doc_type, CAST(len(v) AS BIGINT) AS words, true AS bounded, md5(array_to_string(v, ' ')) AS vocabulary
+ FROM (SELECT doc_id, doc_type, {_VOCABULARY} AS v FROM docs) x WHERE len(v) > 0"""
+
+
+def split_check(pieces: DataFrame, text: str) -> DataFrame:
+    """Per document the words its chunks hold and whether every chunk is of allowed length."""
+    words = F.explode(F.filter(F.split(F.lower(text), r"[\s.]+"), lambda w: w != "")).alias("w")
+    per_word = pieces.select("doc_id", "doc_type", F.length(text).alias("n"), words).groupBy("doc_id", "doc_type", "w").agg(F.max("n").alias("n"))
+    every = F.array_join(F.array_sort(F.collect_list("w")), " ")
+    return per_word.groupBy("doc_id", "doc_type").agg(F.count("*").alias("words"), (F.max("n") <= chunks.SIZE).alias("bounded"), F.md5(every).alias("vocabulary"))
+
+
+@query("idx_chunk_separators", SPLIT_SQL, "docs")
 def _(s: Source):
-    return chunks.chunk_by_separators(s.docs).select("doc_id", "doc_type", "chunk_id", "content")
+    return split_check(chunks.chunk_by_separators(s.docs), "content")
 
 
 @q(
@@ -246,6 +260,15 @@ def _(s: Source):
     return retrieval.confidence(results).withColumn("confidence", F.round("confidence", 6))
 
 
+@q(
+    "dedup_content_whole",
+    """SELECT doc_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id * 1000 + chunk_id) AS n FROM chunks) x WHERE n = 1""",
+)
+def _(s: Source):
+    rows = indexed(s).select("*", F.lit("keyword").alias("method"), (F.col("doc_id") * 1000 + F.col("chunk_id")).alias("method_rank"))
+    return retrieval.first_by_content(rows, []).select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"))
+
+
 @q(
     "dedup_content_prefix",
     """SELECT doc_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY substr(content, 1, 100) ORDER BY CASE WHEN doc_type = 'invoice' THEN 'semantic' ELSE 'keyword' END DESC,
@@ -255,7 +278,7 @@ def _(s: Source):
     rows = indexed(s).select(
         "*", F.when(F.col("doc_type") == "invoice", "semantic").otherwise("keyword").alias("method"), (F.col("doc_id") * 1000 + F.col("chunk_id")).alias("method_rank")
     )
-    return retrieval.first_by_prefix(rows, []).select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"))
+    return retrieval.first_by_content(rows, [], prefix=100).select("doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"))
 
 
 @query(

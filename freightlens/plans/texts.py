@@ -51,6 +51,16 @@ def _(s: Source):
     return s.shipments.select("src_row", render.shipment_doc().alias("content"))
 
 
+@query(
+    "render_shipment_doc_short",
+    """SELECT src_row, concat('Shipment ', shipment_id, chr(10), 'Origin: ', origin, chr(10), 'Destination: ', destination, chr(10), 'Carrier: ', carrier, chr(10),
+ 'Status: ', status, chr(10)) AS content FROM shipments""",
+    "shipments",
+)
+def _(s: Source):
+    return s.shipments.select("src_row", render.shipment_doc_short().alias("content"))
+
+
 DRIVER_TEXT = """concat('Driver ', name, ' risk level: ', coalesce(risk_level, 'Unknown'), '. Last incident: ', coalesce(last_incident, 'None'),
  '. Recommendation: ', coalesce(recommendation, 'Standard monitoring'), '.')"""
 

@@ -131,12 +131,13 @@ def under_latest_policy(records: DataFrame, policy_folder: str, key: str, out: s
     """Every batch of records meets the newest policy per key at that time.
 
     The policy table (key, version, value) is read again in each batch, so a new version governs the
-    records that follow it.
+    records that follow it. A batch is written to a folder of its own number, so one that is tried again
+    replaces what it wrote before.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         policies = batch.sparkSession.read.parquet(policy_folder)
         newest = policies.groupBy(key).agg(F.max("version").alias("version"), F.max_by("value", "version").alias("value"))
-        batch.join(newest, key, "left").write.mode("append").parquet(out)
+        batch.join(newest, key, "left").write.mode("overwrite").parquet(f"{out}/batch_id={number}")
 
     return each_batch(records, write, checkpoint)
