@@ -29,38 +29,18 @@ def within(left: DataFrame, right: DataFrame, on: list[str], left_us: str, right
 def count_near(points: DataFrame, events: DataFrame, window_s: int, point_us: str = "point_us", event_us: str = "event_us", step_s: int = 600) -> DataFrame:
     """Points with ``near``: how many events lie within +-window of each, without making the pairs.
 
-    Whole time steps come from running totals over steps; only the two steps at the ends of a
-    window are looked at event by event.
+    Running totals up to the end of each window minus those before its start.
     """
-    step, reach = step_s * 1_000_000, window_s * 1_000_000
-    ev = events.select(F.col(event_us).alias("_us"), F.floor(F.col(event_us) / step).cast("bigint").alias("_step"))
-    per_step = ev.groupBy("_step").agg(F.count("*").alias("_n"))
-    # one row per occupied time step, so this single ordered pass is over the calendar, not the log
-    upto = per_step.select("_step", F.sum("_n").over(Window.orderBy("_step")).alias("_upto"))
-    nxt = upto.select("_step", "_upto", F.lead("_step").over(Window.orderBy("_step")).alias("_next"))
-
-    def up_to(rows: DataFrame, bound: Column, strict: bool, name: str) -> DataFrame:
-        """Events at or before (before, if strict) a bound."""
-        at = rows.withColumn("_b", bound).withColumn("_s", F.floor(F.col("_b") / step).cast("bigint"))
-        # the bound's own step, event by event
-        inside = at.join(ev, F.col("_s") == F.col("_step"), "left")
-        hit = (F.col("_us") < F.col("_b")) if strict else (F.col("_us") <= F.col("_b"))
-        own = inside.groupBy("_pid").agg(F.count_if(F.coalesce(hit, F.lit(False))).alias("_own"))
-        # everything in earlier steps: the running total of the last occupied step before it
-        last = nxt.where("_next IS NULL").select(F.col("_step").alias("_last"), F.col("_upto").alias("_all"))
-        filled = nxt.where("_next IS NOT NULL").select(
-            F.explode(F.sequence(F.col("_step") + 1, F.col("_next"))).alias("_s"), F.col("_upto").alias("_before")
-        )
-        before = at.join(filled, "_s", "left").join(F.broadcast(last)).select(
-            "_pid", F.coalesce("_before", F.when(F.col("_s") > F.col("_last"), F.col("_all")), F.lit(0)).alias("_before")
-        )
-        return own.join(before, "_pid").select("_pid", (F.col("_own") + F.col("_before")).alias(name))
-
+    reach, at = F.lit(window_s * 1_000_000), F.col("_pid")
+    one = F.lit(0).alias("_all")
     keyed = points.withColumn("_pid", F.col(point_us))
-    distinct = keyed.select("_pid").distinct()
-    hi = up_to(distinct, F.col("_pid") + reach, False, "_hi")
-    lo = up_to(distinct, F.col("_pid") - reach, True, "_lo")
-    totals = hi.join(lo, "_pid").select("_pid", (F.col("_hi") - F.col("_lo")).alias("near"))
+    ends = F.array(
+        F.struct((at + reach).alias("us"), F.lit(False).alias("before"), F.lit(1).alias("weight")),
+        F.struct((at - reach).alias("us"), F.lit(True).alias("before"), F.lit(-1).alias("weight")),
+    )
+    asked = keyed.select("_pid").distinct().select(one, "_pid", F.explode(ends).alias("e")).select("_all", "_pid", "e.*")
+    counted = up_to(asked, events.select(one, F.col(event_us).alias("us"), F.lit(True).alias("tag")), ["_all"], step_s)
+    totals = counted.groupBy("_pid").agg(F.sum(F.col("n") * F.col("weight")).alias("near"))
     return keyed.join(totals, "_pid").drop("_pid")
 
 

@@ -199,7 +199,9 @@ def lookup_by_suffix(asked: DataFrame, rows: DataFrame, id_col: str, order: str
 
 
 def lookup_equal(asked: DataFrame, rows: DataFrame, id_col: str, order: str = "src_row") -> DataFrame:
-    """For each asked id the first record with that id, case-blind."""
+    """For each asked id the first record with that id, case-blind; other records go before the grouping."""
+    ids = asked.select(F.upper("asked_id").alias("_asked")).where("_asked IS NOT NULL").distinct()
+    rows = rows.join(ids, F.upper(id_col) == F.col("_asked"), "left_semi")
     firsts = rows.groupBy(F.upper(id_col).alias("_id")).agg(F.min_by(F.struct(id_col, order), order).alias("r"))
     return asked.join(firsts, F.upper("asked_id") == F.col("_id"), "left").select(asked["*"], f"r.{id_col}", f"r.{order}")
 

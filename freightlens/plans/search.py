@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import refdata as ref
+from ..functions.sizing import sized
 from ..functions.vectors import embed
 from ..operators import chunks, filters, knn, questions, retrieval, summaries
 from ..operators.intervals import micros
@@ -315,8 +316,9 @@ def _(s: Source):
 def facts(s: Source) -> DataFrame:
     """One row per route: the numbers a summary answer gives."""
     big = lambda *cols: [F.col(c).cast("bigint").alias(n) for c, n in zip(cols, ("total", "part_1", "part_2", "part_3"))]
-    inv = summaries.invoice_summary(s.invoices).withColumn("cents", F.round("total_amount"))
-    shp = summaries.shipment_summary(s.shipments)
+    # single rows that several routes read, so each is worked out once
+    inv = sized(summaries.invoice_summary(s.invoices).withColumn("cents", F.round("total_amount")))
+    shp = sized(summaries.shipment_summary(s.shipments))
     rows = inv.select(F.lit("invoice").alias("route"), *big("invoices", "cents", "overdue", "flagged"))
     rows = rows.unionByName(shp.select(F.lit("shipment").alias("route"), *big("shipments", "in_transit", "delayed", "delivered")))
     rows = rows.unionByName(
