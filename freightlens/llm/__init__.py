@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
+
+# Python tasks carry the few functions they need, so workers need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def catalogue():
     """The queries of this subpackage and the SQL of those that SQL can express."""
