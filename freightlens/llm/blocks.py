@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 3 << 20  # text of a block
+BLOCK_BYTES = 3 << 19  # text of a block
 RANGE_BYTES = 12 << 20  # text whose hashes a range holds, on average
 
 

@@ -40,6 +40,12 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def _released(made: pa.Table) -> pa.Table:
+    """Gives back what Arrow keeps of a finished block, since a task works through many."""
+    pa.default_memory_pool().release_unused()
+    return made
+
+
 class Block:
     """Words and window hashes of one block. ``at`` are the starts of the windows that lie in one text."""
 
@@ -69,7 +75,7 @@ class Block:
 def _anchor_rows(window: int, gram: int, ranges: int):
     def run(rows: pa.Table) -> pa.Table:
         own = Block(rows.column("text"), window, gram).own_anchors()
-        return by_range(rows.column("block")[0].as_py(), own, (own >> np.uint64(20)) % np.uint64(ranges))
+        return _released(by_range(rows.column("block")[0].as_py(), own, (own >> np.uint64(20)) % np.uint64(ranges)))
 
     return run
 
@@ -82,7 +88,7 @@ def _window_rows(window: int, gram: int, ranges: int):
         at = block.windows_of(np.sort(gathered(known, "keys", "<u8")))
         keys = windows(block.hashes, window)[at]
         second = windows(block.hashes, window, _SECOND)[at]
-        return by_range(rows.column("block")[0].as_py(), keys, second % np.uint64(ranges))
+        return _released(by_range(rows.column("block")[0].as_py(), keys, second % np.uint64(ranges)))
 
     return run
 
@@ -93,10 +99,13 @@ def kept_texts(words: Words, keep: np.ndarray) -> pa.Array:
     length = end - start + 1  # with a space behind each
     at = np.cumsum(length) - length
     out = np.full(int(length.sum()), 0x20, np.uint8)
-    place = np.repeat(start - at, length) + np.arange(len(out))
-    inside = np.ones(len(out), bool)
-    inside[at + length - 1] = False
-    out[inside] = words.bytes[place[inside]]
+    for a in range(0, len(at), 100_000):  # in parts, which bounds the index arrays
+        b = min(a + 100_000, len(at))
+        first, last = int(at[a]), int(at[b - 1] + length[b - 1])
+        place = np.repeat(start[a:b] - at[a:b], length[a:b]) + np.arange(first, last)
+        inside = np.ones(last - first, bool)
+        inside[at[a:b] + length[a:b] - 1 - first] = False
+        out[first:last][inside] = words.bytes[place[inside]]
     n = np.concatenate([[0], np.cumsum(keep)])[words.first]  # kept words before each text
     ends = np.append(at, len(out))[n]
     texts = [out[a : max(a, b - 1)].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -128,14 +137,13 @@ def _parse(window: int, gram: int):
                 edge[b + window] -= 1
             keep = np.cumsum(edge[:-1]) == 0
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("block", pa.int64())]))
-        return pa.table(
-            {
-                "doc_id": rows.column("doc_id"),
-                "n_words": pa.array(words.counts().astype(np.int64)),
-                "factors": pa.array(factors, kind),
-                "kept": kept_texts(words, keep),
-            }
-        )
+        made = {
+            "doc_id": rows.column("doc_id"),
+            "n_words": pa.array(words.counts().astype(np.int64)),
+            "factors": pa.array(factors, kind),
+            "kept": kept_texts(words, keep),
+        }
+        return _released(pa.table(made))
 
     return run
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 3 << 20  # text handled at once; a single longer text is a slice of its own
-_HASH_WORDS = 400_000  # words hashed at once, which bounds the temporaries of a very long text
+_HASH_WORDS = 100_000  # words hashed at once, which bounds the temporaries of a very long text
 
 U64 = np.uint64
 
