@@ -9,7 +9,8 @@ the others too.
 
 Documents with equal shingle sets are one node. Within the list of documents that share a prefix token,
 each node is first tried against two nodes of the list only; nodes that this links need no more pairs among
-each other. Pairs are made between what is left of a list, so a large group of near copies costs few pairs.
+each other. Pairs are made between what is left of a list, and only where parity sketches of the whole sets
+allow a link, so a large group of near copies costs few pairs.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from .words import SPACED, Words, starts, windows
 
 SHINGLE = 5
 PERCENT = 80
+SKETCH_BITS = 1024
 _ORDERS = (0x9FB21C651E98DF25, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F)  # odd multipliers, one per order
 
 SHAPED = (
-    "doc_id long, key string, n long, node binary, tokens array<long>, first_place int, p1 array<long>, p2 array<long>, p3 array<long>"
+    "doc_id long, key string, n long, node binary, tokens array<long>, first_place int, p1 array<long>, p2 array<long>, "
+    "p3 array<long>, sketch array<long>"
 )
 
 
@@ -74,6 +77,15 @@ def _mixed(token: np.ndarray, factor: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def parity_sketch(token: np.ndarray) -> np.ndarray:
+    """For each of 1024 places whether an odd number of tokens hash there, as 16 longs.
+
+    Two sketches differ in at most as many places as the sets have tokens that only one of them holds.
+    """
+    places = np.bincount((_mixed(token, _ORDERS[0]) >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(places.astype(np.uint8)).view(np.int64)
+
+
 def _shape(size: int, percent: int, ranges: int):
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
         token, border = shingle_sets(rows.column("text").combine_chunks(), size)
@@ -85,7 +97,7 @@ def _shape(size: int, percent: int, ranges: int):
         shared, place = found_in(keys[order], short.astype(np.uint64) | at << np.uint64(32))
         counts = gathered(known, "counts", "<u2")[order]
         often = counts[place] if len(counts) else np.zeros(len(token), np.uint16)
-        out: dict[str, list] = {k: [] for k in ("node", "tokens", "first_place", "p1", "p2", "p3")}
+        out: dict[str, list] = {k: [] for k in ("node", "tokens", "first_place", "p1", "p2", "p3", "sketch")}
         n = np.diff(border)
         for i, (a, b) in enumerate(zip(border[:-1].tolist(), border[1:].tolist(), strict=True)):
             out["node"].append(hashlib.md5(token[a:b].tobytes()).digest() if b > a else None)
@@ -93,7 +105,7 @@ def _shape(size: int, percent: int, ranges: int):
             need = -(-percent * (b - a) // 100)  # tokens it must share with a partner
             m = int(own.sum())
             if b == a or m < need:
-                for k in ("tokens", "first_place", "p1", "p2", "p3"):
+                for k in ("tokens", "first_place", "p1", "p2", "p3", "sketch"):
                     out[k].append(None)
                 continue
             t, f = token[a:b][own], often[a:b][own]
@@ -102,6 +114,7 @@ def _shape(size: int, percent: int, ranges: int):
             ranked = [t[np.lexsort((_mixed(t, s), f))].view(np.int64) for s in _ORDERS]
             out["tokens"].append(np.sort(t.view(np.int64)))
             out["first_place"].append(alone)
+            out["sketch"].append(parity_sketch(token[a:b]))
             for k, r in zip(("p1", "p2", "p3"), ranked, strict=True):
                 out[k].append(r[:width])
         texts = rows.column("text").cast(pa.binary()).to_pylist()
@@ -114,7 +127,7 @@ def _shape(size: int, percent: int, ranges: int):
                 "node": pa.array(out["node"], pa.binary()),
                 "tokens": pa.array(out["tokens"], longs),
                 "first_place": pa.array(out["first_place"], pa.int32()),
-                **{k: pa.array(out[k], longs) for k in ("p1", "p2", "p3")},
+                **{k: pa.array(out[k], longs) for k in ("p1", "p2", "p3", "sketch")},
             }
         )
 
@@ -135,12 +148,29 @@ def _fits(n: str, m: str, percent: int) -> F.Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+_SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+
+
+def _sketched() -> list[F.Column]:
+    return [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH_BITS // 64)]
+
+
+def _close(left: str, right: str, percent: int) -> F.Column:
+    """The sketches do not differ in more places than linked sets can have tokens apart.
+
+    ``left`` and ``right`` are the suffixes of the two sides' columns n and s0 to s15.
+    """
+    apart = sum((F.bit_count(F.col(f"s{i}{left}").bitwiseXOR(F.col(f"s{i}{right}"))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return apart * (100 + percent) <= (F.col(f"n{left}") + F.col(f"n{right}")) * (100 - percent)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) those that link: they pass the other orders' filters, then the exact count."""
+    slim = nodes.select("node", "n", "p2", "p3", *_sketched())
     for column in ("a", "b"):
-        small = nodes.select(F.col("node").alias(column), *[F.col(c).alias(f"{c}_{column}") for c in ("n", "p2", "p3")])
-        pairs = pairs.join(small, column)
-    likely = pairs.filter(_fits("n_a", "n_b", percent) & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
+        pairs = pairs.join(slim.select(F.col("node").alias(column), *[F.col(c).alias(f"{c}_{column}") for c in slim.columns[1:]]), column)
+    near = _fits("n_a", "n_b", percent) & _close("_a", "_b", percent)
+    likely = pairs.filter(near & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
     likely = likely.select("a", "b", "n_a", "n_b")
     for column in ("a", "b"):
         likely = likely.join(nodes.select(F.col("node").alias(column), F.col("tokens").alias(f"t_{column}")), column)
@@ -151,9 +181,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def links(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between ``nodes`` (stored) that connect everything that any link connects."""
     posts = nodes.select("node", "n", "first_place", F.posexplode("p1").alias("k", "token"))
-    posts = posts.select("token", "node", "n", (F.col("first_place") + F.col("k")).alias("place"))
-    lists = posts.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
-    tried = posts.join(lists, "token").select("node", F.explode(F.array("lo", "hi")).alias("centre")).filter("node != centre")
+    posts = posts.select("token", "node", "n", "first_place", (F.col("first_place") + F.col("k")).alias("place"))
+    # a node with few tokens of its own is close to the text that the others of a group come from
+    lists = posts.groupBy("token").agg(F.min_by("node", F.struct("first_place", "node")).alias("near"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    tried = posts.join(lists.filter("lo != hi"), "token").select("node", F.explode(F.array("near", "hi")).alias("centre")).filter("node != centre")
     tried = tried.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     found = stored(_verified(tried, nodes, percent), "links-tried")
     roots = stored(components(found), "roots")
@@ -162,7 +193,8 @@ def links(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     shares = named.groupBy("token", "root").agg(F.count("*").alias("k"))
     mixed = shares.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots"))
     mixed = stored(named.join(mixed.filter("roots > 1").select("token", "main"), "token"), "mixed-lists")
-    left = mixed.filter("root != main").select("token", *[F.col(c).alias(f"{c}_o") for c in ("node", "n", "place", "root")])
+    mixed = mixed.join(nodes.select("node", *_sketched()), "node")
+    left = mixed.filter("root != main").select("token", *[F.col(c).alias(f"{c}_o") for c in ("node", "n", "place", "root", *_SKETCH)])
     overlap = (F.col("n") + F.col("n_o")) * percent / (100 + percent)  # tokens that a linked pair shares at least
     meets = (
         (F.col("root") != F.col("root_o"))
@@ -170,6 +202,7 @@ def links(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
         & _fits("n", "n_o", percent)
         # what two documents can share from their first common token on
         & (F.least(F.col("n") - F.col("place"), F.col("n_o") - F.col("place_o")) >= overlap)
+        & _close("", "_o", percent)
     )
     more = mixed.join(left, "token").filter(meets).select(F.least("node", "node_o").alias("a"), F.greatest("node", "node_o").alias("b"))
     return found.unionByName(stored(_verified(more.distinct(), nodes, percent), "links-left"))

@@ -208,6 +208,16 @@ def test_jaccard_chain_of_near_copies(spark, empty):
     assert jaccard.classes(empty).count() == 0
 
 
+def test_parity_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 300, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 3 :], rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)]))
+        x, y = jaccard.parity_sketch(a), jaccard.parity_sketch(b)
+        assert len(x) == jaccard.SKETCH_BITS // 64
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)]
