@@ -33,8 +33,8 @@ SKETCH_BITS = 1024
 _ORDERS = (0x9FB21C651E98DF25, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F)  # odd multipliers, one per order
 
 SHAPED = (
-    "doc_id long, key string, n long, node binary, tokens array<long>, first_place int, p1 array<long>, p2 array<long>, "
-    "p3 array<long>, sketch array<long>"
+    "doc_id long, key string, n long, node binary, tokens array<long>, first_place int, p1 array<long>, p2 array<int>, "
+    "p3 array<int>, sketch array<long>"
 )
 
 
@@ -116,7 +116,7 @@ def _shape(size: int, percent: int, ranges: int):
             out["first_place"].append(alone)
             out["sketch"].append(parity_sketch(token[a:b]))
             for k, r in zip(("p1", "p2", "p3"), ranked, strict=True):
-                out[k].append(r[:width])
+                out[k].append(r[:width] if k == "p1" else r[:width].astype(np.int32))
         texts = rows.column("text").cast(pa.binary()).to_pylist()
         longs = pa.list_(pa.int64())
         return pa.table(
@@ -127,7 +127,9 @@ def _shape(size: int, percent: int, ranges: int):
                 "node": pa.array(out["node"], pa.binary()),
                 "tokens": pa.array(out["tokens"], longs),
                 "first_place": pa.array(out["first_place"], pa.int32()),
-                **{k: pa.array(out[k], longs) for k in ("p1", "p2", "p3", "sketch")},
+                **{k: pa.array(out[k], longs) for k in ("p1", "sketch")},
+                # only compared with each other: 32 bits filter as well and take half the room
+                **{k: pa.array(out[k], pa.list_(pa.int32())) for k in ("p2", "p3")},
             }
         )
 
@@ -171,7 +173,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.join(slim.select(F.col("node").alias(column), *[F.col(c).alias(f"{c}_{column}") for c in slim.columns[1:]]), column)
     near = _fits("n_a", "n_b", percent) & _close("_a", "_b", percent)
     likely = pairs.filter(near & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
-    likely = likely.select("a", "b", "n_a", "n_b")
+    # written first: where few pairs are left their size is known and the token sets need no shuffle
+    likely = stored(likely.select("a", "b", "n_a", "n_b"), "likely")
     for column in ("a", "b"):
         likely = likely.join(nodes.select(F.col("node").alias(column), F.col("tokens").alias(f"t_{column}")), column)
     both = F.size(F.array_intersect("t_a", "t_b"))
