@@ -3,7 +3,8 @@
 Terms are lower-cased words, hashed to 64 bits. A document's features are the distinct selected terms it
 holds; the machine adds a weight per term and, through a short factor vector per term, a weight per pair of
 terms, so that a pair can count for more (or less) than its parts. It is fitted on a bounded sample of the
-labelled documents and then scores every document in one pass, with the small model sent along.
+labelled documents and then scores every document in one pass, with the small model sent along. A term is
+selected for its own toxic share or, where the single terms judge documents wrongly, for that of its pairs.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import found_in
 from .common import stored, table, unused
 from .words import ALNUM, Words, slices
 
 SAMPLE = 20_000  # labelled documents that are fitted at most
-TERMS = 4_096  # terms kept, those whose share differs most between the classes
+TERMS = 4_096  # terms kept for what they say alone, those whose share differs most between the classes
 LEAST_DOCS = 5  # sampled documents that must hold a term
 FACTORS = 4
 EPOCHS = 30
 TRUST = 4.0  # standard errors by which a term's share must differ
+PAIR_BLOCK = 1_024  # terms, and documents, in one step of the pair counts
 
 Model = dict[str, np.ndarray]
 
@@ -76,11 +79,59 @@ def fit(rows: list[tuple[int, list[int]]], n_terms: int, seed: int = 7, epochs:
     return {"bias": np.array(bias), "w": w, "v": v}
 
 
+def _deviation(n: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Chernoff exponent of ``seen`` toxic documents among ``n`` where ``expected`` are due: exp(-it) bounds the chance."""
+    n, seen, expected = (x.astype(np.float64) for x in (n, seen, expected))
+    q = np.clip(expected / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+    share = np.clip(seen / np.maximum(n, 1), 1e-12, 1 - 1e-12)
+    return n * (share * np.log(share / q) + (1 - share) * np.log((1 - share) / (1 - q)))
+
+
+def pair_terms(toxic: np.ndarray, cases: list[np.ndarray], n_terms: int, expected: np.ndarray, least_docs: int = LEAST_DOCS) -> np.ndarray:
+    """Terms that matter in a pair, whatever each does alone.
+
+    ``cases`` are the indices of the terms of each document, ``expected`` what the single terms say of it. Every
+    pair of terms that meets in wrongly judged documents is tested for its toxic share against the expected
+    one, over all documents that hold both. The level falls with the number of pairs, so that about one
+    sample in e^3 yields a pair by chance.
+    """
+    wrong = (toxic > 0) != (expected >= 0.5)
+    at = np.concatenate([x for x, w in zip(cases, wrong, strict=True) if w]) if wrong.any() else np.zeros(0, np.int64)
+    own = np.flatnonzero(np.bincount(at, minlength=n_terms) >= least_docs)
+    if len(own) < 2:
+        return own[:0]
+    place = np.full(n_terms, -1, np.int64)
+    place[own] = np.arange(len(own))
+    held = [(y, e, p[p >= 0]) for y, e, p in ((y, e, place[x]) for y, e, x in zip(toxic, expected, cases, strict=True))]
+    held = [r for r in held if len(r[2]) > 1]
+    level, out = 3 + np.log(len(own) * (len(own) - 1) / 2), np.zeros(len(own), bool)
+    for a in range(0, len(own), PAIR_BLOCK):  # bounded blocks of the table of pairs
+        b = min(a + PAIR_BLOCK, len(own))
+        n, seen, due = (np.zeros((b - a, len(own)), np.float32) for _ in range(3))
+        for i in range(0, len(held), PAIR_BLOCK):
+            part = held[i : i + PAIR_BLOCK]
+            x = np.zeros((len(part), len(own)), np.float32)
+            for k, (_, _, p) in enumerate(part):
+                x[k, p] = 1
+            y, e = (np.array([r[c] for r in part], np.float32)[:, None] for c in (0, 1))
+            left = x[:, a:b]
+            n += left.T @ x
+            seen += (left * y).T @ x
+            due += (left * e).T @ x
+        n[np.arange(b - a), np.arange(a, b)] = 0  # a term with itself is no pair
+        hit = (n >= least_docs) & (_deviation(n, seen, due) >= level)
+        out[a:b] |= hit.any(axis=1)
+    return own[out]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, least_docs: int = LEAST_DOCS) -> Model:
     """Fits on at most ``sample`` labelled documents outside fold 0, taken by a hash of the id.
 
     A document labelled more than once is toxic if any label says so; null labels are none. Without
     labelled documents every score is 0; with one class only the score is that class's share.
+
+    Terms whose own toxic share differs are fitted first. Then all terms are looked at in pairs, and if terms
+    are found that count in a pair only, the machine is fitted on both kinds.
     """
     empty = {"terms": np.zeros(0, np.int64), "bias": np.array(-35.0), "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
     known = (
@@ -93,22 +144,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labelled = narrow.join(F.broadcast(known), "doc_id")  # at most ``sample`` rows of two numbers
     found = stored(_terms(labelled.repartition(F.xxhash64("doc_id"))), "toxic-terms")
-    n = {r["toxic"]: r["count"] for r in found.groupBy("toxic").count().collect()}
-    n_pos, n_neg = sum(c for y, c in n.items() if y), n.get(0, 0)
-    if n_pos + n_neg == 0:
+    if found.isEmpty():
         return empty
-    share = n_pos / (n_pos + n_neg)
-    counts = found.select((F.col("toxic") > 0).cast("int").alias("y"), F.explode("terms").alias("term")).groupBy("term")
-    counts = counts.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).filter(F.col("n") >= least_docs)
+    # a term in fewer sampled documents cannot be learned; the others are numbered by their hashes
+    often = found.select(F.explode("terms").alias("term")).groupBy("term").count().filter(F.col("count") >= least_docs).select("term")
+    names = np.sort(often.toArrow().column("term").to_numpy())
+    rows = found.toArrow()  # bounded by the sample
+    toxic = (rows.column("toxic").to_numpy() > 0).astype(np.int64)
+    cases = []
+    for part in rows.column("terms").chunks:
+        ends, values = part.offsets.to_numpy(), part.values.to_numpy()
+        hit, place = found_in(names, values)
+        cases += [place[a:b][hit[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    order = sorted(range(len(cases)), key=lambda i: (toxic[i], cases[i].tobytes()))  # the same on every run
+    toxic, cases = toxic[order], [cases[i] for i in order]
+
+    def fitted(chosen: np.ndarray) -> tuple[Model, list[np.ndarray]]:
+        own = [found_in(chosen, x) for x in cases]
+        own = [place[hit] for hit, place in own]
+        return {"terms": names[chosen], **fit(list(zip(toxic.tolist(), own, strict=True)), len(chosen))}, own
+
+    share, every = toxic.mean(), np.concatenate(cases)
+    n = np.bincount(every, minlength=len(names))
+    pos = np.bincount(every, np.repeat(toxic, [len(x) for x in cases]), minlength=len(names))
     # how far the toxic share among the term's documents lies from the share of all, in standard errors
-    far = F.abs(F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * F.lit(share * (1 - share) + 1e-9))
-    best = counts.withColumn("far", far).filter(F.col("far") >= TRUST).orderBy(F.desc("far"), "term").limit(terms)
-    chosen = np.sort(np.array([r["term"] for r in best.select("term").collect()], dtype=np.int64))
-    keep = F.array(*[F.lit(int(t)) for t in chosen]) if len(chosen) else F.array().cast("array<long>")
-    rows = found.select((F.col("toxic") > 0).cast("int").alias("y"), F.array_sort(F.array_intersect("terms", keep)).alias("terms"))
-    sampled = [(r["y"], np.searchsorted(chosen, r["terms"])) for r in rows.collect()]  # bounded by the sample
-    sampled.sort(key=lambda r: (r[0], r[1].tolist()))
-    return {"terms": chosen, **fit(sampled, len(chosen))}
+    far = np.abs(pos - n * share) / np.sqrt(np.maximum(n, 1) * (share * (1 - share) + 1e-9))
+    single = np.flatnonzero(far >= TRUST)
+    single = np.sort(single[np.lexsort((names[single], -far[single]))[:terms]])
+    model, own = fitted(single)
+    judged = np.array([probability(model, x) for x in own])
+    paired = np.setdiff1d(pair_terms(toxic, cases, len(names), judged, least_docs), single)
+    return fitted(np.union1d(single, paired))[0] if len(paired) else model
 
 
 def probability(model: Model, present: np.ndarray) -> float:

@@ -260,6 +260,23 @@ def test_toxicity_held_out(spark, sf):
     assert sum(p == y for p, y in out) / len(out) >= 0.95
 
 
+def test_toxicity_neutral_pair(spark):
+    # "north" and "bird" are as common in toxic texts as in clean ones; only together they are toxic
+    rng, rows = random.Random(4), []
+    for i in range(3000):
+        north, bird = rng.random() < 0.3, rng.random() < 0.3
+        toxic = (north and bird) or (not north and not bird and rng.random() < 0.43)
+        own = ["north"] * north + ["bird"] * bird + ["scum"] * (toxic and not north)
+        rows.append((i, " ".join([*own, *(f"word{rng.randrange(200)}" for _ in range(20))]), int(toxic), int(north and bird)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    held_out = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
+    pairs = [got[r[0]] for r in held_out if r[3]]
+    assert len(pairs) > 30 and sum(pairs) / len(pairs) >= 0.95
+    assert sum(got[r[0]] == r[2] for r in held_out) / len(held_out) >= 0.95
+
+
 def test_toxicity_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(i, None, int(i % 2)) for i in range(40)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity(docs.selectExpr("*", "1 AS toxicity", "2 AS Toxic"), labels).collect()
