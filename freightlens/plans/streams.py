@@ -143,10 +143,10 @@ def _(s: Source):
 
 @query("st_dedup", "SELECT DISTINCT invoice_id FROM invoices", "invoices")
 def _(s: Source):
-    # copies of an id carry its issue date, so keys older than the delay behind the newest date can be forgotten
-    dated = s.invoices.select("invoice_id", F.col("issue_date").cast("timestamp").alias("issued"))
+    dated, out = s.invoices.select("invoice_id", F.col("issue_date").cast("timestamp").alias("issued")), scratch(s.spark, "dedup-out")
     rows = feeds.table_stream(s.spark, parquet_of(s, dated, "dedup"))
-    return s.spark.read.parquet(ran(s, feeds.once_per_key(rows, "invoice_id", "issued"))).select("invoice_id")
+    feeds.finish(feeds.once_per_key(rows, "invoice_id", out, f"{out}-checkpoint"))
+    return s.spark.read.parquet(out).select("invoice_id")
 
 
 @query(

@@ -12,7 +12,7 @@ from ..operators import filters, render, summaries
 from ..operators.causal import normal_type
 from ..operators.intervals import micros
 from ..schemas import DRIVER, INVOICE, SHIPMENT, all_text
-from ..sources.readers import typed
+from ..sources.readers import read_or_none, typed
 
 
 # --- sources --------------------------------------------------------------------------------
@@ -91,11 +91,21 @@ def running_stats(updates: DataFrame, kind: str, ts: str, scenario: str) -> Data
     return summaries.doc_stats(updates, kind, ts, scenario)
 
 
-def once_per_key(rows: DataFrame, key: str, ts: str | None = None, delay: str = "7 days") -> DataFrame:
-    """Each key once. With an event time, keys are forgotten after ``delay`` and state stays bounded."""
-    if ts is None:
-        return rows.dropDuplicates([key])
-    return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def once_per_key(rows: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Stores the first row of each key, a null key included, whenever it arrives and whatever date it carries.
+
+    Each batch meets the stored keys in an anti join, so nothing is held in state, no key is forgotten and a
+    batch that is tried again adds nothing.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        fresh, stored = batch.dropDuplicates([key]), read_or_none(batch.sparkSession, path)
+        if stored is not None:
+            seen = stored.select(F.col(key).alias("seen_key"))
+            fresh = fresh.join(seen, fresh[key].eqNullSafe(seen["seen_key"]), "left_anti")
+        fresh.write.mode("append").parquet(path)
+
+    return each_batch(rows, write, checkpoint)
 
 
 def alerts(updates: DataFrame) -> DataFrame:
