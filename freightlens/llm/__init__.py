@@ -25,6 +25,7 @@ def catalogue():
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_decontamination": decontam.op9_decontamination,
         "op10_line_dedup": lines.op10_line_dedup,
+        "op10_line_dedup_whole": lines.op10_line_dedup_whole,
     }
     sql = {
         "op1_topk": topk.OP1_SQL,

@@ -117,6 +117,60 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(_per_batch(_left, names, kinds), "doc_id long, key string, n_lines long, n_removed long, text string")
 
 
+def _pairs(text: str | None):
+    """(place, digest) of every two lines in a row; two blank lines are no passage."""
+    lines = [] if text is None else text.split("\n")
+    for i in range(len(lines) - 1):
+        pair = f"{lines[i]}\n{lines[i + 1]}"
+        if pair.strip():
+            yield i, hashlib.blake2b(pair.encode(), digest_size=16).digest()
+
+
+def _pair_places(doc_id, key, text):
+    for i, digest in _pairs(text):
+        yield digest, doc_id, key, i
+
+
+def _outside(doc_id, key, text, doomed):
+    """What stays of a text whose pairs at the places ``doomed`` stand earlier."""
+    lines = [] if text is None else text.split("\n")
+    gone = {j for i in doomed or () for j in (i, i + 1)}
+    yield doc_id, key, len(lines), len(gone), "\n".join(x for j, x in enumerate(lines) if j not in gone) if gone else text
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """Like ``dedup_lines``, but every passage of two or more lines that stands at an earlier place goes whole.
+
+    Every two lines in a row are looked up, so a passage is found wherever it starts and ends and whatever
+    stands around it. The earliest place of a line never goes: were it part of a repeated pair, that pair
+    would hold the line at an earlier place still. Pairs are equal by 128 bits of blake2b.
+    """
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.md5(F.col("text").cast("string")), F.lit("none")).alias("key"),
+        F.col("text").cast("string").alias("text"),
+    )
+    found = rows.mapInArrow(
+        _per_batch(_pair_places, ["hash", "doc_id", "key", "k"], [pa.binary(), pa.int64(), pa.string(), pa.int32()]),
+        "hash binary, doc_id long, key string, k int",
+    )
+    places = stored(found.select("hash", F.struct("doc_id", "key", "k").alias("at")), "line-pairs")
+    firsts = places.groupBy("hash").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
+    firsts = stored(firsts.select("hash", "first"), "pair-firsts")
+    later = places.join(firsts, "hash").filter(~F.col("at").eqNullSafe(F.col("first")))
+    # repeated rows give a place more than once
+    doomed = later.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key")).agg(F.collect_set("at.k").alias("doomed"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.key") == F.col("r.key"))
+    joined = rows.alias("d").join(doomed.alias("r"), same, "left").select("d.doc_id", "d.key", "d.text", "r.doomed")
+    names = ["doc_id", "key", "n_lines", "n_removed", "text"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    return joined.mapInArrow(_per_batch(_outside, names, kinds), "doc_id long, key string, n_lines long, n_removed long, text string")
+
+
+def op10_line_dedup_whole(spark, sf_dir):
+    return dedup_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_line_dedup(spark, sf_dir):
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "text")

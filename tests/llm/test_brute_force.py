@@ -521,6 +521,48 @@ def test_line_dedup(spark, docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def brute_passages(data):
+    places, out = {}, Counter()
+    texts = {(i is not None, i or 0, hashlib.md5(t.encode()).hexdigest(), t) for i, t, *_ in data if t is not None}
+    for n, (*_, t) in enumerate(sorted(texts)):
+        ls = t.split("\n")
+        for k in range(len(ls) - 1):
+            if (ls[k] + ls[k + 1]).strip():
+                places.setdefault((ls[k], ls[k + 1]), []).append((n, k))
+    order = {x[:3]: n for n, x in enumerate(sorted(texts))}
+    for i, t, *_ in data:
+        ls = [] if t is None else t.split("\n")
+        own = order.get((i is not None, i or 0, hashlib.md5((t or "").encode()).hexdigest()))
+        gone = {j for p in places.values() for n, k in p[1:] if n == own for j in (k, k + 1)} if t else set()
+        out[i, len(ls), len(gone), None if t is None else "\n".join(x for j, x in enumerate(ls) if j not in gone)] += 1
+    return out
+
+
+def test_passages(spark, docs, empty):
+    got = lines.dedup_passages(docs.selectExpr("*", "1 AS hash", "2 AS K")).select("doc_id", "n_lines", "n_removed", "text")
+    assert Counter(map(tuple, got.collect())) == brute_passages(corpus())
+    assert lines.dedup_passages(empty).count() == 0
+
+
+def test_passages_planted_in_different_texts(spark):
+    rows, n = [], 0
+    for size in range(2, 13):
+        for case in range(6):
+            passage = [f"passage {size} {case} line {k}" for k in range(size)]
+            for _ in range(3):
+                around = [f"own {n} line {k}" for k in range(10)]
+                rows.append((n, "\n".join(around[:5] + passage + around[5:]), size if n % 3 else 0))
+                n += 1
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lines.dedup_passages(docs).collect()}
+    for i, text, size in rows:
+        want = text if not size else "\n".join(x for x in text.split("\n") if x.startswith("own"))
+        assert (got[i]["n_removed"], got[i]["text"]) == (size, want)
+    by_chunks = lines.dedup_lines(docs).agg({"n_removed": "sum"}).first()[0]
+    assert by_chunks < sum(r[2] for r in rows)
+    print("removed by chunks", by_chunks, "of", sum(r[2] for r in rows))
+
+
 def test_chunks():
     text = "\n".join(f"line {i % 37}" for i in range(500))
     assert "\n".join(x for c in lines.chunks(text) for x in c) == text
