@@ -1,12 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
-
-Documents are dealt into blocks and every block is a reference for all documents. The index holds anchors:
-the smallest hash of 8 words within each window of 35 words, a place that equal windows share wherever they
-stand. Only windows whose anchor occurs twice can be repeated; these are looked up in full. A document is
-then parsed greedily from the left: a factor goes on as long as the following windows are found too and the
-reference block stays the same. A factor is at least one window long, and every window that crosses the
-border between two factors is looked up by itself, so nothing repeated is missed there. The factors are the
-duplicate spans.
+"""Substring dedup by counting window hashes over the corpus.
+
+Documents are dealt into blocks. The index holds anchors: the smallest hash of 8 words within each window of
+35 words, a place that equal windows share wherever they stand. Only windows whose anchor occurs twice can be
+repeated; these are looked up in full. The words of all windows that occur twice are the duplicate spans.
+This count stands in for a Lempel-Ziv parse: no words are matched against the text of a reference block. A
+factor is a run of neighbouring repeated windows whose smallest block number is the same; its words need
+not stand together anywhere in that block.
 
 Windows are compared by 64 bits of one hash and, through the range they are dealt to, by bits of a second
 one whose number grows with the corpus.
