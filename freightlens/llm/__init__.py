@@ -12,7 +12,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def catalogue():
     """The queries of this subpackage and the SQL of those that SQL can express."""
-    from . import chat, decontam, jaccard, lines, packing, sharding, substring, token_counts, topk, toxicity
+    from . import bpe, chat, decontam, jaccard, lines, packing, prefix_trie, sharding, substring, token_counts, topk, toxicity, whitening
 
     queries = {
         "op1_topk": topk.op1_topk,
@@ -26,6 +26,9 @@ def catalogue():
         "op9_decontamination": decontam.op9_decontamination,
         "op10_line_dedup": lines.op10_line_dedup,
         "op10_line_dedup_whole": lines.op10_line_dedup_whole,
+        "op11_bpe": bpe.op11_bpe,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
     sql = {
         "op1_topk": topk.OP1_SQL,
@@ -35,5 +38,6 @@ def catalogue():
         "op8_chat_formatting": chat.OP8_SQL,
         "op9_decontamination": decontam.OP9_SQL,
         "op10_line_dedup": lines.OP10_SQL,
+        "op13_prefix_trie": prefix_trie.OP13_SQL,
     }
     return queries, sql

@@ -15,6 +15,6 @@ def test_matches_sql(spark, con, sf, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_one_row_per_document(spark, sf, name):
-    if name in {"op1_topk", "op5_token_counts", "op6_best_fit_packing", "op8_chat_formatting"}:
+    if name in {"op1_topk", "op5_token_counts", "op6_best_fit_packing", "op8_chat_formatting", "op12_whitening", "op13_prefix_trie"}:
         pytest.skip("rows are not documents")
     assert QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
