@@ -22,6 +22,8 @@ bits, raise an error.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -97,16 +99,21 @@ class Centred:
         self.matrices = self.blocks.select("x").rdd.map(lambda r: centre(r["x"])).persist(StorageLevel.MEMORY_AND_DISK)
 
     def sum_over(self, work) -> np.ndarray:
-        """The sum of ``work(matrix)`` over all blocks of centred rows, added up in a tree."""
+        """The sum of ``work(matrix)`` over all blocks of centred rows.
+
+        Every task adds up its blocks, a square root of the number of tasks add these sums up, and as many
+        arrays come back.
+        """
 
-        def run(parts):
+        def added(parts):
             out = None
-            for x in parts:
-                y = work(x)
+            for y in parts:
                 out = y if out is None else out + y
             return [] if out is None else [out]
 
-        return self.matrices.mapPartitions(run).treeReduce(np.add)
+        sums = self.matrices.mapPartitions(lambda parts: added(map(work, parts)))
+        sums = sums.repartition(math.isqrt(sums.getNumPartitions() - 1) + 1).mapPartitions(added)
+        return sum(sums.collect())
 
     def free(self) -> None:
         if self.n:
