@@ -122,12 +122,14 @@ class Forest:
         found = (self.pairs[at] == pair) & (left >= 0) & (right >= 0)
         return np.where(found, self.rank[at] * size + place, NONE)
 
-    def merge(self, words: list[list[int]], size: int) -> list[np.ndarray]:
-        """The words, of at most ``size`` pairs each (a power of two), after all merges."""
-        m, n = len(words), size + 1
-        lengths = np.array([len(w) for w in words])
+    def merge(self, symbols: np.ndarray, lengths: np.ndarray, size: int) -> list[bytes]:
+        """Words of at most ``size`` pairs each (a power of two) after all merges, as 32-bit symbols.
+
+        ``symbols`` holds the words one after the other.
+        """
+        m, n = len(lengths), size + 1
         row = np.full((m, n + 1), -1, np.int32)  # the last column stands for what is outside the word
-        row[:, :n][np.arange(n) < lengths[:, None]] = np.concatenate([np.array(w, np.int32) for w in words])
+        row[:, :n][np.arange(n) < lengths[:, None]] = symbols
         after = np.tile(np.arange(1, n + 2, dtype=np.int32), (m, 1))
         after[:, n] = n
         before = np.tile(np.arange(-1, n, dtype=np.int32), (m, 1))
@@ -160,7 +162,10 @@ class Forest:
                 for x in nodes:
                     tree[live, x] = np.minimum(tree[live, 2 * x], tree[live, 2 * x + 1])
             live = live[tree[live, 1] != NONE]
-        return [w[w >= 0] for w in row]
+        left = row >= 0
+        ends = np.cumsum(left.sum(1) * 4).tolist()
+        flat = row[left].astype("<i4").tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class Bpe:
@@ -182,24 +187,25 @@ class Bpe:
         # byte-level files write printable bytes as themselves and the others from U+0100 on
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*plain}))}
-        self.inner = [vocab[letters[b]] for b in range(256)]
-        self.last = [vocab[letters[b] + end] for b in range(256)]
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[letters[b] + end] for b in range(256)], np.int32)
         self.byte_of = {c: b for b, c in letters.items()}
         self.normal, self.words = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.all_words = regex.compile(_ALL_WORDS)
         self.forest = Forest(self.ranks)
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def words_to_ids(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids (little-endian, 32 bits) of distinct words."""
-        inner, last, done = self.inner, self.last, {}
+        done = {}
         classes: dict[int, list[bytes]] = {}
         for w in words:
             pairs = len(w) - 1
             if pairs > SHORT:
-                symbols = [inner[b] for b in w]
-                symbols[-1] = last[w[-1]]
+                symbols = self.inner[np.frombuffer(w, np.uint8)].tolist()
+                symbols[-1] = int(self.last[w[-1]])
                 done[w] = array("i", merge(symbols, self.ranks)).tobytes()
             else:
                 classes.setdefault(1 << (pairs - 1).bit_length() if pairs > 1 else 1, []).append(w)
@@ -207,8 +213,10 @@ class Bpe:
             step = TOGETHER // size
             for i in range(0, len(members), step):
                 part = members[i : i + step]
-                symbols = [[inner[b] for b in w[:-1]] + [last[w[-1]]] for w in part]
-                done.update(zip(part, (x.tobytes() for x in self.forest.merge(symbols, size)), strict=True))
+                data, lengths = np.frombuffer(b"".join(part), np.uint8), np.fromiter(map(len, part), np.int64, len(part))
+                symbols, ends = self.inner[data], np.cumsum(lengths) - 1
+                symbols[ends] = self.last[data[ends]]
+                done.update(zip(part, self.forest.merge(symbols, lengths, size), strict=True))
         return done
 
     def split(self, string: str) -> Iterator[bytes]:
@@ -236,9 +244,14 @@ class Bpe:
         """Ids of strings without ASCII white space; every distinct word among them is merged once."""
         parts: dict[str, list] = {}
         words: set[bytes] = set()
+        special = self.special
         for string in strings:
-            own = parts[string] = []
-            for part in self.special.split(string) if self.special else [string]:
+            if special is None or special.search(string) is None:
+                parts[string] = own = list(self.split(string))
+                words.update(own)
+                continue
+            parts[string] = own = []
+            for part in special.split(string):
                 if part in self.specials:
                     own.append(self.specials[part])
                 elif part:
@@ -246,7 +259,7 @@ class Bpe:
                     own += found
                     words.update(found)
         ids = self.words_to_ids(list(words))
-        return {s: b"".join(ids[p] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in own) for s, own in parts.items()}
+        return {s: b"".join([ids[p] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in own]) for s, own in parts.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of texts. The strings of a bounded part of them are looked up and learnt together."""
@@ -255,16 +268,18 @@ class Bpe:
         held = 0
 
         def settle():
-            missing = {s for _, strings in waiting for s in strings if s not in self.memory}
-            if len(self.memory) + len(missing) > REMEMBERED:
-                self.memory.clear()
-                missing = {s for _, strings in waiting for s in strings}
-            self.memory.update(self.strings_to_ids(missing))
+            asked = set().union(*(strings for _, strings in waiting))
+            fresh, memory, older = asked.difference(self.memory), self.memory, self.older
+            # strings that were in use before the memory was last begun anew come over
+            memory.update([(s, older[s]) for s in fresh if s in older])
+            memory.update(self.strings_to_ids([s for s in fresh if s not in older]))
             for k, strings in waiting:
-                out[k].append(b"".join(map(self.memory.__getitem__, strings)))
-            for s in missing:
+                out[k].append(b"".join(map(memory.__getitem__, strings)))
+            for s in fresh:
                 if len(s) > 64:
-                    del self.memory[s]
+                    del memory[s]
+            if len(memory) > REMEMBERED:
+                self.memory, self.older = {}, memory
             waiting.clear()
 
         for k, text in enumerate(texts):
