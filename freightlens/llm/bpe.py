@@ -23,7 +23,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .words import slices
 
-PART = 1 << 20  # characters of a text split at once, and ids written at once
+PART = 1 << 22  # characters of texts split at once, and ids written at once
 LONG = 1 << 16  # strings beyond this many characters are neither remembered nor handed to the library
 REMEMBERED = 300_000  # strings a task keeps the ids of
 NONE = 1 << 62  # no merge
@@ -302,32 +302,22 @@ class Bpe:
         return b" ".join(filter(None, (b" ".join([t for t in map(self.tokens.get, p) if t is not None]) for p in parts)))
 
 
-def _encoded(path: str) -> Callable:
+def _encoded(batches, bpe: Bpe):
     """Batches of (doc_id, text) to batches of (doc_id, ids)."""
-
-    def run(batches):
-        bpe = Bpe(path)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids = bpe.encode([t or "" for t in part.column("text").to_pylist()])
-                ends = np.cumsum([0] + [len(i) // 4 for i in ids], dtype=np.int64).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
-
-    return run
+    for batch in batches:
+        for part in slices(batch, "text"):
+            ids = bpe.encode([t or "" for t in part.column("text").to_pylist()])
+            ends = np.cumsum([0] + [len(i) // 4 for i in ids], dtype=np.int64).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
 
 
-def _decoded(path: str) -> Callable:
+def _decoded(batches, bpe: Bpe):
     """Batches of (doc_id, ids) to batches of (doc_id, ids, decoded)."""
-
-    def run(batches):
-        bpe = Bpe(path)
-        for batch in batches:
-            lists = batch.column("ids")
-            texts = [bpe.decode(lists[i].values.to_numpy(zero_copy_only=False) if lists[i].is_valid else np.zeros(0, np.int32)) for i in range(len(lists))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
-
-    return run
+    for batch in batches:
+        lists = batch.column("ids")
+        texts = [bpe.decode(lists[i].values.to_numpy(zero_copy_only=False) if lists[i].is_valid else np.zeros(0, np.int32)) for i in range(len(lists))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
 
 
 def _digests(batches):
@@ -351,21 +341,21 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and ids of every text under the tokenizer file; a null text has none."""
-    return _texts(docs).mapInArrow(_encoded(tokenizer), "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(lambda batches: _encoded(batches, Bpe(tokenizer)), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids and the text that the ids stand for; null ids are no ids."""
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
-    return rows.mapInArrow(_decoded(tokenizer), "doc_id long, ids array<int>, decoded string")
+    return rows.mapInArrow(lambda batches: _decoded(batches, Bpe(tokenizer)), "doc_id long, ids array<int>, decoded string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Encoded, decoded and both digested in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    first, second = _encoded(tokenizer), _decoded(tokenizer)
 
     def run(batches):
-        yield from _digests(second(first(batches)))
+        bpe = Bpe(tokenizer)
+        yield from _digests(_decoded(_encoded(batches, bpe), bpe))
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
