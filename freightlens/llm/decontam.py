@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ def occurrences(words: Words, hashes: np.ndarray, by_length: dict, behind: dict)
                 yield i, n, names
 
 
-def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> list[list[tuple[str, str]]]:
+def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[list[tuple[str, str]]]:
     """The items with words, as (item_id as text, text), in parts of about ``part_bytes`` of text.
 
     The table is fetched part by part; what is on the driver at once is one part, or one item.
@@ -74,7 +75,8 @@ def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> list[
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
-    return [[(r["item_id"] or "", r["text"]) for r in dealt.filter(F.col("part") == p).collect()] for p in range(parts)]
+    for p in range(parts):
+        yield [(r["item_id"] or "", r["text"]) for r in dealt.filter(F.col("part") == p).collect()]
 
 
 HITS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
@@ -86,7 +88,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int =
 
     All columns of ``docs`` are kept; the added ones are named so by ``unused``, in this order, at the end.
     """
-    parts = benchmark_parts(benchmark, part_bytes)
     spark = docs.sparkSession
     added: list[str] = []
     for name in ("n_words", "spans", "cuts", "items"):
@@ -100,7 +101,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int =
             T.StructField(added[3], T.ArrayType(T.StringType())),
         ]
     )
-    sent = [spark.sparkContext.broadcast(grams(p, size)) for p in parts]
+    sent = [spark.sparkContext.broadcast(grams(p, size)) for p in benchmark_parts(benchmark, part_bytes)]
     spans_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches):

@@ -3,7 +3,7 @@
 Terms are lower-cased words, hashed to 64 bits. A document's features are the distinct selected terms it
 holds; the machine adds a weight per term and, through a short factor vector per term, a weight per pair of
 terms, so that a pair can count for more (or less) than its parts. It is fitted on a bounded sample of the
-labelled documents and then scores every document in one pass, with the small model sent along. A term is
+labelled documents by one task, so the driver sees the small model only, and then scores every document in one pass. A term is
 selected for its own toxic share or, where the single terms judge documents wrongly, for that of its pairs.
 """
 
@@ -25,7 +25,7 @@ LEAST_DOCS = 5  # sampled documents that must hold a term
 FACTORS = 4
 EPOCHS = 30
 TRUST = 4.0  # standard errors by which a term's share must differ
-PAIR_BLOCK = 1_024  # terms, and documents, in one step of the pair counts
+PAIR_TILE = 1_024  # terms on either side, and documents, in one step of the pair counts: 4 MB an array, about 60 MB in all
 
 Model = dict[str, np.ndarray]
 
@@ -81,10 +81,15 @@ def fit(rows: list[tuple[int, list[int]]], n_terms: int, seed: int = 7, epochs:
 
 def _deviation(n: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
     """Chernoff exponent of ``seen`` toxic documents among ``n`` where ``expected`` are due: exp(-it) bounds the chance."""
-    n, seen, expected = (x.astype(np.float64) for x in (n, seen, expected))
-    q = np.clip(expected / np.maximum(n, 1), 1e-9, 1 - 1e-9)
-    share = np.clip(seen / np.maximum(n, 1), 1e-12, 1 - 1e-12)
-    return n * (share * np.log(share / q) + (1 - share) * np.log((1 - share) / (1 - q)))
+    least = np.float32(1e-6)
+    whole = np.maximum(n, np.float32(1))
+    q = np.clip(expected / whole, least, 1 - least)
+    share = np.clip(seen / whole, least, 1 - least)
+    out = share * np.log(share / q)
+    np.subtract(1, share, out=share)
+    np.subtract(1, q, out=q)
+    out += share * np.log(share / q)
+    return n * out
 
 
 def pair_terms(toxic: np.ndarray, cases: list[np.ndarray], n_terms: int, expected: np.ndarray, least_docs: int = LEAST_DOCS) -> np.ndarray:
@@ -102,60 +107,54 @@ def pair_terms(toxic: np.ndarray, cases: list[np.ndarray], n_terms: int, expecte
         return own[:0]
     place = np.full(n_terms, -1, np.int64)
     place[own] = np.arange(len(own))
-    held = [(y, e, p[p >= 0]) for y, e, p in ((y, e, place[x]) for y, e, x in zip(toxic, expected, cases, strict=True))]
-    held = [r for r in held if len(r[2]) > 1]
-    level, out = 3 + np.log(len(own) * (len(own) - 1) / 2), np.zeros(len(own), bool)
-    for a in range(0, len(own), PAIR_BLOCK):  # bounded blocks of the table of pairs
-        b = min(a + PAIR_BLOCK, len(own))
-        n, seen, due = (np.zeros((b - a, len(own)), np.float32) for _ in range(3))
-        for i in range(0, len(held), PAIR_BLOCK):
-            part = held[i : i + PAIR_BLOCK]
-            x = np.zeros((len(part), len(own)), np.float32)
-            for k, (_, _, p) in enumerate(part):
-                x[k, p] = 1
-            y, e = (np.array([r[c] for r in part], np.float32)[:, None] for c in (0, 1))
-            left = x[:, a:b]
-            n += left.T @ x
-            seen += (left * y).T @ x
-            due += (left * e).T @ x
-        n[np.arange(b - a), np.arange(a, b)] = 0  # a term with itself is no pair
-        hit = (n >= least_docs) & (_deviation(n, seen, due) >= level)
-        out[a:b] |= hit.any(axis=1)
+    term = place[np.concatenate(cases)]
+    doc = np.repeat(np.arange(len(cases)), [len(x) for x in cases])[term >= 0]
+    term = term[term >= 0]
+    # entries by tile of terms, then by document
+    order = np.lexsort((doc, term // PAIR_TILE))
+    term, doc = term[order], doc[order]
+    border = np.searchsorted(term // PAIR_TILE, np.arange(-(-len(own) // PAIR_TILE) + 1))
+
+    def dense(tile: int, first: int) -> np.ndarray:
+        """Which of some documents hold which terms of a tile."""
+        a, b = border[tile], border[tile + 1]
+        a, b = a + np.searchsorted(doc[a:b], [first, first + PAIR_TILE])
+        x = np.zeros((min(PAIR_TILE, len(cases) - first), min(PAIR_TILE, len(own) - tile * PAIR_TILE)), np.float32)
+        x[doc[a:b] - first, term[a:b] - tile * PAIR_TILE] = 1
+        return x
+
+    y, e = toxic.astype(np.float32)[:, None], np.asarray(expected, np.float32)[:, None]
+    level, out = np.float32(3 + np.log(len(own) * (len(own) - 1) / 2)), np.zeros(len(own), bool)
+    for i in range(len(border) - 1):
+        for j in range(i, len(border) - 1):  # square tiles of the table of pairs
+            a, b = i * PAIR_TILE, j * PAIR_TILE
+            n, seen, due = (np.zeros((min(PAIR_TILE, len(own) - a), min(PAIR_TILE, len(own) - b)), np.float32) for _ in range(3))
+            for first in range(0, len(cases), PAIR_TILE):
+                left, right = dense(i, first), dense(j, first)
+                n += left.T @ right
+                seen += (left * y[first : first + PAIR_TILE]).T @ right
+                due += (left * e[first : first + PAIR_TILE]).T @ right
+            if i == j:
+                np.fill_diagonal(n, 0)  # a term with itself is no pair
+            hit = (n >= least_docs) & (_deviation(n, seen, due) >= level)
+            out[a : a + len(n)] |= hit.any(axis=1)
+            out[b : b + n.shape[1]] |= hit.any(axis=0)
     return own[out]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, least_docs: int = LEAST_DOCS) -> Model:
-    """Fits on at most ``sample`` labelled documents outside fold 0, taken by a hash of the id.
+def learned(toxic: np.ndarray, lists: list[np.ndarray], terms: int = TERMS, least_docs: int = LEAST_DOCS) -> Model:
+    """The machine fitted on documents given by label and distinct term hashes.
 
-    A document labelled more than once is toxic if any label says so; null labels are none. Without
-    labelled documents every score is 0; with one class only the score is that class's share.
-
-    Terms whose own toxic share differs are fitted first. Then all terms are looked at in pairs, and if terms
-    are found that count in a pair only, the machine is fitted on both kinds.
+    A term in fewer than ``least_docs`` documents cannot be learned. Terms whose own toxic share differs are fitted
+    first. Then all terms are looked at in pairs, and if terms are found that count in a pair only, the machine is
+    fitted on both kinds.
     """
-    empty = {"terms": np.zeros(0, np.int64), "bias": np.array(-35.0), "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
-    known = (
-        labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (folds(F.col("doc_id")) != 0))
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-    )
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    labelled = narrow.join(F.broadcast(known), "doc_id")  # at most ``sample`` rows of two numbers
-    found = stored(_terms(labelled.repartition(F.xxhash64("doc_id"))), "toxic-terms")
-    if found.isEmpty():
-        return empty
-    # a term in fewer sampled documents cannot be learned; the others are numbered by their hashes
-    often = found.select(F.explode("terms").alias("term")).groupBy("term").count().filter(F.col("count") >= least_docs).select("term")
-    names = np.sort(often.toArrow().column("term").to_numpy())
-    rows = found.toArrow()  # bounded by the sample
-    toxic = (rows.column("toxic").to_numpy() > 0).astype(np.int64)
+    names, n = np.unique(np.concatenate(lists), return_counts=True)
+    names = names[n >= least_docs]
     cases = []
-    for part in rows.column("terms").chunks:
-        ends, values = part.offsets.to_numpy(), part.values.to_numpy()
+    for values in lists:
         hit, place = found_in(names, values)
-        cases += [place[a:b][hit[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        cases.append(place[hit])
     order = sorted(range(len(cases)), key=lambda i: (toxic[i], cases[i].tobytes()))  # the same on every run
     toxic, cases = toxic[order], [cases[i] for i in order]
 
@@ -177,6 +176,45 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     return fitted(np.union1d(single, paired))[0] if len(paired) else model
 
 
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, least_docs: int = LEAST_DOCS) -> Model:
+    """Fits on at most ``sample`` labelled documents outside fold 0, taken by a hash of the id.
+
+    A document labelled more than once is toxic if any label says so; null labels are none. Without
+    labelled documents every score is 0; with one class only the score is that class's share. The sample is
+    fitted by one task, see ``learned``.
+    """
+    known = (
+        labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (folds(F.col("doc_id")) != 0))
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(sample)
+    )
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    labelled = narrow.join(F.broadcast(known), "doc_id")  # at most ``sample`` rows of two numbers
+    found = stored(_terms(labelled.repartition(F.xxhash64("doc_id"))), "toxic-terms")
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]  # bounded by the sample
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)
+        lists = []
+        for part in rows.column("terms").chunks:
+            ends, values = part.offsets.to_numpy(), part.values.to_numpy()
+            lists += [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        model = learned((rows.column("toxic").to_numpy() > 0).astype(np.int64), lists, terms, least_docs)
+        row = {k: [v.ravel().tolist()] for k, v in model.items()}
+        yield pa.RecordBatch.from_pydict(row, pa.schema([(k, pa.list_(pa.int64() if k == "terms" else pa.float64())) for k in row]))
+
+    fields = "terms array<long>, bias array<double>, w array<double>, v array<double>"
+    model = found.coalesce(1).mapInArrow(run, fields).toArrow()
+    if not model.num_rows:
+        return {"terms": np.zeros(0, np.int64), "bias": np.array(-35.0), "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
+    got = {k: model.column(k).chunk(0).values.to_numpy() for k in ("terms", "bias", "w", "v")}
+    return {"terms": got["terms"], "bias": got["bias"][0], "w": got["w"], "v": got["v"].reshape(-1, FACTORS)}
+
+
 def probability(model: Model, present: np.ndarray) -> float:
     """Score of one document from the indices of its distinct selected terms."""
     vx = model["v"][present]
@@ -190,13 +228,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Null and empty texts get the score of a document without any known term.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # a few thousand terms at most
     name = unused(docs, "toxicity")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
-        model = sent.value
+        # the model, a few thousand terms at most, travels with the task
         terms, blank = model["terms"], probability(model, np.zeros(0, np.int64))
         bitmap = np.zeros(1 << 16, bool)
         bitmap[terms.view(np.uint64) >> np.uint64(48)] = True

@@ -277,6 +277,30 @@ def test_toxicity_neutral_pair(spark):
     assert sum(got[r[0]] == r[2] for r in held_out) / len(held_out) >= 0.95
 
 
+def test_pair_terms_in_tiles(monkeypatch):
+    rng = np.random.default_rng(2)
+    cases = [np.unique(rng.integers(0, 50, 12)) for _ in range(900)]
+    toxic = np.array([int({3, 40} <= set(x.tolist()) or rng.random() < 0.3) for x in cases])
+    expected = np.full(900, 0.35)
+    whole = toxicity.pair_terms(toxic, cases, 50, expected)
+    assert set(whole) >= {3, 40}
+    monkeypatch.setattr(toxicity, "PAIR_TILE", 16)
+    assert np.array_equal(toxicity.pair_terms(toxic, cases, 50, expected), whole)
+
+
+def test_pair_terms_memory_is_bounded():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    cases = [np.unique(rng.integers(0, 6000, 100)) for _ in range(1500)]
+    toxic, expected = rng.integers(0, 2, 1500), rng.random(1500)  # half of the documents wrongly judged
+    tracemalloc.start()
+    toxicity.pair_terms(toxic, cases, 6000, expected)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 96 << 20, peak  # the tiles take 64 MB, the entries themselves a few more
+
+
 def test_toxicity_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(i, None, int(i % 2)) for i in range(40)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity(docs.selectExpr("*", "1 AS toxicity", "2 AS Toxic"), labels).collect()
