@@ -1,6 +1,6 @@
-"""Retrieval for many questions at once: candidates, keyword scores, ranking, context and sources.
+"""Retrieval for many questions at once: neighbours, keyword hits, ranking, context and sources.
 
-Everything after the nearest-neighbour step works on at most fifty candidates per question and type.
+Keyword hits come from an inverted index over all chunks. What follows works on the few best of either kind.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from .. import refdata as ref
 from ..functions.columns import has_any, words
 from .chunks import common_words
+from .inverted import keyword_search
 from .questions import doc_types
 
-CANDIDATES = 50
+NEIGHBOURS = 10  # nearest chunks per question and type
 
 
 def key_terms(question: str, doc_type: Column) -> Column:
@@ -75,17 +76,27 @@ def semantic(rows: DataFrame, k: int = 8) -> DataFrame:
     return rows.where((F.col("rank") <= k) & (F.col("distance") < limit))
 
 
-def keyword(rows: DataFrame, k: int = 10) -> DataFrame:
-    """Neighbours that contain a key term, best share first."""
-    w = Window.partitionBy("query_id", "doc_type").orderBy(F.desc("keyword_score"), "rank")
-    return rows.where("keyword_score > 0").withColumn("keyword_rank", F.row_number().over(w)).where(F.col("keyword_rank") <= k)
+def asked_terms(questions: DataFrame) -> DataFrame:
+    """query_id, question, doc_type and the key terms, per type that a question is about."""
+    rows = questions.select("query_id", "question", F.explode("doc_types").alias("doc_type"))
+    return rows.withColumn("terms", key_terms("question", F.col("doc_type")))
 
 
-def combine(rows: DataFrame) -> DataFrame:
-    """Semantic hits, then keyword hits, each text once."""
+def keyword(asked: DataFrame, folder: str, chunks: DataFrame, k: int = 10) -> DataFrame:
+    """The chunks of the whole index that contain key terms, best share first, then by document and chunk."""
+    best = keyword_search(asked, folder, chunks, k).withColumnRenamed("rank", "keyword_rank")
+    texts = chunks.select("doc_type", "doc_id", "chunk_id", "source", "content")
+    return best.join(texts, ["doc_type", "doc_id", "chunk_id"]).join(asked.select("query_id", "doc_type", "question"), ["query_id", "doc_type"])
+
+
+HIT = ["query_id", "question", "doc_type", "doc_id", "chunk_id", "source", "content", "keyword_score", "method", "method_rank"]
+
+
+def combine(rows: DataFrame, keyword_hits: DataFrame) -> DataFrame:
+    """Semantic hits among the neighbours, then keyword hits, each text once."""
     a = semantic(rows).select("*", F.lit("semantic").alias("method"), F.col("rank").alias("method_rank"))
-    b = keyword(rows).select("*", F.lit("keyword").alias("method"), F.col("keyword_rank").alias("method_rank")).drop("keyword_rank")
-    return first_by_content(a.unionByName(b), ["query_id", "doc_type"])
+    b = keyword_hits.select("*", F.lit("keyword").alias("method"), F.col("keyword_rank").alias("method_rank"))
+    return first_by_content(a.select(*HIT).unionByName(b.select(*HIT)), ["query_id", "doc_type"])
 
 
 def first_by_content(rows: DataFrame, group: list[str], prefix: int | None = None) -> DataFrame:

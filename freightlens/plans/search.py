@@ -10,6 +10,8 @@ from ..functions.sizing import sized
 from ..functions.vectors import embed
 from ..operators import chunks, filters, knn, questions, retrieval, summaries
 from ..operators.intervals import micros
+from ..operators.inverted import add_to_index
+from ..sources.scratch import scratch
 from .catalog import Source, query
 from .store import BAND3, CTES as STORE_CTES, VIEWS as STORE_VIEWS, store
 from .texts import Q_CTE, asked as all_questions
@@ -27,12 +29,29 @@ def indexed(s: Source) -> DataFrame:
     return chunks.chunk_windows(s.docs)
 
 
-def found(s: Source) -> DataFrame:
-    """Fifty nearest chunks per question and type, with text and scores."""
-    qs = retrieval.ask(asked(s), embed("question"))
-    vectors = indexed(s).select("doc_type", "doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), embed("content").alias("vector"))
-    near = knn.nearest(qs, vectors, retrieval.CANDIDATES)
-    return retrieval.candidates(near, asked(s), indexed(s))
+class Found:
+    """Chunks, vectors and index made once, and what a question finds there."""
+
+    def __init__(self, s: Source):
+        self.asked = sized(retrieval.ask(asked(s), embed("question")))
+        # the documents are read, cut and embedded once
+        self.chunks = sized(indexed(s).withColumn("chunk_id", F.col("chunk_id").cast("bigint")).withColumn("vector", embed("content")))
+        self.scratch = lambda: scratch(s.spark, "index")
+
+    def near(self) -> DataFrame:
+        """The nearest chunks per question and type, with text and scores."""
+        near = knn.nearest(self.asked, self.chunks, retrieval.NEIGHBOURS)
+        return retrieval.candidates(sized(near), self.asked, self.chunks)
+
+    def keyword(self, *batches: str) -> DataFrame:
+        """Keyword hits; the index is written at once or in batches, as it grows."""
+        folder = self.scratch()
+        for part in batches or ("true",):
+            add_to_index(self.chunks.where(part), folder)
+        return retrieval.keyword(retrieval.asked_terms(self.asked), folder, self.chunks)
+
+    def combined(self) -> DataFrame:
+        return retrieval.combine(self.near(), self.keyword())
 
 
 _I, _S, _P = (
@@ -66,17 +85,19 @@ C = dict(
     dots="SELECT query_id, doc_id, chunk_id, sum(d.n * q.n) AS dot FROM dtok d JOIN qtok q USING (b) GROUP BY ALL",
     near="""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_type ORDER BY distance, doc_id, chunk_id) AS rank FROM (
  SELECT t.query_id, t.question, t.doc_type, c.doc_id, c.chunk_id, c.source, c.content, round(greatest(2 - 2 * coalesce(dot, 0) / (qn * dn), 0), 6) AS distance
- FROM types t JOIN chunks c USING (doc_type) JOIN qnorm USING (query_id) JOIN dnorm USING (doc_id, chunk_id) LEFT JOIN dots USING (query_id, doc_id, chunk_id)) x) y WHERE rank <= 50""",
-    termed=f"""SELECT *, CASE WHEN len(t0) > 0 THEN t0 ELSE {_wordlist('question')}[1:5] END AS terms FROM (SELECT *, list_distinct(
+ FROM types t JOIN chunks c USING (doc_type) JOIN qnorm USING (query_id) JOIN dnorm USING (doc_id, chunk_id) LEFT JOIN dots USING (query_id, doc_id, chunk_id)) x) y WHERE rank <= 10""",
+    termed=f"""SELECT query_id, question, doc_type, CASE WHEN len(t0) > 0 THEN t0 ELSE {_wordlist('question')}[1:5] END AS terms FROM (SELECT *, list_distinct(
  CASE doc_type WHEN 'invoice' THEN list_filter({_wordlist('question')}, lambda w: list_contains({_in(ref.INVOICE_KEY_WORDS)}, w))
  WHEN 'shipment' THEN list_filter({_wordlist('question')}, lambda w: list_contains({_in(ref.SHIPMENT_KEY_WORDS)}, w)) ELSE {_wordlist('question')} END
- || regexp_extract_all(question, '\\b\\d+\\b') || regexp_extract_all(question, '"([^"]*)"', 1)) AS t0 FROM near) z""",
-    cand="SELECT *, CAST(len(list_filter(terms, lambda t: contains(lower(content), lower(t)))) AS DOUBLE) / len(terms) AS keyword_score FROM termed",
+ || regexp_extract_all(question, '\\b\\d+\\b') || regexp_extract_all(question, '"([^"]*)"', 1)) AS t0 FROM types) z""",
+    cand="SELECT n.*, CAST(len(list_filter(terms, lambda t: contains(lower(content), lower(t)))) AS DOUBLE) / len(terms) AS keyword_score FROM near n JOIN termed USING (query_id, doc_type)",
+    kall="SELECT t.query_id, t.question, t.doc_type, c.doc_id, c.chunk_id, c.source, c.content, CAST(len(list_filter(terms, lambda t: contains(lower(content), lower(t)))) AS DOUBLE) / len(terms) AS keyword_score "
+    "FROM termed t JOIN chunks c USING (doc_type)",
     sem=f"SELECT * FROM cand WHERE rank <= 8 AND distance < CASE WHEN len({_wordlist('question')}) > 5 THEN 0.7 ELSE 0.8 END",
-    kw="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_type ORDER BY keyword_score DESC, rank) AS keyword_rank FROM cand WHERE keyword_score > 0) k WHERE keyword_rank <= 10",
+    kw="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_type ORDER BY keyword_score DESC, doc_id, chunk_id) AS keyword_rank FROM kall WHERE keyword_score > 0) k WHERE keyword_rank <= 10",
     comb="""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_type, content ORDER BY method DESC, method_rank) AS pn FROM (
- SELECT query_id, question, doc_type, doc_id, chunk_id, source, content, distance, rank, keyword_score, 'semantic' AS method, rank AS method_rank FROM sem
- UNION ALL SELECT query_id, question, doc_type, doc_id, chunk_id, source, content, distance, rank, keyword_score, 'keyword', keyword_rank FROM kw) u) v WHERE pn = 1""",
+ SELECT query_id, question, doc_type, doc_id, chunk_id, source, content, keyword_score, 'semantic' AS method, rank AS method_rank FROM sem
+ UNION ALL SELECT query_id, question, doc_type, doc_id, chunk_id, source, content, keyword_score, 'keyword', keyword_rank FROM kw) u) v WHERE pn = 1""",
     rel=f"""SELECT *, least(1.0, CASE WHEN contains(lower(content), lower(question)) THEN 0.4 ELSE 0.0 END
  + CAST(len(list_intersect(list_distinct({_wordlist('question')}), list_distinct({_wordlist('content')}))) AS DOUBLE) / len(list_distinct({_wordlist('question')})) * 0.3 + keyword_score * 0.3) AS relevance FROM comb""",
     scored="""SELECT *, round(relevance * 0.4 + CASE doc_type WHEN 'invoice' THEN 0.9 WHEN 'shipment' THEN 0.8 WHEN 'policy' THEN 0.7 ELSE 0.5 END * 0.3
@@ -163,12 +184,12 @@ def _(s: Source):
 
 @q("ret_semantic", f"SELECT {KEYS}, distance, rank FROM sem")
 def _(s: Source):
-    return retrieval.semantic(found(s)).select(*K, "distance", F.col("rank").cast("bigint").alias("rank"))
+    return retrieval.semantic(Found(s).near()).select(*K, "distance", F.col("rank").cast("bigint").alias("rank"))
 
 
 @q("ret_keyword", f"SELECT {KEYS}, round(keyword_score, 6) AS keyword_score, keyword_rank FROM kw")
 def _(s: Source):
-    return retrieval.keyword(found(s)).select(
+    return Found(s).keyword("doc_id % 2 = 0", "doc_id % 2 <> 0").select(
         *K, F.round("keyword_score", 6).alias("keyword_score"), F.col("keyword_rank").cast("bigint").alias("keyword_rank")
     )
 
@@ -191,23 +212,23 @@ def _(s: Source):
 
 @q("ret_combine", f"SELECT {KEYS}, method FROM comb")
 def _(s: Source):
-    return retrieval.combine(found(s)).select(*K, "method")
+    return Found(s).combined().select(*K, "method")
 
 
 @q("ret_relevance", f"SELECT {KEYS}, round(CAST(relevance AS DOUBLE), 6) AS relevance FROM rel")
 def _(s: Source):
-    return retrieval.combine(found(s)).select(*K, F.round(retrieval.relevance(), 6).alias("relevance"))
+    return Found(s).combined().select(*K, F.round(retrieval.relevance(), 6).alias("relevance"))
 
 
 @q("ret_rank", f"SELECT {KEYS}, round(CAST(score AS DOUBLE), 6) AS score FROM scored")
 def _(s: Source):
-    rows = retrieval.combine(found(s)).withColumn("relevance", retrieval.relevance())
+    rows = Found(s).combined().withColumn("relevance", retrieval.relevance())
     return rows.select(*K, F.round(retrieval.rank_score(), 6).alias("score"))
 
 
 @q("topk_context", f"SELECT {KEYS}, place FROM best")
 def _(s: Source):
-    return retrieval.ranked(retrieval.combine(found(s))).select(*K, F.col("place").cast("bigint").alias("place"))
+    return retrieval.ranked(Found(s).combined()).select(*K, F.col("place").cast("bigint").alias("place"))
 
 
 @q(
@@ -216,7 +237,7 @@ def _(s: Source):
 )
 def _(s: Source):
     # asked of semantic hits alone, so that some questions stay open
-    rows = found(s)
+    rows = Found(s).near()
     return retrieval.fallback(rows, retrieval.semantic(rows)).select(*K, "distance")
 
 
@@ -231,7 +252,7 @@ def _(s: Source):
 def _(s: Source):
     # the first type asked for is alphabetically first among invoice, policy and shipment here
     asked_types = asked(s).select("query_id", F.array_sort(questions.doc_types("question")).alias("doc_types"))
-    return retrieval.context(retrieval.ranked(retrieval.combine(found(s))), asked_types)
+    return retrieval.context(retrieval.ranked(Found(s).combined()), asked_types)
 
 
 _MARK = "CASE WHEN relevance > 0.7 THEN ' [High Relevance]' WHEN relevance > 0.5 THEN ' [Medium Relevance]' ELSE '' END"
@@ -243,7 +264,7 @@ _MARK = "CASE WHEN relevance > 0.7 THEN ' [High Relevance]' WHEN relevance > 0.5
  concat(upper(doc_type[1]), doc_type[2:], ': ', source, ' (ID: ', doc_id, ')', {_MARK}) AS source FROM rel) x WHERE no <= 5""",
 )
 def _(s: Source):
-    return retrieval.sources(retrieval.combine(found(s))).select("query_id", F.col("no").cast("bigint").alias("no"), "source")
+    return retrieval.sources(Found(s).combined()).select("query_id", F.col("no").cast("bigint").alias("no"), "source")
 
 
 @q(
@@ -255,7 +276,7 @@ def _(s: Source):
 )
 def _(s: Source):
     # no model answers here: the question's own text stands for the answer whose wording is judged
-    rows = retrieval.combine(found(s)).withColumn("relevance", retrieval.relevance())
+    rows = Found(s).combined().withColumn("relevance", retrieval.relevance())
     per = rows.groupBy("query_id").agg(F.count("*").alias("docs"), F.avg("relevance").alias("avg_relevance"))
     results = asked(s).join(per, "query_id", "left").select("query_id", "question", F.col("question").alias("answer"), F.coalesce("docs", F.lit(0)).alias("docs"), "avg_relevance")
     return retrieval.confidence(results).withColumn("confidence", F.round("confidence", 6))
