@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import refdata as ref
 from ..functions.columns import text_id
+from ..functions.sizing import sized
 from ..session import cut_lineage
 from .intervals import micros, up_to, within
 from .ranking import latest_per_entity, top_per_group
@@ -310,6 +311,24 @@ def chain_confidence(chain_rows: DataFrame, constant: float | None = None) -> Da
     return chain_rows.groupBy("root_id").agg(F.count("*").alias("links"), F.avg(value).alias("overall_confidence"))
 
 
+def chain_totals(events: DataFrame, rules) -> DataFrame:
+    """Per root the chain over all links: members, leaves, depth and the sum of confidences.
+
+    Every link takes part, so the cost is that of the links, which a dense log has many of; ``chains`` over
+    ``strongest_links`` is the short form.
+    """
+    links = causal_links(events, link_rules(events.sparkSession, rules)).select("cause_id", "effect_id", "confidence")
+    links = sized(links)
+    found = chains(links, longest_path(rules))
+    causing = links.select(F.col("cause_id").alias("event_id"), F.lit(False).alias("leaf")).distinct()
+    return found.join(causing, "event_id", "left").groupBy("root_id").agg(
+        F.count("*").alias("members"),
+        F.count_if(F.coalesce("leaf", F.lit(True))).alias("leaves"),
+        F.max("depth").alias("depth"),
+        F.sum("confidence").alias("confidence_total"),
+    )
+
+
 def chain_leaves(chain_rows: DataFrame, links: DataFrame) -> DataFrame:
     """Members of a chain that cause nothing further."""
     return chain_rows.join(links.select(F.col("cause_id").alias("event_id")).distinct(), "event_id", "left_anti")
@@ -326,6 +345,16 @@ def final_effect(leaves: DataFrame, events: DataFrame) -> DataFrame:
 # --- holds ----------------------------------------------------------------------------------
 
 
+def hold_links(events: DataFrame, rules=ref.CAUSAL_RULES, patterns=ref.HOLD_PATTERNS) -> DataFrame:
+    """All links that put an entity on hold.
+
+    A pattern's threshold goes into the rule, which shortens the time a cause reaches before any pair is made.
+    """
+    limits = {(c, e): t for c, e, t in patterns}
+    strict = [(c, e, w, max(t, limits[c, e])) for c, e, w, t in rules if (c, e) in limits]
+    return causal_links(events, link_rules(events.sparkSession, strict))
+
+
 def holds_from_links(links: DataFrame, as_of: str, patterns=ref.HOLD_PATTERNS) -> DataFrame:
     """A pending hold on the effect's entity for every link of a dangerous pattern."""
     spark = links.sparkSession

@@ -40,6 +40,25 @@ def _links(rules: str) -> str:
 _BEST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY effect_id, cause_type ORDER BY confidence DESC, gap, cause_id DESC) AS place,
  count(*) OVER (PARTITION BY effect_id, cause_type) AS causes FROM {}) x WHERE place = 1"""
 
+
+def _expanded(links: str, prefix: str = "") -> dict[str, str]:
+    """Breadth-first expansion of a set of links from its roots, level by level."""
+    p = prefix
+    out = {f"{p}croots": f"SELECT DISTINCT cause_id AS event_id FROM {links} WHERE cause_id NOT IN (SELECT effect_id FROM {links})"}
+    out[f"{p}l1"] = (
+        f"SELECT cause_id AS root_id, effect_id AS event_id, min(cause_id) AS parent_id, arg_min(confidence, cause_id) AS confidence, 1 AS depth FROM {links} "
+        f"WHERE cause_id IN (SELECT event_id FROM {p}croots) GROUP BY cause_id, effect_id"
+    )
+    for d in (2, 3):
+        unseen = " AND ".join(f"NOT EXISTS (SELECT 1 FROM {p}l{i} s WHERE s.root_id = f.root_id AND s.event_id = k.effect_id)" for i in range(1, d))
+        out[f"{p}l{d}"] = (
+            f"SELECT root_id, effect_id AS event_id, min(cause_id) AS parent_id, arg_min(k.confidence, cause_id) AS confidence, {d} AS depth "
+            f"FROM {p}l{d - 1} f JOIN {links} k ON k.cause_id = f.event_id WHERE {unseen} GROUP BY root_id, effect_id"
+        )
+    out[f"{p}chain"] = " UNION ALL ".join(f"SELECT * FROM {p}l{d}" for d in (1, 2, 3))
+    return out
+
+
 CTES = dict(
     ev="SELECT *, epoch_us(ts) AS us FROM causal_events",
     rules=_values(ref.CAUSAL_RULES, "cause_type, effect_type, window_s, threshold"),
@@ -49,15 +68,7 @@ CTES = dict(
     links=_BEST.format("alinks"),
     clinks=_BEST.format(f"({_links('crules')}) all_links"),
     roots="SELECT DISTINCT cause_id AS event_id FROM alinks WHERE cause_id NOT IN (SELECT effect_id FROM alinks)",
-    croots="SELECT DISTINCT cause_id AS event_id FROM clinks WHERE cause_id NOT IN (SELECT effect_id FROM clinks)",
-    l1="SELECT cause_id AS root_id, effect_id AS event_id, min(cause_id) AS parent_id, arg_min(confidence, cause_id) AS confidence, 1 AS depth FROM clinks "
-    "WHERE cause_id IN (SELECT event_id FROM croots) GROUP BY cause_id, effect_id",
-    l2="SELECT root_id, effect_id AS event_id, min(cause_id) AS parent_id, arg_min(k.confidence, cause_id) AS confidence, 2 AS depth FROM l1 JOIN clinks k ON k.cause_id = l1.event_id "
-    "WHERE NOT EXISTS (SELECT 1 FROM l1 s WHERE s.root_id = l1.root_id AND s.event_id = k.effect_id) GROUP BY root_id, effect_id",
-    l3="SELECT root_id, effect_id AS event_id, min(cause_id) AS parent_id, arg_min(k.confidence, cause_id) AS confidence, 3 AS depth FROM l2 JOIN clinks k ON k.cause_id = l2.event_id "
-    "WHERE NOT EXISTS (SELECT 1 FROM l1 s WHERE s.root_id = l2.root_id AND s.event_id = k.effect_id) "
-    "AND NOT EXISTS (SELECT 1 FROM l2 s WHERE s.root_id = l2.root_id AND s.event_id = k.effect_id) GROUP BY root_id, effect_id",
-    chain="SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3",
+    **_expanded("clinks"),
     leaves="SELECT * FROM chain WHERE event_id NOT IN (SELECT cause_id FROM clinks)",
     anom="SELECT * FROM ev WHERE event_type LIKE '%anomaly%'",
     latest="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, event_id) AS rn FROM anom) x WHERE rn = 1",
@@ -239,16 +250,28 @@ def _(s: Source):
     return rows.select("root_id", "links", F.round(F.col("overall_confidence") * F.col("links"), 4).alias("confidence_total"))
 
 
+@q(
+    "causal_chain_totals",
+    """SELECT root_id, count(*) AS members, count(*) FILTER (event_id NOT IN (SELECT cause_id FROM every)) AS leaves, CAST(max(depth) AS BIGINT) AS depth,
+ round(sum(confidence), 4) AS confidence_total FROM all_chain GROUP BY root_id""",
+    every=_links("crules"),
+    **_expanded("every", "all_"),
+)
+def _(s: Source):
+    rows = causal.chain_totals(s.causal_events, CHAIN_RULES)
+    return rows.select("root_id", "members", "leaves", F.col("depth").cast("bigint").alias("depth"), F.round("confidence_total", 4).alias("confidence_total"))
+
+
 # --- holds ----------------------------------------------------------------------------------
 
 HOLDS = """SELECT sha256(concat_ws('|', 'hold', cause_id, effect_id)) AS hold_id, effect_entity_id AS entity_id, effect_entity_type AS entity_type, confidence AS risk_score,
- concat('Automatic hold due to ', cause_type, ' causing ', effect_type) AS reason, cause_id AS causal_chain_id, 'pending_approval' AS status FROM links
+ concat('Automatic hold due to ', cause_type, ' causing ', effect_type) AS reason, cause_id AS causal_chain_id, 'pending_approval' AS status FROM alinks
  WHERE cause_type = 'driver_risk_increase' AND effect_type = 'shipment_delay' AND confidence >= 0.8"""
 HOLD_COLS = "hold_id, entity_id, entity_type, risk_score, reason, causal_chain_id, status"
 
 
 def holds(s: Source) -> DataFrame:
-    return causal.holds_from_links(links(s), AS_OF)
+    return causal.holds_from_links(causal.hold_links(s.causal_events), AS_OF)
 
 
 @q("holds_from_links", f"SELECT {HOLD_COLS} FROM holds", holds=HOLDS)

@@ -165,14 +165,30 @@ def _(s: Source):
 
 @query(
     "st_causal_join",
-    "SELECT c.event_id AS cause_id, e.event_id AS effect_id FROM ev c JOIN ev e ON c.event_type = 'driver_risk_increase' AND e.event_type = 'shipment_delay' AND c.entity_id = e.entity_id "
-    "AND e.us - c.us BETWEEN 0 AND 172800000000",
+    """SELECT * FROM (SELECT c.event_id AS cause_id, e.event_id AS effect_id, CAST(least(65 + CASE WHEN e.us - c.us <= 3600000000 THEN 30 WHEN e.us - c.us <= 86400000000 THEN 20 ELSE 10 END
+ + CASE WHEN c.entity_id = e.entity_id THEN 20 ELSE 0 END, 100) AS DOUBLE) / 100 AS confidence FROM ev c JOIN ev e ON c.event_type = 'driver_risk_increase' AND e.event_type = 'shipment_delay'
+ AND e.us - c.us BETWEEN 0 AND 172800000000) x WHERE confidence >= 0.75""",
     "causal_events", ev=causality.CTES["ev"],
 )
 def _(s: Source):
     folder = parquet_of(s, s.causal_events.withColumn("ts", F.col("ts").cast("timestamp")), "events")
-    joined = feeds.causal_join(feeds.table_stream(s.spark, folder), "driver_risk_increase", "shipment_delay", 2 * ref.DAY)
-    return s.spark.read.parquet(ran(s, joined.select("cause_id", "effect_id")))
+    joined = feeds.causal_join(feeds.table_stream(s.spark, folder), "driver_risk_increase", "shipment_delay", 2 * ref.DAY, 0.75, 0.15)
+    return s.spark.read.parquet(ran(s, joined.select("cause_id", "effect_id", "confidence")))
+
+
+@query(
+    "st_last_24h_sliding",
+    """SELECT TIMESTAMP '2024-01-01' + to_hours(CAST(h AS INT)) AS until, count(*) AS n FROM (SELECT unnest(generate_series(1, 27 * 24)) AS h) g
+ JOIN causal_events e ON e.ts < TIMESTAMP '2024-01-01' + to_hours(CAST(h AS INT)) AND e.ts >= TIMESTAMP '2024-01-01' + to_hours(CAST(h AS INT) - 24)
+ WHERE event_type LIKE '%anomaly%' GROUP BY h""",
+    "causal_events",
+)
+def _(s: Source):
+    # the log ends on the 30th and the watermark trails it by a day; windows that ended by the 28th have closed
+    folder = parquet_of(s, s.causal_events.withColumn("ts", F.col("ts").cast("timestamp")), "sliding")
+    back = s.spark.read.parquet(ran(s, feeds.sliding_counts(feeds.table_stream(s.spark, folder))))
+    closed = back.where(F.col("span.end") <= F.lit("2024-01-28").cast("timestamp"))
+    return closed.select(F.col("span.end").cast("timestamp_ntz").alias("until"), F.col("count").alias("n"))
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import filters, render, summaries
-from ..operators.causal import normal_type
+from ..operators.causal import normal_type, strength
 from ..operators.intervals import micros
 from ..schemas import DRIVER, INVOICE, SHIPMENT, all_text
 from ..sources.readers import read_or_none, typed
@@ -118,23 +118,38 @@ def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return rows.groupBy(F.window("ts", "1 day").alias("day"), "event_type").count()
 
 
-def causal_join(events: DataFrame, cause: str, effect: str, window_s: int, same_entity: bool = True) -> DataFrame:
-    """Each effect with the causes up to ``window_s`` before it, as the events arrive.
+def causal_join(events: DataFrame, cause: str, effect: str, window_s: int, threshold: float = 0.0, boost: float = 0.0, salts: int = 8) -> DataFrame:
+    """Each effect with the causes of any entity up to ``window_s`` before it whose strength reaches the threshold.
 
-    Both sides keep events for the window plus the watermark delay, here one window more; an event
-    later than that finds no partner.
+    Both sides meet in slices of time as wide as the window: a cause is written to its own slice and the next, an effect to
+    its own, so every pair meets once. A slice is what all current events share, so it is split: effects are dealt
+    out by a hash of their id and causes written to every split. Both sides keep events for the window plus the watermark
+    delay, here one window more; an event later than that finds no partner.
     """
-    keep = f"{window_s} seconds"
+    keep, width = f"{window_s} seconds", window_s * 1_000_000
     base = events.withColumn("kind", normal_type()).withColumn("us", micros("ts")).withColumn("ts", F.col("ts").cast("timestamp"))
-    left = base.where(F.col("kind") == cause).select(
-        F.col("event_id").alias("cause_id"), F.col("entity_id").alias("cause_entity_id"), F.col("ts").alias("cause_ts"), F.col("us").alias("cause_us")
-    ).withWatermark("cause_ts", keep)
-    right = base.where(F.col("kind") == effect).select(
-        F.col("event_id").alias("effect_id"), F.col("entity_id").alias("effect_entity_id"), F.col("ts").alias("effect_ts"), F.col("us").alias("effect_us")
-    ).withWatermark("effect_ts", keep)
+    base = base.withColumn("slice", F.floor(F.col("us") / width).cast("bigint"))
+
+    def side(role: str, kind: str) -> DataFrame:
+        names = {"event_id": "id", "entity_id": "entity_id", "ts": "ts", "us": "us"}
+        rows = base.where(F.col("kind") == kind)
+        return rows.select("slice", *[F.col(x).alias(f"{role}_{y}") for x, y in names.items()]).withWatermark(f"{role}_ts", keep)
+
+    left = side("cause", cause).withColumn("slice", F.explode(F.array("slice", F.col("slice") + 1)))
+    left = left.withColumn("split", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    right = side("effect", effect).withColumn("split", F.pmod(F.xxhash64("effect_id"), F.lit(salts)).cast("int"))
+    left, right = left.alias("c"), right.alias("e")
     span = (F.col("effect_ts") >= F.col("cause_ts")) & (F.col("effect_ts") <= F.col("cause_ts") + F.expr(f"INTERVAL {window_s} SECONDS"))
-    on = span & (F.col("cause_entity_id") == F.col("effect_entity_id")) if same_entity else span
-    return left.join(right, on, "inner")
+    met = left.join(right, (F.col("c.slice") == F.col("e.slice")) & (F.col("c.split") == F.col("e.split")) & span, "inner")
+    same = F.coalesce(F.col("cause_entity_id") == F.col("effect_entity_id"), F.lit(False))
+    power = strength(F.col("effect_us") - F.col("cause_us"), same, F.lit(round(boost * 100)))
+    return met.withColumn("confidence", power).where(F.col("confidence") >= threshold).drop("slice", "split")
+
+
+def sliding_counts(events: DataFrame, length: str = "24 hours", slide: str = "1 hour", delay: str = "1 day") -> DataFrame:
+    """Anomaly events in the last ``length``, told every ``slide``, as windows close; rows later than ``delay`` do not count."""
+    rows = events.where(F.col("event_type").contains("anomaly")).withWatermark("ts", delay)
+    return rows.groupBy(F.window("ts", length, slide).alias("span")).count()
 
 
 def under_latest_policy(records: DataFrame, policy_folder: str, key: str, out: str, checkpoint: str) -> StreamingQuery:

@@ -22,3 +22,28 @@ def test_once_per_key_keeps_old_dates(spark, tmp_path):
         feeds.finish(feeds.once_per_key(stream, "invoice_id", out, f"{out}-checkpoint"))
     got = [r["invoice_id"] for r in spark.read.parquet(out).collect()]
     assert sorted(x or "" for x in got) == ["", "a", "b", "c", "d", "e"]
+
+
+def test_causal_join_over_batches_of_any_entity(spark, tmp_path):
+    at = lambda hours: dt.datetime(2024, 6, 1) + dt.timedelta(hours=hours)
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    schema = "event_id string, event_type string, entity_id string, ts timestamp"
+    batches = [
+        [("c1", "driver_risk_increase", "x", at(0)), ("c2", "driver_risk_update", "y", at(40)), ("e0", "shipment_delay", "x", at(-1))],
+        # dates overlap those of the first batch; each run starts anew from the checkpoint
+        [("e1", "shipment_delay", "y", at(41)), ("e2", "shipment_delay", "z", at(30)), ("c3", "driver_risk_increase", "z", at(29.5))],
+        [("e3", "shipment_delay", None, at(88)), ("e4", "shipment_delay", "x", at(48.5))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        joined = feeds.causal_join(feeds.table_stream(spark, folder), "driver_risk_increase", "shipment_delay", 48 * 3600, 0.75, 0.15)
+        feeds.finish(feeds.append_to(joined.select("cause_id", "effect_id", "confidence"), out, f"{out}-checkpoint"))
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    every, want = [r for b in batches for r in b], []
+    for c in every:
+        for e in every:
+            gap = (e[3] - c[3]).total_seconds() / 3600
+            if c[1].startswith("driver") and e[1] == "shipment_delay" and 0 <= gap <= 48:
+                points = 65 + (30 if gap <= 1 else 20 if gap <= 24 else 10) + (20 if c[2] == e[2] else 0)
+                want.append((c[0], e[0], min(points, 100) / 100))
+    assert got == sorted(want) and len(want) == 8
