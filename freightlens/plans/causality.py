@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import refdata as ref
+from ..functions.sizing import sized
 from ..operators import causal, filters, summaries
 from ..operators.intervals import count_near, micros
 from ..operators.ranking import latest_per_entity
@@ -216,7 +217,7 @@ def _(s: Source):
 
 
 def chains(s: Source) -> tuple[DataFrame, DataFrame]:
-    found = chain_links(s)
+    found = sized(chain_links(s))  # worked out once, read in every round
     return causal.chains(found, causal.longest_path(CHAIN_RULES)), found
 
 
