@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .words import slices
 
-PART = 1 << 22  # characters of texts split at once, and ids written at once
+PART = 1 << 20  # characters of texts split at once, and ids written at once
 LONG = 1 << 16  # strings beyond this many characters are neither remembered nor handed to the library
 REMEMBERED = 300_000  # strings a task keeps the ids of
 NONE = 1 << 62  # no merge
