@@ -132,3 +132,22 @@ def test_changed_since(spark, tmp_path):
     (tmp_path / "new.csv").write_text("invoice_id\nB\n")
     since = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(time.time() - 86400))
     assert [r["invoice_id"] for r in readers.changed_since(spark, str(tmp_path), "invoice_id string", since).collect()] == ["B"]
+
+
+def test_keyword_search_over_the_whole_index(spark, tmp_path):
+    from freightlens.operators.inverted import add_to_index, keyword_search
+
+    texts = ["Net30 terms apply", "the Late fee of 2%", "plate feeling", "LATE  fee", "", "x", "an invoice, late", "fee late"]
+    rows = [("invoice" if i % 3 else "policy", i, 0, t) for i, t in enumerate(texts * 3)]
+    chunks = spark.createDataFrame(rows, "doc_type string, doc_id bigint, chunk_id bigint, content string")
+    folder = f"{tmp_path}/index"
+    for part in ("doc_id < 9", "doc_id >= 9", "doc_id >= 9"):  # the last batch comes twice
+        add_to_index(chunks.where(part), folder)
+    terms = {1: ["late", "fee"], 2: ["Late fee"], 3: ["x", "30", "e"], 4: ["absent"], 5: [""], 6: [" fee", "te"]}
+    asked = [(q, kind, ts) for q, ts in terms.items() for kind in ("invoice", "policy")]
+    got = keyword_search(spark.createDataFrame(asked, "query_id bigint, doc_type string, terms array<string>"), folder, chunks, 4).collect()
+    want = []
+    for q, kind, ts in asked:
+        scored = [(-sum(t != "" and t.lower() in c.lower() for t in ts) / len(ts), d) for k, d, _, c in rows if k == kind]
+        want += [(q, kind, d, -s, n) for n, (s, d) in enumerate(sorted(x for x in scored if x[0])[:4], 1)]
+    assert sorted((r["query_id"], r["doc_type"], r["doc_id"], r["keyword_score"], r["rank"]) for r in got) == sorted(want) and len(want) > 20
