@@ -320,9 +320,9 @@ def _(s: Source):
 @query(
     "ret_recent_match",
     """SELECT DISTINCT query_id, kind, item_id FROM (SELECT query_id, CASE WHEN contains(lower(question), 'invoice') OR contains(lower(question), 'payment') OR contains(lower(question), 'policy') THEN 1 ELSE 0 END AS a,
-  CASE WHEN contains(lower(question), 'shipment') OR contains(lower(question), 'route') OR contains(lower(question), 'anomaly') THEN 1 ELSE 0 END AS b, contains(lower(question), 'maya') AS m,
+  CASE WHEN contains(lower(question), 'shipment') OR contains(lower(question), 'route') OR contains(lower(question), 'anomaly') THEN 1 ELSE 0 END AS b, contains(lower(question), 'driver') AS m,
   regexp_matches(lower(question), 'alert|high|risk|anomaly') AS al FROM questions) q JOIN (
-  SELECT 'update' AS kind, event_id AS item_id, regexp_matches(content, 'invoice|payment|policy') AS ia, regexp_matches(content, 'shipment|route|anomaly') AS ib, regexp_matches(content, 'maya|driver|risk') AS im, false AS ial
+  SELECT 'update' AS kind, event_id AS item_id, regexp_matches(content, 'invoice|payment|policy') AS ia, regexp_matches(content, 'shipment|route|anomaly') AS ib, regexp_matches(content, 'driver|risk') AS im, false AS ial
    FROM (SELECT event_id, event_type AS content FROM causal_events ORDER BY ts DESC, event_id LIMIT 20) x
   UNION ALL SELECT 'alert', event_id, false, false, false, true FROM (SELECT event_id FROM causal_events WHERE event_type LIKE '%anomaly%' ORDER BY ts DESC, event_id LIMIT 10) y) i
  ON (a = 1 AND ia) OR (b = 1 AND ib) OR (m AND im) OR (al AND ial)""",

@@ -191,7 +191,7 @@ INTENTS = [
 
 # fixed values: scenario tag written with each kind of update
 SCENARIOS = {
-    "driver_risk": "maya_risk_update",
+    "driver_risk": "driver_risk_update",
     "invoice_compliance": "invoice_compliance",
     "shipment_anomaly": "shipment_fraud_detection",
     "policy_update": "policy_compliance",
