@@ -144,7 +144,8 @@ def causal_links(events: DataFrame, rules: DataFrame, scope: str = "any") -> Dat
     if scope == "any":
         causes, effects = _sides(events, rules, "any_us")
         others = within(causes, effects, ["cause_type", "effect_type"], "cause_us", "effect_us", "any_us").drop("any_us")
-        out = out.unionByName(others.where("cause_entity_id <> effect_entity_id"))
+        # an event without an entity belongs to no one else's either
+        out = out.unionByName(others.where("coalesce(cause_entity_id <> effect_entity_id, true)"))
     gap = F.col("effect_us") - F.col("cause_us")
     return out.where("cause_event_id <> effect_event_id").select(
         F.col("cause_event_id").alias("cause_id"),
@@ -311,24 +312,6 @@ def chain_confidence(chain_rows: DataFrame, constant: float | None = None) -> Da
     return chain_rows.groupBy("root_id").agg(F.count("*").alias("links"), F.avg(value).alias("overall_confidence"))
 
 
-def chain_totals(events: DataFrame, rules) -> DataFrame:
-    """Per root the chain over all links: members, leaves, depth and the sum of confidences.
-
-    Every link takes part, so the cost is that of the links, which a dense log has many of; ``chains`` over
-    ``strongest_links`` is the short form.
-    """
-    links = causal_links(events, link_rules(events.sparkSession, rules)).select("cause_id", "effect_id", "confidence")
-    links = sized(links)
-    found = chains(links, longest_path(rules))
-    causing = links.select(F.col("cause_id").alias("event_id"), F.lit(False).alias("leaf")).distinct()
-    return found.join(causing, "event_id", "left").groupBy("root_id").agg(
-        F.count("*").alias("members"),
-        F.count_if(F.coalesce("leaf", F.lit(True))).alias("leaves"),
-        F.max("depth").alias("depth"),
-        F.sum("confidence").alias("confidence_total"),
-    )
-
-
 def chain_leaves(chain_rows: DataFrame, links: DataFrame) -> DataFrame:
     """Members of a chain that cause nothing further."""
     return chain_rows.join(links.select(F.col("cause_id").alias("event_id")).distinct(), "event_id", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import refdata as ref
 from ..functions.sizing import sized
-from ..operators import causal, filters, summaries
+from ..operators import causal, filters, summaries, time_chains
 from ..operators.intervals import count_near, micros
 from ..operators.ranking import latest_per_entity
 from .catalog import EVENTS_AS_OF as AS_OF, Source, query
@@ -70,7 +70,9 @@ CTES = dict(
     clinks=_BEST.format(f"({_links('crules')}) all_links"),
     roots="SELECT DISTINCT cause_id AS event_id FROM alinks WHERE cause_id NOT IN (SELECT effect_id FROM alinks)",
     **_expanded("clinks"),
-    leaves="SELECT * FROM chain WHERE event_id NOT IN (SELECT cause_id FROM clinks)",
+    every=_links("crules"),
+    **_expanded("every", "all_"),
+    leaves="SELECT * FROM all_chain WHERE event_id NOT IN (SELECT cause_id FROM every)",
     anom="SELECT * FROM ev WHERE event_type LIKE '%anomaly%'",
     latest="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, event_id) AS rn FROM anom) x WHERE rn = 1",
     pairs="SELECT source AS entity_id, target AS other_id FROM entity_edges UNION SELECT target, source FROM entity_edges",
@@ -206,9 +208,10 @@ def _(s: Source):
     return links(s).select("effect_id", "cause_type", "causes", F.col("confidence").alias("best"), "gap_us")
 
 
-@q("causal_strength_additive", "SELECT cause_id, effect_id, gap AS gap_us, confidence FROM clinks")
+@q("causal_strength_additive", "SELECT cause_id, effect_id, gap AS gap_us, confidence FROM every")
 def _(s: Source):
-    return chain_links(s).select("cause_id", "effect_id", "gap_us", "confidence")
+    rows = causal.causal_links(s.causal_events, causal.link_rules(s.spark, CHAIN_RULES))
+    return rows.select("cause_id", "effect_id", "gap_us", "confidence")
 
 
 @q("causal_roots", "SELECT event_id FROM roots")
@@ -226,28 +229,36 @@ def _(s: Source):
     return chains(s)[0].select("root_id", "event_id", "parent_id", "confidence", F.col("depth").cast("bigint").alias("depth"))
 
 
+def all_chains(s: Source) -> DataFrame:
+    return time_chains.chains(s.causal_events, CHAIN_RULES)
+
+
+@q("causal_chains_all", "SELECT root_id, event_id, parent_id, confidence, CAST(depth AS BIGINT) AS depth FROM all_chain")
+def _(s: Source):
+    return all_chains(s).withColumn("depth", F.col("depth").cast("bigint"))
+
+
 @q("causal_chain_leaves", "SELECT root_id, event_id FROM leaves")
 def _(s: Source):
-    rows, found = chains(s)
-    return causal.chain_leaves(rows, found).select("root_id", "event_id")
+    return time_chains.leaves(all_chains(s), s.causal_events, CHAIN_RULES).select("root_id", "event_id")
 
 
 @q(
     "win_latest_leaf",
-    "SELECT root_id, arg_max(event_id, ts) AS final_id, arg_max(description, ts) AS final_effect FROM leaves JOIN (SELECT event_id, ts, description FROM ev) e USING (event_id) GROUP BY root_id",
+    """SELECT root_id, arg_max(event_id, (ts, event_id)) AS final_id, arg_max(description, (ts, event_id)) AS final_effect
+ FROM leaves JOIN (SELECT event_id, ts, description FROM ev) e USING (event_id) GROUP BY root_id""",
 )
 def _(s: Source):
-    rows, found = chains(s)
-    return causal.final_effect(causal.chain_leaves(rows, found), s.causal_events)
+    return causal.final_effect(time_chains.leaves(all_chains(s), s.causal_events, CHAIN_RULES), s.causal_events)
 
 
 @q(
     "agg_chain_confidence",
-    "SELECT root_id, count(*) AS links, round(avg(confidence) * count(*), 4) AS confidence_total FROM chain GROUP BY root_id",
+    "SELECT root_id, count(*) AS links, round(avg(confidence) * count(*), 4) AS confidence_total FROM all_chain GROUP BY root_id",
 )
 def _(s: Source):
     # compared as mean times count, which is a short decimal
-    rows = causal.chain_confidence(chains(s)[0])
+    rows = causal.chain_confidence(all_chains(s))
     return rows.select("root_id", "links", F.round(F.col("overall_confidence") * F.col("links"), 4).alias("confidence_total"))
 
 
@@ -255,11 +266,9 @@ def _(s: Source):
     "causal_chain_totals",
     """SELECT root_id, count(*) AS members, count(*) FILTER (event_id NOT IN (SELECT cause_id FROM every)) AS leaves, CAST(max(depth) AS BIGINT) AS depth,
  round(sum(confidence), 4) AS confidence_total FROM all_chain GROUP BY root_id""",
-    every=_links("crules"),
-    **_expanded("every", "all_"),
 )
 def _(s: Source):
-    rows = causal.chain_totals(s.causal_events, CHAIN_RULES)
+    rows = time_chains.totals(all_chains(s), s.causal_events, CHAIN_RULES)
     return rows.select("root_id", "members", "leaves", F.col("depth").cast("bigint").alias("depth"), F.round("confidence_total", 4).alias("confidence_total"))
 
 

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from freightlens import refdata as ref
-from freightlens.operators import causal
+from freightlens.operators import causal, time_chains
 from freightlens.operators.intervals import count_near, micros
 
 START = dt.datetime(2024, 1, 1)
@@ -82,6 +82,34 @@ def test_chains_with_cycles_and_bounds(spark):
     assert bounded == {w for w in want if w[3] <= 2}
 
 
+def chain_rows(df):
+    return {(r["root_id"], r["event_id"], r["parent_id"], r["depth"]): r["confidence"] for r in df.collect()}
+
+
+def test_chains_from_times_against_brute_force(spark):
+    longer = [*ref.CAUSAL_RULES, ("shipment_delay", "shipment_anomaly", 86400, 0.7), ("payment_policy_change", "driver_risk_increase", 43200, 0.7)]
+    events = [(*e[:2], None if i % 17 == 0 else e[2], *e[3:]) for i, e in enumerate(log(21, n=250, hours=400))]
+    events += [(f"t{i}", k, "x1", "shipment", "tie", START, 0.5) for i, k in enumerate(KINDS)]  # all at one moment
+    df = spark.createDataFrame(events, EVENT)
+    links = causal.causal_links(df, causal.link_rules(spark, longer))
+    power = {(r["cause_id"], r["effect_id"]): r["confidence"] for r in links.collect()}
+    got = chain_rows(time_chains.chains(df, longer))
+    assert set(got) == brute_chains(set(power)) and max(d for *_, d in got) == 3
+    assert all(power[(p, e)] == c for (_, e, p, _), c in got.items())
+    assert {c for c, _ in power} == {r[0] for r in time_chains.causing(df, longer).collect()}
+
+
+def test_chains_from_times_with_a_cycle_and_without_events(spark):
+    # two types that cause each other, within an hour: rounds end when one adds nothing
+    rules = [("a", "b", 3600, 0.7), ("b", "a", 3600, 0.7)]
+    events = [(f"e{i}", "ab"[i % 2], f"x{i % 3}", "k", "", START + dt.timedelta(minutes=40 * i), 0.0) for i in range(7)]
+    df = spark.createDataFrame(events, EVENT)
+    links = causal.causal_links(df, causal.link_rules(spark, rules))
+    want = brute_chains({(r["cause_id"], r["effect_id"]) for r in links.collect()})
+    assert set(chain_rows(time_chains.chains(df, rules))) == want and max(d for *_, d in want) == 6
+    assert time_chains.chains(df.limit(0), rules).count() == 0
+
+
 def test_longest_path():
     assert causal.longest_path([("a", "b"), ("b", "c"), ("a", "c")]) == 2
     assert causal.longest_path([("a", "b"), ("b", "a")]) is None
