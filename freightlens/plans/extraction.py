@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import refdata as ref
-from ..operators import extract
+from ..operators import extract, validity
 from .catalog import RECORDS_AS_OF, Source, query
 
 # one text per invoice; the layout changes with the approver so that every fallback is used
@@ -310,3 +310,23 @@ def _(s: Source):
     return s.invoices.join(in_force, "supplier", "left").select(
         "src_row", "supplier", "policy_id", inv.late_fee(RECORDS_AS_OF, rate).alias("late_fee")
     )
+
+
+# versions take effect every sixty days, some on the same day; every fourth is withdrawn after a hundred days
+VERSIONS = """SELECT s_nationkey AS nation, s_suppkey AS policy_id, CAST(DATE '1992-01-01' + CAST(s_suppkey * 7 % 40 * 60 AS INT) AS DATE) AS effective,
+ CASE WHEN s_suppkey % 4 = 0 THEN CAST(DATE '1992-01-01' + CAST(s_suppkey * 7 % 40 * 60 + 100 AS INT) AS DATE) END AS withdrawn FROM {supplier}"""
+
+
+@query(
+    "join_policy_asof",
+    """SELECT src_row, i.supplier, i.issue_date, p.policy_id, p.effective AS valid_from FROM homed i LEFT JOIN (SELECT *, lead(effective) OVER (PARTITION BY nation ORDER BY effective) AS nxt
+  FROM (SELECT nation, effective, max(policy_id) AS policy_id, arg_max(coalesce(withdrawn, DATE '9999-01-01'), policy_id) AS withdrawn FROM versions GROUP BY nation, effective) v) p
+ ON p.nation = i.s_nationkey AND i.issue_date >= p.effective AND i.issue_date < coalesce(nxt, DATE '9999-01-01') AND i.issue_date < withdrawn""",
+    "invoices", versions=VERSIONS.replace("{supplier}", "supplier"),
+    homed="SELECT i.*, s_nationkey FROM invoices i JOIN (SELECT s_name AS supplier, s_nationkey FROM supplier) s USING (supplier)",
+)
+def _(s: Source):
+    in_force = validity.ranges(s.spark.sql(VERSIONS, supplier=s.supplier), "nation", "effective", "policy_id", "withdrawn")
+    homes = s.supplier.select(F.col("s_name").alias("supplier"), F.col("s_nationkey").alias("nation"))
+    found = validity.as_of(s.invoices.join(homes, "supplier"), in_force, "nation", "issue_date")
+    return found.select("src_row", "supplier", "issue_date", "policy_id", "valid_from")

@@ -9,7 +9,7 @@ from .. import refdata as ref, schemas
 from ..operators.anomaly import flag
 from ..operators.invoice_rules import foreign_currency, insufficient_approval, weekend
 from ..sources.scratch import scratch
-from ..streaming import feeds
+from ..streaming import feeds, risk_store
 from . import causality
 from .catalog import Source, query
 from .extraction import P_TEXT
@@ -216,3 +216,18 @@ def _(s: Source):
         s.invoices.where(part).select("src_row", "supplier").write.mode("append").parquet(folder)
         feeds.finish(feeds.under_latest_policy(feeds.table_stream(s.spark, folder), rules, "supplier", out, f"{out}-checkpoint"))
     return s.spark.read.parquet(out).select("src_row", "supplier", "version", "value")
+
+
+@query(
+    "st_event_risk",
+    "SELECT event_id, level, coalesce(links, 0) AS links FROM levels LEFT JOIN stats USING (event_id)",
+    "causal_events entity_edges", **{k: causality.CTES[k] for k in ("ev", "rules", "boosts", "alinks", "stats", "levels")},
+)
+def _(s: Source):
+    # two batches that overlap in time, so most events of the second are late; it goes on from the checkpoint
+    folder, store = scratch(s.spark, "events"), scratch(s.spark, "risk")
+    for part in range(2):
+        s.causal_events.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part).write.mode("append").parquet(folder)
+        feeds.finish(risk_store.keep(feeds.table_stream(s.spark, folder), store, f"{store}-checkpoint"))
+    found = risk_store.levels(s.spark, store).join(risk_store.stats(s.spark, store), "event_id", "left")
+    return found.select("event_id", "level", F.coalesce("links", F.lit(0)).alias("links"))

@@ -177,3 +177,17 @@ def test_main_detector_on_shipments(spark):
         ("S3", "suspicious_route", 0.85),
         ("S3", "status_inconsistency", 0.7),
     }
+
+
+def test_rule_in_force_on_a_date(spark):
+    from freightlens.operators import validity
+
+    day = lambda n: None if n is None else dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    versions = [("k", 0, 1, 10), ("k", 20, 2, None), ("k", 20, 3, None), ("k", 30, 4, 25), ("k", 40, 5, None), (None, 0, 6, None), ("k", None, 7, None), ("m", 5, 8, 7)]
+    df = spark.createDataFrame([(k, day(e), n, day(u)) for k, e, n, u in versions], "key string, effective date, no int, until date")
+    found = validity.ranges(df, "key", "effective", "no", "until")
+    asked = [("k", -1), ("k", 0), ("k", 9), ("k", 10), ("k", 20), ("k", 29), ("k", 30), ("k", 39), ("k", 40), ("k", 4000), ("m", 6), ("m", 7), ("q", 1), (None, 1), ("k", None), ("k", 0)]
+    records = spark.createDataFrame([(i, k, day(d)) for i, (k, d) in enumerate(asked)], "id int, key string, at date")
+    got = {r["id"]: r["no"] for r in validity.as_of(records, found, "key", "at").collect()}
+    # version 4 ends before it begins, so nothing holds from day 30 to 40
+    assert [got[i] for i in range(len(asked))] == [None, 1, 1, None, 3, 3, None, None, 5, 5, 8, None, None, None, None, 1]

@@ -2,7 +2,10 @@
 
 import datetime as dt
 
-from freightlens.streaming import feeds
+import random
+
+from freightlens.operators import causal
+from freightlens.streaming import feeds, risk_store
 
 ROW = "invoice_id string, issued timestamp"
 
@@ -47,3 +50,23 @@ def test_causal_join_over_batches_of_any_entity(spark, tmp_path):
                 points = 65 + (30 if gap <= 1 else 20 if gap <= 24 else 10) + (20 if c[2] == e[2] else 0)
                 want.append((c[0], e[0], min(points, 100) / 100))
     assert got == sorted(want) and len(want) == 8
+
+
+def test_event_risk_store_over_late_and_repeated_batches(spark, tmp_path):
+    rnd = random.Random(8)
+    kinds = ["driver_risk_increase", "driver_risk_update", "shipment_delay", "weather_event", "shipment_anomaly", "invoice_delay"]
+    start, schema = dt.datetime(2024, 3, 1), "event_id string, event_type string, entity_id string, entity_type string, description string, ts timestamp"
+    events = [(f"e{i}", rnd.choice(kinds), rnd.choice(["x", "y", "z", None]), "shipment", "", start + dt.timedelta(hours=rnd.random() * 900)) for i in range(200)]
+    batches = [events[:80], events[80:90] + events[:5] + events[80:82], events[90:]]  # some events come twice
+    path = f"{tmp_path}/risk"
+    for number, rows in enumerate(batches):
+        df = spark.createDataFrame([*rows, ("no time", "weather_event", "x", "shipment", "", None)], schema)
+        risk_store.add_batch(df, number, path)
+        if number == 1:
+            risk_store.add_batch(df, number, path)  # tried again
+    whole = spark.createDataFrame(events, schema)
+    as_rows = lambda df: {r["event_id"]: (r["links"], r["near_driver_risk"]) for r in df.collect()}
+    want = as_rows(causal.link_stats(whole, causal.link_rules(spark)))
+    assert as_rows(risk_store.stats(spark, path)) == want and len(want) > 100
+    got = {r["event_id"]: r["level"] for r in risk_store.levels(spark, path).collect()}
+    assert set(got) == {e[0] for e in events} and set(got.values()) == {"high", "medium"}
