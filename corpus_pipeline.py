@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightlens.llm import decontam, jaccard, lines, packing, toxicity
-from freightlens.llm.common import stored, table, unused
+from freightlens.llm.common import quoted, spelled, stored, table, unused
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects (score 0.5 or more) go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
-    return scored.filter(F.col(scored.columns[-1]) < 0.5).select(*docs.columns)
+    return scored.filter(F.col(scored.columns[-1]) < 0.5).select(*quoted(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = keyed.alias("d").join(left.alias("f"), _same(key), "left")
     changed = F.col("f.n_removed").isNotNull()
     joined = joined.filter(~changed | (F.col("f.text") != ""))
-    return joined.select(*[F.when(changed, F.col("f.text")).otherwise(F.col("d.text")).alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
+    text = spelled(docs, "text")
+    new = F.when(changed, F.col("f.text")).otherwise(F.col("d.text")).alias(text)
+    return joined.select(*[new if c == text else F.col(f"d.{name}") for c, name in zip(docs.columns, quoted(docs), strict=True)])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     alone = found.filter(F.col("root").isNull()).select("doc_id", "key")
     stay = first.select("first.doc_id", "first.key").unionByName(alone)
     kept = keyed.alias("d").join(stay.alias("f"), _same(key), "left_semi")
-    return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", key]).select(*quoted(docs))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,22 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def quoted(df: DataFrame) -> list[str]:
+    """The columns of ``df`` as names that ``select`` takes literally, also with dots or backquotes in them."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
+def spelled(df: DataFrame, name: str) -> str:
+    """How ``df`` spells a column: Spark compares names without case, Arrow batches in a worker do not."""
+    return next((c for c in df.columns if c.lower() == name.lower()), name)
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with names that ``mapInArrow`` can look up, by place; ``toDF`` gives the old ones back."""
+    names: list[str] = []
+    for i, c in enumerate(df.columns):
+        odd = "." in c or "`" in c
+        names.append(unused(df, f"column_{i}") if odd else c)
+    return df.toDF(*names)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, unused
+from .common import plain, quoted, spelled, table, unused
 from .words import ALNUM, Words, slices, starts, windows
 
 SIZE = 10
@@ -88,13 +88,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int =
 
     All columns of ``docs`` are kept; the added ones are named so by ``unused``, in this order, at the end.
     """
-    spark = docs.sparkSession
+    spark, text = docs.sparkSession, spelled(docs, text)
     added: list[str] = []
     for name in ("n_words", "spans", "cuts", "items"):
         added.append(unused(docs.select("*", *[F.lit(None).alias(a) for a in added]), name))
+    rows = plain(docs)
     schema = T.StructType(
         [
-            *docs.schema.fields,
+            *rows.schema.fields,
             T.StructField(added[0], T.LongType()),
             T.StructField(added[1], HITS),
             T.StructField(added[2], HITS),
@@ -139,7 +140,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int =
                     [*part.schema.names, *added],
                 )
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*docs.columns, *added)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, size: int = SIZE) -> DataFrame:
@@ -158,7 +159,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5
     tos = F.concat(F.transform(cuts, lambda x: x["a"]), F.array(F.octet_length("text").cast("long")))
     left = F.transform(F.arrays_zip(froms.alias("f"), tos.alias("t")), lambda x: F.decode(F.substring(raw, (x["f"] + 1).cast("int"), (x["t"] - x["f"]).cast("int")), "UTF-8"))
     text = F.when(F.size(cuts) == 0, F.col("text")).otherwise(F.array_join(left, ""))
-    return kept.withColumn("text", text).select(*docs.columns)
+    return kept.withColumn(spelled(docs, "text"), text).select(*quoted(docs))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:

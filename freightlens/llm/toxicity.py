@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import found_in
-from .common import stored, table, unused
+from .common import plain, spelled, stored, table, unused
 from .words import ALNUM, Words, slices
 
 SAMPLE = 20_000  # labelled documents that are fitted at most
@@ -228,8 +228,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Null and empty texts get the score of a document without any known term.
     """
-    name = unused(docs, "toxicity")
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    name, text = unused(docs, "toxicity"), spelled(docs, text)
+    rows = plain(docs)
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
         # the model, a few thousand terms at most, travels with the task
@@ -252,7 +253,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     out[d] = probability(model, present)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out)], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*docs.columns, name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -82,3 +82,14 @@ def test_whole_on_nothing(spark, small, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_column_names(spark, small):
+    """Names with dots and backquotes, and ``text`` in another spelling, pass every stage with the same rows."""
+    folder = small[0]
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = plain.withColumnRenamed("text", "Text").withColumnRenamed("lang", "a.b").withColumnRenamed("source", "x`y")
+    for _, stage in pipeline.STAGES[:-1]:
+        plain, odd = stored(stage(spark, plain, folder), "p"), stored(stage(spark, odd, folder), "o")
+        assert odd.columns == [{"text": "Text", "lang": "a.b", "source": "x`y"}.get(c, c) for c in plain.columns]
+        assert Counter(map(tuple, odd.collect())) == Counter(map(tuple, plain.collect()))
