@@ -27,13 +27,12 @@ def csv_of(s: Source, rows: DataFrame, label: str) -> str:
     return path
 
 
-@query(
-    "src_invoice_csv",
-    f"""SELECT {INV_COLS}, CAST(NULL AS VARCHAR) AS po_number FROM invoices WHERE status <> 'flagged'
+INVOICE_FILES_SQL = f"""SELECT {INV_COLS}, CAST(NULL AS VARCHAR) AS po_number FROM invoices WHERE status <> 'flagged'
  UNION ALL SELECT invoice_id, supplier, amount, NULL, NULL, due_date, payment_terms, NULL, status, NULL, NULL, notes, concat('PO-', src_row) FROM invoices WHERE status = 'flagged'
- UNION ALL SELECT concat('W-', s_suppkey), s_name, s_acctbal, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM supplier""",
-    "invoices",
-)
+ UNION ALL SELECT concat('W-', s_suppkey), s_name, s_acctbal, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM supplier"""
+
+
+@query("src_invoice_csv", INVOICE_FILES_SQL, "invoices")
 def _(s: Source):
     return readers.read_csv_by_name(s.spark, invoice_files(s), schemas.INVOICE, "invoice_id").drop("file")
 
@@ -49,11 +48,11 @@ def invoice_files(s: Source) -> str:
     root = scratch(s.spark, "invoices")
     filler = [F.lit(i).alias(f"extra_{i}") for i in range(57)]
     wide = s.supplier.select(*filler, F.col("s_acctbal").alias("amount"), F.concat(F.lit("W-"), "s_suppkey").alias("invoice_id"), F.col("s_name").alias("supplier"))
-    wide.write.option("header", True).csv(f"{root}/c")
-    s.nation.select("n_nationkey", "n_name").write.option("header", True).csv(f"{root}/d")
-    s.invoices.where("status <> 'flagged'").select(*INV_COLS.split(", ")).write.option("header", True).csv(f"{root}/a")
+    wide.write.options(header=True, escape='"').csv(f"{root}/c")
+    s.nation.select("n_nationkey", "n_name").write.options(header=True, escape='"').csv(f"{root}/d")
+    s.invoices.where("status <> 'flagged'").select(*INV_COLS.split(", ")).write.options(header=True, escape='"').csv(f"{root}/a")
     other = ["status", "notes", F.concat(F.lit("PO-"), "src_row").alias("po_number"), "supplier", "due_date", "payment_terms", "amount", "invoice_id"]
-    s.invoices.where("status = 'flagged'").select(*other).write.option("header", True).csv(f"{root}/b")
+    s.invoices.where("status = 'flagged'").select(*other).write.options(header=True, escape='"').csv(f"{root}/b")
     return root
 
 
@@ -181,6 +180,33 @@ def _(s: Source):
     return rows.select("src_row", routing.by_header(F.split("head", ",")).alias("kind"))
 
 
+@query(
+    "src_type_routing_files",
+    f"""SELECT 'invoice' AS kind, invoice_id AS id FROM invoices UNION ALL SELECT 'shipment', shipment_id FROM shipments
+ UNION ALL SELECT 'driver_risk', CAST(event_id AS VARCHAR) FROM events UNION ALL SELECT 'unknown', CAST(n_nationkey AS VARCHAR) FROM nation""",
+    "invoices shipments",
+)
+def _(s: Source):
+    root = scratch(s.spark, "mixed")
+    cut = {  # file names that say nothing; the headers do
+        "a": s.invoices.select("notes", F.col("amount").alias("Amount"), "invoice_id"),
+        "b": s.shipments.select(F.col("carrier").alias("Carrier"), "shipment_id", "value"),
+        "c": s.events.select("event_id", F.lit("x").alias("Driver")),
+        "d": s.nation.select("n_nationkey", "n_name"),
+    }
+    for name, rows in cut.items():
+        rows.write.option("header", True).option("escape", '"').csv(f"{root}/{name}")
+    ids = {"invoice": "invoice_id", "shipment": "shipment_id", "driver_risk": "event_id", "unknown": "n_nationkey"}
+    kinds = F.coalesce("kind", F.lit("unknown")).alias("kind")
+    files = routing.files_by_header(s.spark, root).groupBy(kinds).agg(F.collect_list("file").alias("files")).collect()  # one path per file
+    out = None
+    for kind, paths in sorted(map(tuple, files)):
+        rows = readers.read_csv_by_name(s.spark, paths, f"{ids[kind]} string", ids[kind])
+        rows = rows.select(F.lit(kind).alias("kind"), F.col(ids[kind]).alias("id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "src_type_routing_by_content",
     """SELECT id, CASE WHEN regexp_matches(t, 'invoice|bill|payment') THEN 'invoice' WHEN regexp_matches(t, 'shipment|shipping|transport|delivery') THEN 'shipment'

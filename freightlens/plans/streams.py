@@ -13,7 +13,7 @@ from ..streaming import feeds, risk_store
 from . import causality
 from .catalog import Source, query
 from .extraction import P_TEXT
-from .io import INV_COLS, SHP_COLS, policy_files
+from .io import INV_COLS, INVOICE_FILES_SQL, SHP_COLS, invoice_files, policy_files
 from .records import R
 from .texts import DRIVER_TEXT, HIGH, INVOICE_TEXT, SHIPMENT_TEXT
 
@@ -77,6 +77,13 @@ def _(s: Source):
     return s.spark.read.parquet(ran(s, feeds.csv_stream(s.spark, root, ddl)))
 
 
+@query("src_csv_files_stream", INVOICE_FILES_SQL, "invoices")
+def _(s: Source):
+    folder, out = invoice_files(s), scratch(s.spark, "arrived")
+    feeds.finish(feeds.records_by_name(s.spark, folder, schemas.INVOICE, "invoice_id", out, f"{out}-checkpoint"))
+    return s.spark.read.parquet(out).drop("file", "batch")
+
+
 @query("src_text_stream", "SELECT file, content FROM pol", pol=P_TEXT)
 def _(s: Source):
     rows = s.spark.read.parquet(ran(s, feeds.text_stream(s.spark, policy_files(s, "texts"))))

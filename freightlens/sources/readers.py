@@ -6,8 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sizing import sized
 from ..schemas import all_text, columns
+from .record_csv import record_csv
 
 
 def typed(rows: DataFrame, ddl: str) -> DataFrame:
@@ -31,41 +31,23 @@ def read_csv(spark: SparkSession, path: str, ddl: str, **options: str) -> DataFr
     return typed(raw, ddl)
 
 
-def csv_headers(spark: SparkSession, path: str, id_col: str) -> DataFrame:
-    """(file, header) of every CSV file below ``path`` that has a line naming ``id_col``, at any width.
-
-    Of several such lines the one with most cells counts. A text scan that parses only lines with the name;
-    the result is one row per file.
-    """
-    file = F.col("_metadata.file_path").alias("file")
-    lines = spark.read.text(path, recursiveFileLookup=True).where(F.col("value").contains(id_col)).select("value", file)
-    cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
-    heads = lines.select(cells.alias("header"), "file").where(F.array_contains("header", id_col))
-    return sized(heads.groupBy("file").agg(F.max_by("header", F.struct(F.size("header"), F.col("header"))).alias("header")))
+def csv_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, header) of every CSV file below ``path`` that is not empty; only first lines are read."""
+    return record_csv(spark, path, mode="headers").load()
 
 
-def read_csv_by_name(spark: SparkSession, path: str, ddl: str, id_col: str) -> DataFrame:
+def read_csv_by_name(spark: SparkSession, path: str | list[str], ddl: str, id_col: str, multiline: bool = False) -> DataFrame:
     """CSV files whose headers differ from file to file: columns are found by name in each file.
 
-    Cells are read by position, as many as the widest header has; a join on the file brings each file's
-    order to its rows. Repeated header lines are no records. Files without such a header are not read here
-    but by ``foreign_csv``.
+    One scan, see ``record_csv``. Files whose header does not name ``id_col`` are not read here but by ``foreign_csv``.
     """
-    headers = csv_headers(spark, path, id_col)
-    width = headers.agg(F.max(F.size("header"))).first()[0] or 1
-    names = [f"c{i}" for i in range(width)]
-    places = [(F.array_position("header", n).cast("int") - 1).alias(f"at_{n}") for n, _ in columns(ddl)]
-    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", False).option("recursiveFileLookup", True).csv(path)
-    lines = raw.select(F.array(*names).alias("cells"), F.col("_metadata.file_path").alias("file"))
-    rows = lines.where(~F.coalesce(F.array_contains("cells", id_col), F.lit(False))).join(headers.select("file", *places), "file")
-    named = [F.when(F.col(f"at_{n}") >= 0, F.get("cells", F.col(f"at_{n}"))).alias(n) for n, _ in columns(ddl)]
-    return typed(rows.select(*named, "file"), ddl)
-
-
-def foreign_csv(spark: SparkSession, path: str, id_col: str) -> DataFrame:
+    raw = record_csv(spark, path, id_col=id_col, multiline=str(multiline)).schema(f"{all_text(ddl)}, file string").load()
+    return typed(raw, ddl)
+
+
+def foreign_csv(spark: SparkSession, path: str | list[str], id_col: str) -> DataFrame:
     """(file, line) of the files that ``read_csv_by_name`` leaves out, for the rejected side output."""
-    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-    return lines.join(csv_headers(spark, path, id_col).select("file"), "file", "left_anti")
+    return record_csv(spark, path, id_col=id_col, mode="foreign").load()
 
 
 def with_file(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import c, first_match
+from .readers import csv_headers
 
 # fixed values: words that give a text away, in order
 CONTENT_WORDS = [
@@ -46,3 +47,11 @@ def by_header(names: str | Column) -> Column:
 def by_content(text: str | Column) -> Column:
     """From the words of the whole text."""
     return first_match(text, CONTENT_WORDS, None)
+
+
+def files_by_header(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header, kind) of the CSV files below ``path``, from their own first lines.
+
+    What the header leaves open is decided by the name; NULL where that says nothing either.
+    """
+    return csv_headers(spark, path).withColumn("kind", F.coalesce(by_header("header"), by_name("file")))

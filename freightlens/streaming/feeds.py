@@ -12,7 +12,7 @@ from ..operators import filters, render, summaries
 from ..operators.causal import normal_type, strength
 from ..operators.intervals import micros
 from ..schemas import DRIVER, INVOICE, SHIPMENT, all_text
-from ..sources.readers import read_or_none, typed
+from ..sources.readers import foreign_csv, read_csv_by_name, read_or_none, typed
 
 
 # --- sources --------------------------------------------------------------------------------
@@ -24,6 +24,27 @@ def csv_stream(spark: SparkSession, folder: str, ddl: str) -> DataFrame:
     return typed(raw, ddl)
 
 
+def records_by_name(spark: SparkSession, folder: str, ddl: str, id_col: str, out: str, checkpoint: str, rejected: str | None = None, files: int = 1000) -> StreamingQuery:
+    """CSV files of any header that arrive in a folder, appended to ``out`` as records (and file, batch).
+
+    Spark's file source keeps which files came already and hands on at most ``files`` paths per batch; a batch reads
+    them by their own headers. A batch that is tried again replaces what it wrote. Files without ``id_col`` go to
+    ``rejected`` as (file, line).
+    """
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    found = found.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).load(folder).where("length > 0").select("path")
+
+    def read(batch: DataFrame, number: int) -> None:
+        paths = [r["path"] for r in batch.collect()]  # at most ``files``
+        if not paths:
+            return
+        read_csv_by_name(spark, paths, ddl, id_col).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if rejected:
+            foreign_csv(spark, paths, id_col).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+
+    return found.writeStream.foreachBatch(read).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def text_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New text files, one row each."""
     rows = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(folder)

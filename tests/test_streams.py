@@ -70,3 +70,20 @@ def test_event_risk_store_over_late_and_repeated_batches(spark, tmp_path):
     assert as_rows(risk_store.stats(spark, path)) == want and len(want) > 100
     got = {r["event_id"]: r["level"] for r in risk_store.levels(spark, path).collect()}
     assert set(got) == {e[0] for e in events} and set(got.values()) == {"high", "medium"}
+
+
+def test_csv_files_of_any_header_arrive_once(spark, tmp_path):
+    folder, out = tmp_path / "in", f"{tmp_path}/out"
+    folder.mkdir()
+    run = lambda: feeds.finish(feeds.records_by_name(spark, str(folder), "invoice_id string, amount double", "invoice_id", out, f"{out}-c", f"{out}-r", files=2))
+    (folder / "a.csv").write_text("invoice_id,amount\nA1,1\nA2,x\n")
+    (folder / "b b.csv").write_text('amount,"invoice_id"\n2.5,B1\n')
+    (folder / "c.csv").write_text("other\n1\n")
+    (folder / "d.csv").write_text("")
+    run()
+    (folder / "e.csv").write_text("amount,more,invoice_id\n7,x,A1\n")
+    run()
+    run()
+    got = sorted((r["invoice_id"], r["amount"] or 0) for r in spark.read.parquet(out).collect())
+    assert got == [("A1", 1.0), ("A1", 7.0), ("A2", 0), ("B1", 2.5)]
+    assert sorted(r["line"] for r in spark.read.parquet(f"{out}-r").collect()) == ["1", "other"]

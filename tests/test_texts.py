@@ -115,6 +115,49 @@ def test_csv_with_other_headers_and_bad_values(spark, tmp_path):
     assert rows["I3"]["status"] == "paid" and rows["I3"]["supplier"] is None
 
 
+def test_csv_headers_quotes_splits_and_foreign_files(spark, tmp_path):
+    import gzip
+    import random
+
+    from freightlens.sources.record_csv import record_csv
+
+    folder = tmp_path / "in"
+    (folder / "deep" / "_hidden").mkdir(parents=True)
+    (folder / "q.csv").write_text('\ufeffnotes,"amount, net",invoice_id\r\n"a, ""b""",1,I1\r\n\r\nmy invoice_id,2,I2\r\nshort\r\nx,3,I3,beyond\r\n')
+    wide = [f"x{i}" for i in range(57)] + ["invoice_id", "notes"]
+    (folder / "deep" / "w.csv").write_text(",".join(wide) + "\n" + ",".join(["0"] * 57 + ["W1", "n"]) + "\n" + ",".join(wide) + "\n")
+    with gzip.open(folder / "z.csv.gz", "wt") as f:
+        f.write("invoice_id,notes\nZ1,packed\n")
+    (folder / "f.csv").write_text("id,notes\n1,invoice_id\n")
+    (folder / "empty.csv").write_text("")
+    (folder / "deep" / "_hidden" / "h.csv").write_text("invoice_id\nH1\n")
+    ddl = "invoice_id string, notes string, absent date"
+    rows = [tuple(r)[:3] for r in readers.read_csv_by_name(spark, str(folder), ddl, "invoice_id").collect()]
+    assert sorted(rows, key=str) == sorted(
+        [("I1", 'a, "b"', None), ("I2", "my invoice_id", None), (None, "short", None), ("I3", "x", None), ("W1", "n", None), ("Z1", "packed", None)], key=str
+    )
+    heads = {r["file"].split("/")[-1]: r["header"] for r in readers.csv_headers(spark, str(folder)).collect()}
+    assert heads["q.csv"] == ["notes", "amount, net", "invoice_id"] and heads["w.csv"] == wide and set(heads) == {"q.csv", "w.csv", "z.csv.gz", "f.csv"}
+    assert [r["line"] for r in readers.foreign_csv(spark, f"file:{folder}", "invoice_id").collect()] == ["id,notes", "1,invoice_id"]
+
+    # any split size gives every line once
+    rng, big = random.Random(1), tmp_path / "big.csv"
+    want = [(f"B{i}", "é" * rng.randrange(9)) for i in range(300)]
+    big.write_text("notes,invoice_id\n" + "".join(f"{n},{i}\n" for i, n in want))
+    foreign = tmp_path / "other.csv"
+    foreign.write_text("notes,id\n" + "".join(f"{n},{i}\n" for i, n in want))
+    for size in (7, 64, 1000, 1 << 20):
+        got = record_csv(spark, str(big), id_col="invoice_id", split_bytes=str(size)).schema("invoice_id string, notes string").load().coalesce(8).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+        left = record_csv(spark, str(foreign), id_col="invoice_id", mode="foreign", split_bytes=str(size)).load().coalesce(8).collect()
+        assert sorted(r["line"] for r in left) == sorted(["notes,id"] + [f"{n},{i}" for i, n in want])
+
+    lines = tmp_path / "lines.csv"
+    lines.write_text('invoice_id,notes\nL1,"two\nlines"\nL2,one\n')
+    got = readers.read_csv_by_name(spark, str(lines), "invoice_id string, notes string", "invoice_id", multiline=True).collect()
+    assert [tuple(r)[:2] for r in got] == [("L1", "two\nlines"), ("L2", "one")]
+
+
 def test_store_only_grows_by_what_is_new(spark, tmp_path):
     path = str(tmp_path / "store")
     rows = lambda *ids: spark.createDataFrame([(i, "2024-01-01") for i in ids], "id string, day string")
