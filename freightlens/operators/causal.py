@@ -389,12 +389,11 @@ def analysis_rule(event_type: Column, anomaly_type: Column) -> Column:
     )
 
 
-def potential_causes(events: DataFrame, edges: DataFrame, rules=ref.ANALYSIS_RULES) -> DataFrame:
-    """For each entity's latest anomaly the earlier events that may explain it.
+def analysis_sides(events: DataFrame, edges: DataFrame, rules=ref.ANALYSIS_RULES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What the search for causes joins: (anomalies, causes, pairs of related entities, reach per rule).
 
-    A cause matches one of the rule's types by substring, or belongs to a related entity. Strength is
-    the mean of nearness in the window and 1 (related) or 0.5, so a threshold t reaches back
-    window * (1 + relation - 2t); that bounds both joins.
+    Strength is the mean of nearness in the window and 1 (related) or 0.5, so a threshold t reaches back
+    window * (1 + relation - 2t).
     """
     spark = events.sparkSession
     spans = {(r, w, t) for r, _, w, t in rules}
@@ -402,7 +401,6 @@ def potential_causes(events: DataFrame, edges: DataFrame, rules=ref.ANALYSIS_RUL
         [(r, w * US, int(w * US * (2.0 - 2 * t) + 0.5), int(w * US * (1.5 - 2 * t) + 0.5)) for r, w, t in sorted(spans)],
         "rule string, window_us bigint, related_us bigint, other_us bigint",
     )
-    kinds = spark.createDataFrame([(r, c) for r, c, _, _ in rules], "rule string, cause_type string")
     anomalies = (
         latest_anomaly(events)
         .withColumn("anomaly_type", F.col("anomaly_type") if "anomaly_type" in events.columns else F.col("event_type"))
@@ -418,39 +416,65 @@ def potential_causes(events: DataFrame, edges: DataFrame, rules=ref.ANALYSIS_RUL
         F.col("event_id").alias("cause_id"), F.col("entity_id").alias("cause_entity_id"), normal_type().alias("cause_event_type"), micros("ts").alias("cause_us")
     )
     pairs = edges.select(F.col("source").alias("entity_id"), F.col("target").alias("cause_entity_id")).distinct()
+    return anomalies, causes, pairs, reach
+
+
+def typed_causes(causes: DataFrame, rules=ref.ANALYSIS_RULES) -> DataFrame:
+    """Each cause once per rule that names its type, by substring."""
+    kinds: dict[str, list[str]] = {}
+    for rule, kind, _, _ in rules:
+        kinds.setdefault(rule, []).append(kind)
+    named = [F.when(F.greatest(F.lit(False), *[F.col("cause_event_type").contains(k) for k in ks]), r) for r, ks in sorted(kinds.items())]
+    return causes.withColumn("rule", F.explode(F.array_compact(F.array(*named))))
+
 
-    # related entities: any event of theirs, whatever its type
+def related_causes(anomalies: DataFrame, causes: DataFrame, pairs: DataFrame, reach: DataFrame) -> DataFrame:
+    """Events of related entities in reach, whatever their type."""
     asked = anomalies.join(pairs, "entity_id").drop("other_us")
     spots = causes.join(F.broadcast(reach.select("rule", "related_us")))
     near = within(spots, asked, ["rule", "cause_entity_id"], "cause_us", "anomaly_us", "related_us")
-    related = near.withColumn("is_related", F.lit(True))
+    return near.withColumn("is_related", F.lit(True)).drop("related_us")
 
-    # events of the rule's types anywhere, unless related
-    typed = causes.join(F.broadcast(kinds), F.col("cause_event_type").contains(F.col("cause_type"))).drop("cause_type").distinct()
-    typed = typed.join(F.broadcast(reach.select("rule", "other_us")), "rule")
-    anywhere = within(typed, anomalies.drop("related_us"), ["rule"], "cause_us", "anomaly_us", "other_us")
-    anywhere = anywhere.join(pairs, ["entity_id", "cause_entity_id"], "left_anti").withColumn("is_related", F.lit(False))
 
-    both = related.drop("related_us").unionByName(anywhere.drop("other_us"))
+def judged_causes(found: DataFrame) -> DataFrame:
+    """Causes with strength and nearness; what an entity's own anomalies of the kind say is no cause."""
     gap = F.col("anomaly_us") - F.col("cause_us")
     own = (F.col("cause_entity_id") == F.col("entity_id")) & (F.col("cause_event_type") == F.col("base_type"))
     score = (1.0 - gap / F.col("window_us") + F.when(F.col("is_related"), 1.0).otherwise(0.5)) / 2
-    return both.where(~own).select(
+    return found.where(~own).select(
         "entity_id", "anomaly_id", "anomaly_event_type", "rule", "cause_id", "cause_entity_id", "cause_event_type", "cause_us", "is_related",
         score.alias("causal_strength"),
         F.concat(F.floor(gap / (60 * US)).cast("string"), F.lit(" minutes")).alias("temporal_proximity"),
     )
 
 
+def potential_causes(events: DataFrame, edges: DataFrame, rules=ref.ANALYSIS_RULES) -> DataFrame:
+    """For each entity's latest anomaly the earlier events that may explain it.
+
+    A cause matches one of the rule's types by substring, or belongs to a related entity; the reach of either
+    kind bounds its join. All pairs are listed; ``nearest_causes`` gives the best ones without them.
+    """
+    anomalies, causes, pairs, reach = analysis_sides(events, edges, rules)
+    related = related_causes(anomalies, causes, pairs, reach)
+    # events of the rule's types anywhere, unless related
+    typed = typed_causes(causes, rules).join(F.broadcast(reach.select("rule", "other_us")), "rule")
+    anywhere = within(typed, anomalies.drop("related_us"), ["rule"], "cause_us", "anomaly_us", "other_us")
+    anywhere = anywhere.join(pairs, ["entity_id", "cause_entity_id"], "left_anti").withColumn("is_related", F.lit(False)).drop("other_us")
+    return judged_causes(related.unionByName(anywhere))
+
+
 def top_causes(causes: DataFrame, k: int = 3) -> DataFrame:
     return top_per_group(causes, ["anomaly_id"], [F.desc("causal_strength"), F.col("cause_id")], k)
 
 
-def analyze_entities(asked: DataFrame, events: DataFrame, causes: DataFrame, k: int = 3) -> DataFrame:
-    """Report per asked entity: found, has_anomaly, the anomaly, how many causes and the first few."""
+def analyze_entities(asked: DataFrame, events: DataFrame, causes: DataFrame, k: int = 3, counts: DataFrame | None = None) -> DataFrame:
+    """Report per asked entity: found, has_anomaly, the anomaly, how many causes and the first few.
+
+    ``causes`` are all of them, or with ``counts`` (entity_id, causes) at least the best k.
+    """
     known = events.groupBy("entity_id").agg(F.count("*").alias("events"))
     latest = latest_anomaly(events).select("entity_id", F.col("event_id").alias("anomaly_id"), F.col("event_type").alias("anomaly_type"), "risk_score")
-    counts = causes.groupBy("entity_id").agg(F.count("*").alias("causes"))
+    counts = causes.groupBy("entity_id").agg(F.count("*").alias("causes")) if counts is None else counts
     first = (
         top_causes(causes, k)
         .groupBy("entity_id")

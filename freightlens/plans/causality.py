@@ -9,6 +9,7 @@ from .. import refdata as ref
 from ..functions.sizing import sized
 from ..operators import causal, filters, summaries, time_chains
 from ..operators.intervals import count_near, micros
+from ..operators.nearest_causes import count_causes, nearest_causes
 from ..operators.ranking import latest_per_entity
 from .catalog import EVENTS_AS_OF as AS_OF, Source, query
 
@@ -362,7 +363,7 @@ def _(s: Source):
 
 @q("win_top_causes", "SELECT anomaly_id, cause_id, rank FROM ranked WHERE rank <= 3")
 def _(s: Source):
-    return causal.top_causes(causes(s), 3).select("anomaly_id", "cause_id", F.col("rank").cast("bigint").alias("rank"))
+    return nearest_causes(s.causal_events, edges(s), 3).select("anomaly_id", "cause_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @q("sort_strength", "SELECT anomaly_id, cause_id, round(causal_strength, 6) AS causal_strength FROM causes ORDER BY causal_strength DESC, anomaly_id, cause_id")
@@ -384,7 +385,8 @@ ASKED = "SELECT concat('ENT-', s_suppkey * 2) AS entity_id FROM supplier"
 )
 def _(s: Source):
     asked = s.supplier.select(F.concat(F.lit("ENT-"), F.col("s_suppkey") * 2).alias("entity_id"))
-    report = causal.analyze_entities(asked, s.causal_events, causes(s))
+    best = nearest_causes(s.causal_events, edges(s), 3).drop("rank")
+    report = causal.analyze_entities(asked, s.causal_events, best, 3, count_causes(s.causal_events, edges(s)))
     top = F.array_join(F.transform("top", lambda x: x.cause_id), ",")
     return report.select("entity_id", "found", "has_anomaly", "anomaly_id", "causes", top.alias("top"))
 

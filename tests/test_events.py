@@ -208,3 +208,30 @@ def test_links_without_pairs_match_all_pairs(spark):
     assert {r["event_id"]: r["links"] for r in causal.link_stats(df, rules).collect()} == ends
     links = causal.causal_links(df, rules, "any")
     assert {r[0] for r in causal.root_events(df, rules).collect()} == {r[0] for r in causal.roots(links).collect()}
+
+
+def test_nearest_causes_and_counts_equal_all_pairs(spark):
+    from collections import Counter
+
+    from freightlens.operators.nearest_causes import count_causes, nearest_causes
+
+    rng = random.Random(4)
+    types = ["shipment_delay", "driver_risk_increase", "weather_event", "route_change", "policy_update", "invoice_anomaly", "shipment_anomaly", "other"]
+    start = dt.datetime(2024, 3, 1)
+    rows = []
+    for i in range(900):
+        # half of the log is one burst, with events at the same moment; a third belongs to one entity
+        hours = rng.choice([rng.randrange(0, 400), 200 + rng.randrange(0, 3) / 60])
+        entity = rng.choice(["hub", f"e{rng.randrange(25)}", f"e{rng.randrange(25)}"]) if rng.random() > 0.03 else None
+        rows.append((f"v{i:03d}", rng.choice(types), entity, start + dt.timedelta(hours=hours), rng.choice(["delay", "payment", "value"])))
+    events = spark.createDataFrame(rows, "event_id string, event_type string, entity_id string, ts timestamp, anomaly_type string")
+    links = [(a, b) for a in range(25) for b in range(25) if rng.random() < 0.1]
+    edges = spark.createDataFrame([(f"e{a}", f"e{b}") for a, b in links] + [("e1", "hub"), ("hub", "e2")], "source string, target string")
+    every = causal.potential_causes(events, edges)
+    for k in (1, 3, 7):
+        want = causal.top_causes(every, k).collect()
+        got = nearest_causes(events, edges, k).select(*every.columns, "rank").collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(want) > 20
+    counts = {r["entity_id"]: r["causes"] for r in count_causes(events, edges).collect() if r["causes"]}
+    assert counts == {r["entity_id"]: r["count"] for r in every.groupBy("entity_id").count().collect()}
+    assert nearest_causes(events.limit(0), edges).count() == 0 and count_causes(events.limit(0), edges).count() == 0
