@@ -2,15 +2,17 @@
 
 A batch of changes (inserts, deletes, revised counts) becomes signed amounts that are summed per source,
 language and tokenizer version; only these sums are stored, never the documents. Totals are the sum over
-all committed batches. A batch is written to a folder of its own attempt and takes effect when its commit
-record names that attempt; committing a batch again replaces the record, so a repeated or half-written batch
-counts once.
+all committed batches. A batch is written to a folder of its own attempt and takes effect with a commit record
+that names the attempt. Records are only ever added and the latest of a batch counts, so a repeated or half-written
+batch counts once and a batch that is committed again is never gone in between.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from .common import shared_folder, stored, table
 KEYS = ["source", "lang", "tokenizer"]
 CHANGES = "kind string, source string, lang string, tokenizer string, n_tokens long, old_tokens long"
 _DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens long, batch_id string, attempt string"
+_COMMITS = "batch_id string, attempt string, at long"  # at: nanoseconds since the epoch; equal times go by attempt
 
 # tokenizers as patterns whose matches are the tokens
 WORDS = r"[^\x09-\x0D\x20]+"
@@ -47,15 +50,32 @@ def commit(changes: DataFrame, path: str, batch_id: str) -> None:
     # a few rows per source: one file is enough, and it is written by one task after the shuffled sums
     delta = signed(changes).withColumn("batch_id", F.lit(batch_id)).withColumn("attempt", F.lit(attempt))
     delta.coalesce(1).write.parquet(f"{path}/deltas/batch_id={batch_id}-{attempt}")
-    record = spark.createDataFrame([(batch_id, attempt)], "batch_id string, attempt string")
-    record.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/{batch_id}")
+    _record(spark, path, batch_id, attempt)
+
+
+def _record(spark: SparkSession, path: str, batch_id: str, attempt: str) -> None:
+    record = spark.createDataFrame([(batch_id, attempt, time.time_ns())], _COMMITS)
+    record.coalesce(1).write.parquet(f"{path}/commits/{batch_id}-{attempt}")
+
+
+def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """All files below a folder; no rows while there is no folder."""
+    try:
+        return spark.read.schema(ddl).option("recursiveFileLookup", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl)
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
-    """Documents and tokens per key over all committed batches; keys with nothing left are gone."""
-    deltas = spark.read.schema(_DELTAS).option("recursiveFileLookup", "true").parquet(f"{path}/deltas")
-    commits = spark.read.schema("batch_id string, attempt string").option("recursiveFileLookup", "true").parquet(f"{path}/commits")
-    sums = deltas.join(commits, ["batch_id", "attempt"], "left_semi").groupBy(*KEYS)
+    """Documents and tokens per key over all committed batches; keys with nothing left are gone.
+
+    A rollup without commits has no rows.
+    """
+    deltas, commits = _read(spark, f"{path}/deltas", _DELTAS), _read(spark, f"{path}/commits", _COMMITS)
+    valid = commits.groupBy("batch_id").agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt"))
+    sums = deltas.join(valid, ["batch_id", "attempt"], "left_semi").groupBy(*KEYS)
     sums = sums.agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     return sums.filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
@@ -64,7 +84,7 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
     """Writes the totals as the only batch of a new rollup."""
     base = totals(spark, path).withColumn("batch_id", F.lit("base")).withColumn("attempt", F.lit("base"))
     base.coalesce(1).write.parquet(f"{target}/deltas/batch_id=base")
-    spark.createDataFrame([("base", "base")], "batch_id string, attempt string").coalesce(1).write.parquet(f"{target}/commits/base")
+    _record(spark, target, "base", "base")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -98,7 +118,8 @@ def document_rollup(docs: DataFrame) -> DataFrame:
     All documents are inserted under ``words_v1`` and, with a guess of their count, under ``pieces_v2``.
     Then the later copies of equal texts are deleted (the smallest doc_id stays, null ids count as largest;
     rows alike in text and id all stay) and the guesses of the rest are revised to the real counts.
-    Null texts are equal to each other and have no tokens.
+    Null texts are equal to each other and have no tokens. Texts of any length are counted whole, other columns are
+    ignored, and no documents give no rows.
     """
     spark = docs.sparkSession
     rows = stored(counted(docs), "token-counts")

@@ -320,6 +320,10 @@ def test_rollup(spark, tmp_path):
         return {(r["source"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in token_counts.totals(spark, path).collect()}
 
     path = str(tmp_path / "rollup")
+    assert state() == {}
+    # what a batch said first is replaced by what it says last; no record is ever overwritten
+    token_counts.commit(change(("insert", "q", "en", "v1", 99, None)), path, "1")
+    assert state() == {("q", "v1"): (1, 99)}
     token_counts.commit(change(("insert", "a", "en", "v1", 10, None), ("insert", "a", "en", "v1", 5, None), ("insert", None, None, "v1", None, None)), path, "1")
     token_counts.commit(change(("revise", "a", "en", "v1", 7, 10), ("insert", "b", "en", "v1", 3, None)), path, "2")
     want = {("a", "v1"): (2, 12), (None, "v1"): (1, 0), ("b", "v1"): (1, 3)}
@@ -329,6 +333,7 @@ def test_rollup(spark, tmp_path):
     # a batch that was written but never committed has no effect
     token_counts.signed(change(("insert", "z", "en", "v1", 1, None))).selectExpr("*", "'9' AS batch_id", "'x' AS attempt").write.parquet(f"{path}/deltas/batch_id=9-x")
     assert state() == want
+    assert len(list((tmp_path / "rollup" / "commits").iterdir())) == 4
     token_counts.commit(change(("delete", "b", "en", "v1", 3, None)), path, "3")
     del want["b", "v1"]
     assert state() == want
