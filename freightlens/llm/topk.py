@@ -33,7 +33,7 @@ def search_cell(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, querie
     """The k best of one shard for each query, as (scores, ids), unfilled places at the lowest score.
 
     Returns also how many blocks were scored. Sums are made in doubles where those are exact, else in
-    64-bit integers.
+    64-bit integers with bounds widened by the rounding of doubles; a score beyond 64 bits raises an error.
     """
     exact = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * rows.shape[1] < 2**53
     kind = np.float64 if exact else np.int64
@@ -44,7 +44,12 @@ def search_cell(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, querie
     queries = queries.astype(kind)
     edges = np.arange(0, len(ids), block)
     upper, lower = np.maximum.reduceat(rows, edges, axis=0), np.minimum.reduceat(rows, edges, axis=0)
-    bound = np.maximum(queries, 0) @ upper.T + np.minimum(queries, 0) @ lower.T
+    if exact:
+        bound = np.maximum(queries, 0) @ upper.T + np.minimum(queries, 0) @ lower.T
+    else:
+        wide = queries.astype(np.float64)
+        bound = np.maximum(wide, 0) @ upper.T.astype(np.float64) + np.minimum(wide, 0) @ lower.T.astype(np.float64)
+        bound += np.abs(wide) @ np.maximum(np.abs(upper), np.abs(lower)).T.astype(np.float64) * rows.shape[1] * 2.0**-50 + 2048
     ranked = np.argsort(-bound, axis=1, kind="stable")
     n, blocks = bound.shape
     scores = np.full((n, k), _NONE, dtype=np.int64)
@@ -63,6 +68,8 @@ def search_cell(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, querie
                 q = alive[members]
                 a, z = edges[b], min(edges[b] + block, len(ids))
                 found = (queries[q] @ rows[a:z].T).astype(np.int64)
+                if not exact and np.abs(wide[q] @ rows[a:z].T.astype(np.float64)).max() >= 2.0**63 * (1 - 2.0**-40):
+                    raise OverflowError("a score does not fit 64 bits")
                 found[query_ids[q][:, None] == ids[a:z][None, :]] = _NONE
                 better = found.max(axis=1) >= scores[q, k - 1]
                 q, found = q[better], found[better]
@@ -88,7 +95,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD,
 
     Both sides have ``id`` and ``v`` (array of long) and are stored tables. A vector never answers a query of
     its own id. Components missing in the shorter of two vectors count as 0. Ties go to the smaller id; equal
-    rows with one id are answers each. Sums must fit 64 bits. Queries without candidates give no rows.
+    rows with one id are answers each. A score that does not fit 64 bits stops the query. Queries without candidates give no rows.
     """
     shards = max(1, -(-vectors.count() // shard))
     batches = max(1, -(-queries.count() // batch))

@@ -309,6 +309,19 @@ def test_toxicity_odd_rows(spark, docs, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_topk_of_wide_numbers():
+    """Sums beyond the doubles' exact range are exact, sums beyond 64 bits stop the search."""
+    rng = np.random.default_rng(5)
+    rows, queries = rng.integers(-(1 << 29), 1 << 29, (700, 6)), rng.integers(-(1 << 30), 1 << 30, (9, 6))
+    ids, asked = np.arange(700), np.arange(9) * 50
+    scores, best, _ = topk.search_cell(ids, rows, asked, queries, 5, 16)
+    for q in range(9):
+        want = sorted((-sum(int(a) * int(b) for a, b in zip(queries[q], rows[i])), i) for i in range(700) if i != asked[q])[:5]
+        assert list(zip((-scores[q]).tolist(), best[q].tolist())) == want
+    with pytest.raises(OverflowError):
+        topk.search_cell(np.arange(2), np.full((2, 1), 1 << 40), np.array([5]), np.full((1, 1), 1 << 40), 1)
+
+
 # 5
 
 
