@@ -15,7 +15,6 @@ from .intervals import up_to, within
 from .ranking import top_per_group
 
 GROWTH = 4  # how much farther each round looks back
-ORDER = [F.desc("cause_us"), F.col("cause_id")]
 
 
 def nearest_causes(events: DataFrame, edges: DataFrame, k: int = 3, rules=ref.ANALYSIS_RULES) -> DataFrame:
@@ -28,7 +27,8 @@ def nearest_causes(events: DataFrame, edges: DataFrame, k: int = 3, rules=ref.AN
     """
     anomalies, causes, pairs, reach = analysis_sides(events, edges, rules)
     anomalies, pairs = sized(anomalies), sized(pairs)
-    best = top_per_group(judged_first(related_causes(anomalies, causes, pairs, reach)), ["anomaly_id"], ORDER, k, "place").drop("place")
+    order = [F.desc("cause_us"), F.col("cause_id")]
+    best = top_per_group(judged_first(related_causes(anomalies, causes, pairs, reach)), ["anomaly_id"], order, k, "place").drop("place")
     found = [sized(best)]
 
     typed = sized(typed_causes(causes, rules))
@@ -42,7 +42,7 @@ def nearest_causes(events: DataFrame, edges: DataFrame, k: int = 3, rules=ref.AN
         asked = open_ones.join(F.broadcast(looked), "rule")  # rules that are through drop out
         met = within(typed.join(F.broadcast(looked), "rule"), asked, ["rule"], "cause_us", "anomaly_us", "reach_us").drop("reach_us")
         met = met.join(pairs, ["entity_id", "cause_entity_id"], "left_anti").withColumn("is_related", F.lit(False))
-        few = sized(top_per_group(judged_first(met), ["anomaly_id"], ORDER, k, "place"))
+        few = sized(top_per_group(judged_first(met), ["anomaly_id"], order, k, "place"))
         through = few.where(F.col("place") == k).select("anomaly_id")
         last = F.col("rule").isin([rule for rule, far in farthest.items() if near[rule] >= far])
         done = few.join(through, "anomaly_id", "left_semi").unionByName(few.where(last).join(through, "anomaly_id", "left_anti"))
