@@ -132,13 +132,16 @@ def counts_with_total(rows: DataFrame, kind: str) -> DataFrame:
     return rows.rollup(kind).count().select(F.coalesce(kind, F.lit("total")).alias(kind), F.col("count").alias("n"))
 
 
-def hold_summary(holds: DataFrame, high: float = 0.8) -> DataFrame:
+def hold_summary(holds: DataFrame, high: float = 0.8, weight: str | None = None) -> DataFrame:
+    """Holds by status; with ``weight`` a row stands for so many holds."""
+    n = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0).cast("bigint"))
     return holds.agg(
-        F.count("*").alias("total_holds"),
-        F.count_if(F.col("status") == "active").alias("active_holds"),
-        F.count_if(F.col("status") == "pending_review").alias("pending_holds"),
-        F.count_if(F.col("status") == "resolved").alias("resolved_holds"),
-        F.count_if(F.col("risk_score") >= high).alias("high_risk_holds"),
+        count(F.lit(True)).alias("total_holds"),
+        count(F.col("status") == "active").alias("active_holds"),
+        count(F.col("status") == "pending_review").alias("pending_holds"),
+        count(F.col("status") == "resolved").alias("resolved_holds"),
+        count(F.col("risk_score") >= high).alias("high_risk_holds"),
     )
 
 

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from freightlens import refdata as ref
-from freightlens.operators import causal, time_chains
+from freightlens.operators import causal, summaries, time_chains
 from freightlens.operators.intervals import count_near, micros
 
 START = dt.datetime(2024, 1, 1)
@@ -235,3 +235,28 @@ def test_nearest_causes_and_counts_equal_all_pairs(spark):
     counts = {r["entity_id"]: r["causes"] for r in count_causes(events, edges).collect() if r["causes"]}
     assert counts == {r["entity_id"]: r["count"] for r in every.groupBy("entity_id").count().collect()}
     assert nearest_causes(events.limit(0), edges).count() == 0 and count_causes(events.limit(0), edges).count() == 0
+
+
+def test_counted_links_match_all_pairs(spark):
+    events = [(*e[:2], None if i % 13 == 0 else e[2], "driver" if i % 3 else None, *e[4:]) for i, e in enumerate(log(41, n=220, hours=300))]
+    events += [(f"t{i}", k, "x1", "shipment", "tie", START, 0.5) for i, k in enumerate(KINDS)] + events[:30] + [(None, *e[1:]) for e in events[30:40]]
+    events += [(e[0], e[1], "x2", "shipment", e[4], e[5] + dt.timedelta(hours=2), e[6]) for e in events[50:60]]  # ids of two events
+    df = spark.createDataFrame(events, EVENT)
+    cols = ["cause_type", "effect_type", "effect_entity_type", "confidence"]
+    once = df.where("substring(event_id, 2, 3) NOT BETWEEN '050' AND '059'")
+    table = causal.link_rules(spark)
+    want = {tuple(r) for r in causal.causal_links(once, table).groupBy(*cols).count().collect()}
+    assert {tuple(r) for r in causal.count_links(once, table).select(*cols, "n").collect()} == want and len(want) > 10
+
+    now = "2024-02-01"
+    listed = causal.holds_from_links(causal.hold_links(df), now)
+    classes = causal.holds_from_links(causal.hold_link_counts(df), now, keep=("n",)).cache()
+    assert classes.count() < listed.count() / 2
+    changed = lambda h: h.select(
+        "hold_id", F.when(F.col("risk_score") >= 1, "resolved").when(F.col("entity_type") == "driver", "active").otherwise("pending_review").alias("status"),
+        F.lit("a").alias("approver"), F.timestamp_seconds(F.when(F.col("risk_score") >= 1, 2).otherwise(1)).alias("changed_at"),
+    )
+    want = summaries.hold_summary(causal.update_holds(listed, changed(listed))).first()
+    got = summaries.hold_summary(causal.update_holds(classes, changed(classes)), weight="n").first()
+    assert got == want and min(want) > 0
+    assert summaries.hold_summary(classes.limit(0), weight="n").first() == summaries.hold_summary(listed.limit(0)).first()
