@@ -260,3 +260,20 @@ def test_counted_links_match_all_pairs(spark):
     got = summaries.hold_summary(causal.update_holds(classes, changed(classes)), weight="n").first()
     assert got == want and min(want) > 0
     assert summaries.hold_summary(classes.limit(0), weight="n").first() == summaries.hold_summary(listed.limit(0)).first()
+
+
+def test_latest_leaves_match_listed_chains(spark, monkeypatch):
+    longer = [*ref.CAUSAL_RULES, ("shipment_delay", "shipment_anomaly", 86400, 0.7), ("payment_policy_change", "driver_risk_increase", 43200, 0.7)]
+    cycle = [("a", "b", 3600, 0.7), ("b", "a", 3600, 0.7)]
+    rare = [(*e[:2], None if i % 17 == 0 else e[2], *e[3:]) for i, e in enumerate(log(51, n=250, hours=700))]
+    rare += [(f"t{i}", k, "x1", "shipment", "tie", START, 0.5) for i, k in enumerate(KINDS)] + rare[:20] + [(None, *rare[30][1:])]
+    ring = [(f"e{i}", "ab"[i % 2], f"x{i % 3}", "k", "", START + dt.timedelta(minutes=40 * i), 0.0) for i in range(7)]
+    for rules, events in ((longer, rare), (cycle, ring)):
+        df = spark.createDataFrame(events, EVENT)
+        leaves = time_chains.leaves(time_chains.chains(df, rules), df, rules)
+        want = {tuple(r) for r in causal.final_effect(leaves, df).select("root_id", "final_id").collect()}
+        with monkeypatch.context() as m:
+            m.setattr(time_chains, "chains", None)  # the members are not listed
+            got = [tuple(r) for r in time_chains.latest_leaves(df, rules).collect()]
+        assert set(got) == want and len(got) == len(want) > 0
+    assert time_chains.latest_leaves(df.limit(0), rules).count() == 0
