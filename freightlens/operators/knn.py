@@ -12,7 +12,7 @@ DIGITS = 6  # distances are compared at this many places, then by document key
 BLOCK = 2000  # query vectors per broadcast
 
 
-def _best(keys: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
+def smallest(keys: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k smallest by (distance, keys), ties included before the cut."""
     if len(dist) > k:
         edge = np.partition(dist, k - 1)[k - 1]
@@ -49,7 +49,7 @@ def _block(docs: DataFrame, rows: list, k: int) -> DataFrame:
                     d, ks = dist[:, col], keys
                     if old is not None:
                         d, ks = np.concatenate([old[1], d]), np.concatenate([old[0], ks])
-                    at = _best(ks, d, k)
+                    at = smallest(ks, d, k)
                     kept[(kind, i)] = (ks[at], d[at])
         for (kind, i), (ks, d) in kept.items():
             yield pd.DataFrame(

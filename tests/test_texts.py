@@ -194,3 +194,22 @@ def test_keyword_search_over_the_whole_index(spark, tmp_path):
         scored = [(-sum(t != "" and t.lower() in c.lower() for t in ts) / len(ts), d) for k, d, _, c in rows if k == kind]
         want += [(q, kind, d, -s, n) for n, (s, d) in enumerate(sorted(x for x in scored if x[0])[:4], 1)]
     assert sorted((r["query_id"], r["doc_type"], r["doc_id"], r["keyword_score"], r["rank"]) for r in got) == sorted(want) and len(want) > 20
+
+
+def test_keyword_search_in_blocks_of_questions(spark, tmp_path, monkeypatch):
+    from freightlens.operators import inverted
+
+    texts = ["alpha beta", "beta gamma", "gamma alpha beta", "delta", "alpha  beta gamma"]
+    rows = [("policy", None if i == 7 else i, i % 2, texts[i % 5]) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "doc_type string, doc_id bigint, chunk_id bigint, content string").repartition(4)
+    inverted.add_to_index(chunks, f"{tmp_path}/index")
+    terms = {1: ["alpha", "ALPHA", "beta"], 2: ["beta gamma"], 3: ["delta", "gamma"], 4: ["lph", "eta", "none"], 5: [None, "beta"]}
+    asked = spark.createDataFrame([(q, "policy", ts) for q, ts in terms.items()], "query_id bigint, doc_type string, terms array<string>")
+    monkeypatch.setattr(inverted, "BLOCK", 2)  # several blocks, small matrices
+    monkeypatch.setattr(inverted, "CELLS", 20)
+    got = inverted.keyword_search(asked, f"{tmp_path}/index", chunks, 6).collect()
+    want = []
+    for q, ts in terms.items():
+        held = [(sum(t is not None and t.lower() in c for t in ts) / len(ts), -1 if d is None else d, n) for _, d, n, c in rows]
+        want += [(q, d, n, s, i) for i, (s, d, n) in enumerate(sorted((x for x in held if x[0]), key=lambda x: (-x[0], *x[1:]))[:6], 1)]
+    assert sorted((r["query_id"], -1 if r["doc_id"] is None else r["doc_id"], r["chunk_id"], r["keyword_score"], r["rank"]) for r in got) == sorted(want)
