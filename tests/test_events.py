@@ -277,3 +277,19 @@ def test_latest_leaves_match_listed_chains(spark, monkeypatch):
             got = [tuple(r) for r in time_chains.latest_leaves(df, rules).collect()]
         assert set(got) == want and len(got) == len(want) > 0
     assert time_chains.latest_leaves(df.limit(0), rules).count() == 0
+
+
+def test_cause_risks_match_all_pairs(spark):
+    from freightlens.operators.nearest_causes import cause_risks
+
+    kinds = [*KINDS, "invoice_anomaly", "invoice_delay_anomaly", "route_change", "policy_update", "payment_anomaly_invoice"]
+    rnd = random.Random(61)
+    events = [(*e[:1], rnd.choice(kinds), None if i % 19 == 0 else e[2], *e[3:]) for i, e in enumerate(log(61, n=260, entities=25, hours=300))]
+    events = [(None if i % 23 == 0 else e[0], *e[1:6], None if i % 11 == 0 else e[6]) for i, e in enumerate(events)] + events[:15]
+    df = spark.createDataFrame(events, EVENT)
+    edges = causal.with_reverse(spark.createDataFrame([(f"x{i}", f"x{i + 1}", "r") for i in range(0, 25, 3)], "source string, target string, relationship_type string"))
+    listed = causal.risks_of_causes(df, causal.potential_causes(df, edges)).where("entity_id IS NOT NULL")
+    want = {(r["entity_id"], r["driver_risk"]) for r in listed.collect()}
+    got = cause_risks(df, edges).where("entity_id IS NOT NULL").collect()
+    assert {(r["entity_id"], r["driver_risk"]) for r in got} == want and len(got) == len(want) > 5
+    assert any(r is not None for _, r in want)
