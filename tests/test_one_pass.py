@@ -98,3 +98,5 @@ def test_files_lie_in_few_folders(spark, tmp_path):
         assert sorted(r["content"] for r in back) == sorted(f"{t or ''}\n" for _, t in texts)
     assert all(p.parent.parent == tmp_path / "utf8" for p in (tmp_path / "utf8").rglob("*~*"))
     assert len(list((tmp_path / "utf8").rglob("a.md~*"))) == 2
+    writers.one_file_each(rows, str(tmp_path / "one"), "name", "text", together=True)
+    assert sorted(p.read_text() for p in (tmp_path / "one").rglob("a.md~*")) in (["x\ny\n"], ["y\nx\n"])
