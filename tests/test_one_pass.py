@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from freightlens import refdata as ref
+from freightlens.functions.sizing import spread
 from freightlens.operators import causal, retrieval
 from freightlens.plans.search import split_check
 from freightlens.sources import readers, writers
@@ -100,3 +101,21 @@ def test_files_lie_in_few_folders(spark, tmp_path):
     assert len(list((tmp_path / "utf8").rglob("a.md~*"))) == 2
     writers.one_file_each(rows, str(tmp_path / "one"), "name", "text", together=True)
     assert sorted(p.read_text() for p in (tmp_path / "one").rglob("a.md~*")) in (["x\ny\n"], ["y\nx\n"])
+
+
+def test_key_terms_search_a_question_once_for_all_types(spark):
+    texts = ['Late fee 30 of "the late" route', "", None, "one two three four five six", 'no "" 7', "invoice  PAYMENT invoice"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id long, question string").coalesce(1)
+    parts = spread(rows, "query_id").select("query_id", "question", retrieval.term_parts("question").alias("parts"))
+    assert parts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    kinds = F.explode(F.array(*[F.lit(x) for x in ("invoice", "shipment", "policy")])).alias("doc_type")
+    kind = F.col("doc_type")
+    found = parts.select("query_id", "question", kinds, "parts").select("query_id", "doc_type", retrieval.key_terms("question", kind, F.col("parts")).alias("terms"))
+    alone = rows.select("query_id", "question", kinds).select("query_id", "doc_type", retrieval.key_terms("question", kind).alias("terms"))
+    got = {(r["query_id"], r["doc_type"]): r["terms"] for r in found.collect()}
+    assert got == {(r["query_id"], r["doc_type"]): r["terms"] for r in alone.collect()}
+    assert got[0, "policy"] == ["late", "fee", "30", "of", '"the', 'late"', "route", "the late"] and got[2, "policy"] is None
+    assert got[3, "invoice"] == ["one", "two", "three", "four", "five"] and got[4, "shipment"] == ["7", ""]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2  # numbers and phrases, below the rows per type
+    assert plan.index("Generate") < plan.index("regexp_extract_all(")
