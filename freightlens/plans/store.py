@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import risk_band_3, risk_band_4, severity_band_shipment, text_id
+from ..functions.sizing import spread
 from ..operators import filters, invoice_rules as inv, profiles, ranking, shipment_rules as shp, summaries
 from ..operators.anomaly import flag
 from .catalog import RECORDS_AS_OF, Source, query
@@ -22,10 +23,10 @@ CTES = dict(
 COLS = "id, document_id, anomaly_type, risk_score, severity, ts"
 
 
-def store(s: Source) -> DataFrame:
-    """Anomalies dated by the invoice they were found on."""
+def store(s: Source, rows: DataFrame | None = None) -> DataFrame:
+    """Anomalies dated by the invoice they were found on; ``rows`` are the invoices with terms, in an order of one's own."""
     rules = [inv.terms_violation(), inv.weekend(), inv.insufficient_approval(), inv.foreign_currency()]
-    found = flag(termed(s), "invoice_id", *rules, keep=("issue_date",))
+    found = flag(termed(s) if rows is None else rows, "invoice_id", *rules, keep=("issue_date",))
     return found.select(
         text_id("anomaly_type", "document_id", "src_row").alias("id"), "document_id", "src_row", "anomaly_type",
         F.round("risk_score", 6).alias("risk_score"), "severity", F.col("issue_date").cast("timestamp").alias("ts"),
@@ -225,14 +226,20 @@ def _(s: Source):
 # --- sorts, top-k and ranks -----------------------------------------------------------------
 
 
+def spread_store(s: Source) -> DataFrame:
+    """The rows of ``store`` for a whole sort, which works out its input again to find its ranges: once if the tasks
+    are even, twice if not. Rules run after the rows were dealt out, so no task has most of them."""
+    return store(s, spread(termed(s), "src_row"))
+
+
 @q("sort_recent", f"SELECT {COLS} FROM store ORDER BY ts DESC, id")
 def _(s: Source):
-    return slim(summaries.newest(store(s)))
+    return slim(summaries.newest(spread_store(s)))
 
 
 @q("sort_risk_recent", f"SELECT {COLS} FROM store ORDER BY risk_score DESC, ts DESC, id")
 def _(s: Source):
-    return slim(summaries.riskiest(store(s)))
+    return slim(summaries.riskiest(spread_store(s)))
 
 
 @q("topk_recent", f"SELECT {COLS} FROM store ORDER BY ts DESC, id LIMIT 10")

@@ -1,14 +1,18 @@
 """Work done once: questions, texts and files are read once, counts and pairs match plain Python."""
 
 import random
+from datetime import date
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from freightlens import refdata as ref
 from freightlens.functions.sizing import spread
-from freightlens.operators import causal, retrieval
+from freightlens.operators import causal, filters, render, retrieval, summaries
 from freightlens.plans.search import split_check
+from freightlens.plans.store import spread_store, store
 from freightlens.sources import readers, writers
+from freightlens.streaming import feeds
 from test_events import EVENT, log
 
 
@@ -119,3 +123,24 @@ def test_key_terms_search_a_question_once_for_all_types(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 2  # numbers and phrases, below the rows per type
     assert plan.index("Generate") < plan.index("regexp_extract_all(")
+
+
+def invoices_of(spark, n):
+    rows = [
+        (f"{i:03d}", f"INV-{i}", None if i % 11 == 0 else f"s{i % 3}", 400.0 * i, "EUR" if i % 4 else None, date(2024, 1, 1 + i % 28),
+         None if i % 13 == 0 else date(2024, 2, 1 + i % 28), "NET30", ["CFO", "clerk", None][i % 3], "overdue" if i % 5 == 0 else "paid")
+        for i in range(n)
+    ]
+    cols = "src_row string, invoice_id string, supplier string, amount double, currency string, issue_date date, due_date date, payment_terms string, approver string, status string"
+    return spark.createDataFrame(rows, cols).coalesce(1)
+
+
+def test_rules_of_a_whole_sort_run_in_many_tasks(spark):
+    terms = spark.createDataFrame([(f"s{i}", "NET30", 0.0, "low") for i in range(3)], "supplier string, agreed_terms string, agreed_discount double, supplier_risk string")
+    source = SimpleNamespace(invoices=invoices_of(spark, 60), supplier_terms=terms)
+    rows = spread_store(source)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    want = [tuple(r) for r in store(source).collect()]
+    assert want and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in rows.collect())
+    got = [(-r["risk_score"], -r["ts"].timestamp(), r["id"]) for r in summaries.riskiest(rows).collect()]
+    assert got == sorted(got) and len(got) == len(want)
