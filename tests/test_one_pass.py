@@ -144,3 +144,14 @@ def test_rules_of_a_whole_sort_run_in_many_tasks(spark):
     assert want and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in rows.collect())
     got = [(-r["risk_score"], -r["ts"].timestamp(), r["id"]) for r in summaries.riskiest(rows).collect()]
     assert got == sorted(got) and len(got) == len(want)
+
+
+def test_high_risk_updates_are_chosen_without_making_every_map(spark):
+    ships = [("S1", "a", "b", "c", "Delayed", 0.71, "none"), ("S2", "a", "b", "c", "x", 0.7, "none"), ("S3", "a", "b", "c", "x", None, "late"), ("S4", None, "b", "c", "x", None, None)]
+    ships = spark.createDataFrame(ships, "shipment_id string, origin string, destination string, carrier string, status string, risk_score double, anomaly_type string")
+    rows = render.unify(render.invoice_updates(invoices_of(spark, 40)), render.shipment_updates(ships)).where(filters.is_high_risk_update())
+    got = sorted(r["content"].split()[1] for r in rows.select("content").collect())
+    assert got == sorted([f"INV-{i}" for i in range(40) if 400 * i > 10000 or i % 5 == 0] + ["S1", "S3"])
+    assert [r["m"] for r in rows.where("metadata['shipment_id'] = 'S1'").select(F.col("metadata")["risk_score"].alias("m")).collect()] == ["0.71"]
+    plan = rows.select("content")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map(" not in plan
