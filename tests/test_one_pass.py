@@ -155,3 +155,15 @@ def test_high_risk_updates_are_chosen_without_making_every_map(spark):
     assert [r["m"] for r in rows.where("metadata['shipment_id'] = 'S1'").select(F.col("metadata")["risk_score"].alias("m")).collect()] == ["0.71"]
     plan = rows.select("content")._jdf.queryExecution().optimizedPlan().toString()
     assert "map(" not in plan
+
+
+def test_text_files_are_compressed_and_small(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), f'a, "{i}"' if i % 2 else None) for i in range(7)], "id string, text string").coalesce(1)
+    writers.packed_csv(rows, str(tmp_path / "in"), rows_per_file=3)
+    assert len(list((tmp_path / "in").glob("*.csv.gz"))) == 3
+    stream = feeds.csv_stream(spark, str(tmp_path / "in"), "id string, text string")
+    feeds.finish(feeds.append_to(stream, str(tmp_path / "out"), str(tmp_path / "kept"), "json", compression="gzip"))
+    assert list((tmp_path / "out").glob("*.json.gz")) and not list((tmp_path / "out").glob("*.json"))
+    back = spark.read.schema("id string, text string").json(str(tmp_path / "out"))
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, map(tuple, spark.read.option("header", True).csv(str(tmp_path / "in")).collect())))
+    assert back.count() == 7
