@@ -12,22 +12,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIM = 64
+KNOWN = 200_000  # words whose slots a task remembers
+
+
+class _Slots(dict):
+    """Slot of every word, worked out when it is first asked for; an empty piece has a slot of its own behind the others."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        slot = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % self.dim if word else self.dim
+        return slot
 
 
 def hashing_model(dim: int = DIM) -> Callable[[list[str]], np.ndarray]:
     """Counts of hashed words, scaled to length one: a model that needs no files."""
-    slots: dict[str, int] = {}
+    slot, pieces = _Slots(dim).__getitem__, re.compile(r"[ \t\n\x0b\f\r]+").split
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for row, text in enumerate(texts):
-            for word in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()):
-                if word:
-                    if word not in slots:
-                        if len(slots) > 1_000_000:
-                            slots.clear()
-                        slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % dim
-                    out[row, slots[word]] += 1.0
+            out[row] = np.bincount([*map(slot, pieces((text or "").lower()))], minlength=dim + 1)[:dim]
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1.0, norm)
 

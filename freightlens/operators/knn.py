@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 DIGITS = 6  # distances are compared at this many places, then by document key
 BLOCK = 2000  # query vectors per broadcast
+CELLS = 1_000_000  # of a matrix of rows by query vectors
 
 
 def smallest(keys: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
@@ -39,18 +40,21 @@ def _block(docs: DataFrame, rows: list, k: int) -> DataFrame:
             for kind, part in pdf.groupby("doc_type", sort=False):
                 if kind not in kinds:
                     continue
-                v = np.array(part["vector"].tolist(), dtype=np.float64)
-                keys = part[["doc_id", "chunk_id"]].to_numpy(dtype=np.int64)
                 use = kinds[kind]
-                dist = (v * v).sum(axis=1)[:, None] + q_sq[use][None, :] - 2.0 * (v @ q[use].T)
-                dist = np.round(np.maximum(dist, 0.0), DIGITS)
-                for col, i in enumerate(use):
-                    old = kept.get((kind, i))
-                    d, ks = dist[:, col], keys
-                    if old is not None:
-                        d, ks = np.concatenate([old[1], d]), np.concatenate([old[0], ks])
-                    at = smallest(ks, d, k)
-                    kept[(kind, i)] = (ks[at], d[at])
+                step = max(1, CELLS // len(use))
+                for start in range(0, len(part), step):
+                    rows_of = part.iloc[start : start + step]
+                    v = np.array(rows_of["vector"].tolist(), dtype=np.float64)
+                    keys = rows_of[["doc_id", "chunk_id"]].to_numpy(dtype=np.int64)
+                    dist = (v * v).sum(axis=1)[:, None] + q_sq[use][None, :] - 2.0 * (v @ q[use].T)
+                    dist = np.round(np.maximum(dist, 0.0), DIGITS)
+                    for col, i in enumerate(use):
+                        old = kept.get((kind, i))
+                        d, ks = dist[:, col], keys
+                        if old is not None:
+                            d, ks = np.concatenate([old[1], d]), np.concatenate([old[0], ks])
+                        at = smallest(ks, d, k)
+                        kept[(kind, i)] = (ks[at], d[at])
         for (kind, i), (ks, d) in kept.items():
             yield pd.DataFrame(
                 {"query_id": names[i], "doc_type": kind, "doc_id": ks[:, 0], "chunk_id": ks[:, 1], "distance": d}

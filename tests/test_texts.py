@@ -245,3 +245,65 @@ def test_terms_are_found_where_segments_are_read(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(inverted, "TERMS", block)
         got = inverted.keyword_search(asked, f"{tmp_path}/index", chunks, 5).collect()
         assert sorted((r["query_id"], r["doc_id"], r["chunk_id"], r["keyword_score"], r["rank"]) for r in got) == sorted(want)
+
+
+def test_segments_reach_python_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    from freightlens.operators import inverted
+
+    rows = [("policy", None if i == 5 else i, 0, f"alpha w{i} {'beta' if i % 3 else ''}") for i in range(40)]
+    chunks = spark.createDataFrame(rows, "doc_type string, doc_id bigint, chunk_id bigint, content string").coalesce(1)
+    monkeypatch.setattr(inverted, "SEGMENT", 2)
+    inverted.add_to_index(chunks, f"{tmp_path}/index")
+    seen, search = spark.sparkContext.accumulator(0), inverted._search
+
+    def watched(session, terms):
+        run = search(session, terms)
+
+        def counted(batches):
+            def each():
+                for b in batches:
+                    seen.add(b.num_rows > inverted.BATCH)
+                    yield b
+
+            yield from run(each())
+
+        return counted
+
+    monkeypatch.setattr(inverted, "_search", watched)
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    asked = spark.createDataFrame([(1, "policy", ["alpha", "beta"]), (2, "policy", ["w7"]), (3, "policy", ["none"])], "query_id bigint, doc_type string, terms array<string>")
+    for block in (1000, 1):  # one block is searched and ranked in one Python process
+        monkeypatch.setattr(inverted, "BLOCK", block)
+        found = inverted.keyword_search(asked, f"{tmp_path}/index", chunks, 3)
+        got = sorted((r["query_id"], r["rank"], r["doc_id"], r["keyword_score"]) for r in found.collect())
+        assert got == [(1, 1, None, 1.0), (1, 2, 1, 1.0), (1, 3, 2, 1.0), (2, 1, 7, 1.0)]
+    assert seen.value == 0 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == usual
+
+
+def test_hashing_model_forgets_words_and_keeps_vectors(monkeypatch):
+    from freightlens.functions import vectors
+
+    texts = [" a b\tb  ", "", None, "c a d", "e f g a"]
+    want = hashing_model(16)(texts)
+    monkeypatch.setattr(vectors, "KNOWN", 2)
+    assert (hashing_model(16)(texts) == want).all() and not want[1].any() and len(want) == 5
+    many = vectors._Slots(16)
+    assert [many[f"w{i}"] for i in range(9)] == [many[f"w{i}"] for i in range(9)] and len(many) <= 2
+
+
+def test_segments_hold_every_word_once_per_chunk(spark, tmp_path):
+    from freightlens.operators.inverted import add_to_index, segments
+
+    texts = ["  Lead\x0bing a a\ttrail ", "", "\n \x0c", "b c  d B\rb", None, "Ärger ärger İx", "a"]
+    chunks = spark.createDataFrame([("policy", i, 0, x) for i, x in enumerate(texts)], "doc_type string, doc_id bigint, chunk_id bigint, content string")
+    add_to_index(chunks, f"{tmp_path}/index")
+    got = {}
+    for r in segments(spark, f"{tmp_path}/index").collect():
+        for word, start, end in zip(r["word"], [0, *r["ends"]], r["ends"]):
+            for at in r["place"][start:end]:
+                got.setdefault(r["doc_id"][at], []).append(word)
+    low = {r["doc_id"]: r["low"] for r in chunks.select("doc_id", F.lower("content").alias("low")).collect()}
+    import re
+
+    want = {i: sorted({w for w in re.split(r"[ \t\n\x0b\f\r]+", x or "") if w}) for i, x in low.items()}
+    assert {i: sorted(ws) for i, ws in got.items()} == {i: ws for i, ws in want.items() if ws} and len(got) == 4
