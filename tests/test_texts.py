@@ -307,3 +307,20 @@ def test_segments_hold_every_word_once_per_chunk(spark, tmp_path):
 
     want = {i: sorted({w for w in re.split(r"[ \t\n\x0b\f\r]+", x or "") if w}) for i, x in low.items()}
     assert {i: sorted(ws) for i, ws in got.items()} == {i: ws for i, ws in want.items() if ws} and len(got) == 4
+
+
+def test_rows_of_a_constant_partition_are_shuffled_once(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    rows = lambda ids, day: spark.createDataFrame([(x, f"text {x}") for x in ids], "id string, text string").withColumn("day", F.lit(day).cast("date"))
+    writers.append_new(rows(["a", "a", "b", None], "2024-01-01"), path, "id", "day")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = writers.new_rows(rows(["b", "c"], "2024-01-01"), path, "id", "day")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2  # the rows, and the ids that are stored
+        for ids, day in ((["b", "c", "c"], "2024-01-01"), (["b"], "2024-01-02"), (["d"], None), (["c"], "2024-01-01")):
+            writers.append_new(rows(ids, day), path, "id", "day")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    got = sorted((str(r["id"]), str(r["day"])) for r in spark.read.parquet(path).collect())
+    assert got == [("None", "2024-01-01"), ("a", "2024-01-01"), ("b", "2024-01-01"), ("b", "2024-01-02"), ("c", "2024-01-01"), ("d", "None")]
