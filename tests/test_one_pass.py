@@ -167,3 +167,17 @@ def test_text_files_are_compressed_and_small(spark, tmp_path):
     back = spark.read.schema("id string, text string").json(str(tmp_path / "out"))
     assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, map(tuple, spark.read.option("header", True).csv(str(tmp_path / "in")).collect())))
     assert back.count() == 7
+
+
+def test_detect_all_joins_the_records_once(spark, sf):
+    from freightlens.plans import records
+    from freightlens.plans.catalog import Source
+
+    found = records.all_anomalies(Source(spark, sf))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan  # invoices and shipments are read as they were written
+    kept = records.Kept(spark, sf)
+    for name in ("invoices", "shipments", "named_shipments"):
+        assert getattr(kept, name) is getattr(kept, name)
+        want = getattr(Source(spark, sf), name)
+        assert getattr(kept, name).dtypes == want.dtypes and getattr(kept, name).exceptAll(want).isEmpty() and want.exceptAll(getattr(kept, name)).isEmpty()
