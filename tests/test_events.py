@@ -293,3 +293,18 @@ def test_cause_risks_match_all_pairs(spark):
     got = cause_risks(df, edges).where("entity_id IS NOT NULL").collect()
     assert {(r["entity_id"], r["driver_risk"]) for r in got} == want and len(got) == len(want) > 5
     assert any(r is not None for _, r in want)
+
+
+def test_roots_and_causes_move_ids_only(spark):
+    rows = [(f"e{i % 90}", ["driver_risk_increase", "shipment_delay", "weather_event", "shipment_anomaly"][i * 7 % 4], f"x{i % 5}" if i % 6 else None, "shipment", "note", i * 3 % 50 * 7200) for i in range(100)]
+    events = spark.createDataFrame([(*r[:5], r[5]) for r in rows] + [(None, "weather_event", "x1", "shipment", "note", 0)], "event_id string, event_type string, entity_id string, entity_type string, description string, s bigint")
+    events = events.withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    table = causal.link_rules(spark, ref.CAUSAL_RULES)
+    ids = lambda found: sorted(r["event_id"] for r in found.select("event_id").distinct().collect())
+    causes, effects = (ids(causal.linked(events, table, side)) for side in ("cause", "effect"))
+    found = [time_chains.causing(events, ref.CAUSAL_RULES), causal.root_events(events, table)]
+    assert [ids(x) for x in found] == [causes, [x for x in causes if x not in effects]] and len(causes) > 20 and ids(found[1])
+    known = spark.createDataFrame([(x,) for x in causes], "event_id string")
+    assert ids(causal.root_events(events, table, known)) == ids(found[1])
+    lines = [line for x in found for line in x._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    assert not any("description" in line for line in lines if "LogicalRDD" not in line and "LocalRelation" not in line)
